@@ -4,21 +4,100 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
+from .decontaminate import decontaminate
+from .line_dedup import line_dedup
 from .near_dedup import near_duplicates
+from .pii import find_pii
+from .secrets import scan_secrets
+from .warc import read_archives, write_archives
+
+
+def _spans(column: str) -> Column:
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(column, one), ",").alias("spans")
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_archives(read_table(spark, sf_dir, "pages"))
+    return read_archives(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _spans("spans"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(read_table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=4, similarity=80)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans("spans"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return hits.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(ids, "utf-8"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
+        "op2_secrets": op2_secrets,
+        "op3_line_dedup": op3_line_dedup,
         "op5_near_dedup": op5_near_dedup,
+        "op7_pii": op7_pii,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL, "op3_line_dedup": OP3_SQL}
+
+
+OP1_SQL = """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
+), r as (
+  select *, min(page_id) over (partition by payload_digest) as first_id from p
+)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id > first_id then first_id end as refers_to
+from r
+"""
+
+OP3_SQL = """
+with l as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+  from documents
+), k as (
+  select doc_id, pos, line,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from l
+), f as (
+  select key, max(doc_id) as keeper from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+), m as (
+  select k.doc_id, k.pos, k.line, f.key is not null and k.doc_id <> f.keeper as gone
+  from k left join f on k.key = f.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from m group by doc_id
+"""
