@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
+from .chat import chat_digests, format_chats, read_chats
 from .common import read_table
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .pii import find_pii
 from .secrets import scan_secrets
+from .toxicity import score_toxicity
 from .warc import read_archives, write_archives
 
 
@@ -36,6 +40,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=4, similarity=80)
 
@@ -45,6 +53,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans("spans"))
 
 
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = "select -1L as conv_id, turn, role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)"
+    return chat_digests(read_chats(format_chats(turns.unionByName(spark.sql(own)))))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -59,45 +77,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_secrets": op2_secrets,
         "op3_line_dedup": op3_line_dedup,
+        "op4_toxicity": op4_toxicity,
         "op5_near_dedup": op5_near_dedup,
         "op7_pii": op7_pii,
+        "op8_chat_windows": op8_chat_windows,
+        "op9_mixing": op9_mixing,
         "op10_decontaminate": op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_line_dedup": OP3_SQL}
-
-
-OP1_SQL = """
-with p as (
-  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
-), r as (
-  select *, min(page_id) over (partition by payload_digest) as first_id from p
-)
-select page_id, payload_bytes, payload_digest,
-       case when payload_bytes >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type,
-       case when payload_bytes >= 100 and page_id > first_id then first_id end as refers_to
-from r
-"""
-
-OP3_SQL = """
-with l as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
-  from documents
-), k as (
-  select doc_id, pos, line,
-         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
-  from l
-), f as (
-  select key, max(doc_id) as keeper from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5
-), m as (
-  select k.doc_id, k.pos, k.line, f.key is not null and k.doc_id <> f.keeper as gone
-  from k left join f on k.key = f.key
-)
-select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
-from m group by doc_id
-"""
+    return sql.oracle_sql()
