@@ -15,6 +15,7 @@ from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .pii import find_pii
+from .search import top_k
 from .secrets import scan_secrets
 from .toxicity import score_toxicity
 from .warc import read_archives, write_archives
@@ -48,6 +49,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=4, similarity=80)
 
 
+def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the whole texts of all documents whose id is divisible by 20; all documents are searched."""
+    docs = read_table(spark, sf_dir, "documents")
+    return top_k(docs, docs.filter("doc_id % 20 = 0"), k=10)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans("spans"))
@@ -79,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_near_dedup": op5_near_dedup,
+        "op6_search": op6_search,
         "op7_pii": op7_pii,
         "op8_chat_windows": op8_chat_windows,
         "op9_mixing": op9_mixing,
