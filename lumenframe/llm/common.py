@@ -47,14 +47,21 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with per-task setup: ``make()`` runs once a task, its result once a batch."""
+def map_batches(
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, slice_bytes: int | None = 4 << 20
+) -> DataFrame:
+    """``mapInArrow`` with per-task setup: ``make()`` runs once a task, its result once a slice of a batch.
+
+    Slices hold about ``slice_bytes`` of input (one row at least), which bounds a worker's memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            rows = batch.num_rows
+            size = rows if slice_bytes is None else max(1, rows * slice_bytes // max(batch.nbytes, slice_bytes))
+            for at in range(0, rows, size or 1):
+                yield step(batch.slice(at, size))
 
     return df.mapInArrow(run, schema)
 

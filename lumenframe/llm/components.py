@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+EDGES_A_PART = 500_000
+
+
 def _digest(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
     return tuple(row)
@@ -27,12 +30,13 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     current = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi > lo").distinct()
     current = materialize(current, "edges")
     seen = _digest(current)
+    parts = 1 + seen[0] // EDGES_A_PART  # stars have no more edges than the graph they come from
     if not seen[0]:
         return current.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         low = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
-        large = both.join(low, "hi").filter("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.join(low, "hi").filter("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         hung = large.join(root, "hi")
         small = (
@@ -40,7 +44,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
             .unionByName(root.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        current = materialize(small, "stars")
+        current = materialize(small.coalesce(parts), "stars")
         now = _digest(current)
         if now == seen:
             return current.select(F.col("hi").alias("node"), F.col("lo").alias("component"))

@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom, bloom_of
 from .common import map_batches, materialize, text_only, utf8
 from .components import connected_components
 from .shingles import Powers, mix, shingle_set, word_hashes
 
 SEED = 20_240_117
-BLOCK_MEMBERS = 256
+BLOCK_ITEMS = 1 << 16  # shingles in a block, about
+PACKED_ROWS = 4096  # members of small buckets that one call takes, about
 
 
 def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +44,7 @@ def signatures(sets: list[np.ndarray], count: int) -> np.ndarray:
     return out
 
 
-def _sketch(words: int, count: int):
+def _sketch(words: int, bands: int, rows: int):
     def make():
         powers = Powers()
 
@@ -51,80 +53,113 @@ def _sketch(words: int, count: int):
             n = np.array([len(s) for s in sets], dtype=np.int64)
             some = np.flatnonzero(n)
             fa, fb = np.zeros(len(sets), dtype=np.uint64), np.zeros(len(sets), dtype=np.uint64)
-            sig: list[bytes | None] = [None] * len(sets)
+            offsets = np.zeros(len(sets) + 1, dtype=np.int32)
+            keys = np.zeros(0, dtype=np.uint64)
             if len(some):
                 with np.errstate(over="ignore"):
                     for i in some:
                         fa[i] = np.add.reduce(mix(sets[i] ^ np.uint64(0x51ED270B)))
                         fb[i] = np.add.reduce(mix(sets[i] + np.uint64(0x2545F491)))
-                for i, row in zip(some, signatures([sets[i] for i in some], count), strict=True):
-                    sig[i] = row.tobytes()
+                keys = band_keys(signatures([sets[i] for i in some], bands * rows), bands, rows).reshape(-1)
+                offsets[1:] = np.cumsum((n > 0) * bands)
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "fa", "fb", "sig"],
-            )
+                [batch.column("doc_id"), pa.array(n), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))],
+                ["doc_id", "n_shingles", "fa", "fb", "bands"],
+            )
 
         return step
 
     return make
 
 
-def _bands(bands: int, rows: int):
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, bands, rows)
-            h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2]).copy()
-            with np.errstate(over="ignore"):
-                for r in range(rows):
-                    h = mix(h * np.uint64(0xD6E8FEB86659FD93) + sig[:, :, r])
-            nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), bands)
-            return pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(nodes)], ["band", "node"])
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit key for each band of each signature; the band's number is part of the key."""
+    part = sig.reshape(-1, bands, rows)
+    h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), part.shape[:2]).copy()
+    with np.errstate(over="ignore"):
+        for r in range(rows):
+            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + part[:, :, r])
+    return h
 
-        return step
-
-    return make
 
+def _chosen(words: int, count: int, wanted: Bloom, full: bool):
+    """Signature, and with ``full`` the whole set, of the documents that ``wanted`` lets pass."""
 
-def _full_sets(words: int):
     def make():
         powers = Powers()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            batch = batch.filter(pa.array(wanted.has(batch.column("doc_id"))))
             sets = [shingle_set(w, words) for w in word_hashes(utf8(batch.column("text")), powers)]
-            flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
-            offsets = np.cumsum([0, *[len(s) for s in sets]]).astype(np.int32)
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], ["node", "items"]
-            )
+            keep = [i for i, s in enumerate(sets) if len(s)]
+            batch, sets = batch.take(pa.array(keep, pa.int64())), [sets[i] for i in keep]
+            sig = pa.array([row.tobytes() for row in signatures(sets, count)] if sets else [], pa.binary())
+            columns = [batch.column("doc_id"), sig]
+            if full:
+                offsets = np.cumsum([0, *[len(s) for s in sets]]).astype(np.int32)
+                flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))))
+            return pa.RecordBatch.from_arrays(columns, ["node", "sig", "items"][: len(columns)])
 
         return step
 
     return make
 
 
-def _agreeing(count: int, least: int):
-    """Pairs of a block whose signatures agree often enough, across components only."""
+def _linked(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
+    inter = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * inter >= similarity * (len(a) + len(b) - inter)
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, b = [], []
-            for members, same in zip(batch.column("members").to_pylist(), batch.column("same").to_pylist(), strict=True):
-                node = np.array([m["node"] for m in members], dtype=np.int64)
-                comp = np.array([m["component"] for m in members], dtype=np.int64)
-                side = np.array([m["block"] for m in members])
-                sig = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint32).reshape(-1, count)
-                for k in range(len(node)):
-                    other = (comp != comp[k]) & ((np.arange(len(node)) > k) if same else (side > side[k]))
-                    at = np.flatnonzero(other)
-                    if len(at):
-                        at = at[(sig[at] == sig[k]).sum(axis=1) >= least]
-                        a.extend([int(node[k])] * len(at))
-                        b.extend(node[at].tolist())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        return step
+def _block_links(count: int, least: int, similarity: int):
+    """Of the members of a block (or of two), links that join its components; every pair across them is settled.
 
-    return make
+    Pairs are taken from the best agreeing signatures down. One whose components a link has joined by then needs
+    no check; each other one whose signatures agree in ``least`` minima or more is checked on full sets.
+    """
+
+    def one(node, comp, side, sig, sets, same, out) -> None:
+        n = np.array([len(x) for x in sets])
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        pairs = []
+        for k in range(len(node)):
+            other = (comp != comp[k]) & ((np.arange(len(node)) > k) if same else (side > side[k]))
+            other &= 100 * np.minimum(n, n[k]) >= similarity * np.maximum(n, n[k])
+            at = np.flatnonzero(other)
+            agree = (sig[at] == sig[k]).sum(axis=1)
+            good = agree >= least
+            pairs += [(-c, k, x) for c, x in zip(agree[good].tolist(), at[good].tolist(), strict=True)]
+        for _, k, x in sorted(pairs):
+            a, b = root(int(comp[k])), root(int(comp[x]))
+            if a != b and _linked(sets[k], sets[x], similarity):
+                above[max(a, b)] = min(a, b)
+                out.append((int(node[k]), int(node[x])))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("band")
+        column = {c: table.column(c).to_numpy() for c in ("band", "node", "component", "block", "i", "j")}
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, count)
+        items = table.column("items").combine_chunks()
+        flat, cuts = items.values.to_numpy(), items.offsets.to_numpy()
+        out: list[tuple[int, int]] = []
+        starts = np.flatnonzero(np.concatenate(([True], column["band"][1:] != column["band"][:-1])))
+        for s, e in zip(starts, [*starts[1:], len(table)], strict=True):
+            sets = [flat[cuts[r] : cuts[r + 1]] for r in range(s, e)]
+            one(column["node"][s:e], column["component"][s:e], column["block"][s:e], sig[s:e], sets, column["i"][s] == column["j"][s], out)
+        return pa.table([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def near_duplicates(
@@ -139,16 +174,18 @@ def near_duplicates(
     Two documents are linked when ``100 * |intersection| >= similarity * |union|`` of their sets of
     distinct ``words``-word shingles; a component is everything reachable over links.
 
-    1. One pass hashes shingles and takes ``bands * rows`` universal-hash minima. Documents with
-       equal sets form a class, which its smallest doc_id represents from here on.
+    1. One pass hashes shingles and takes ``bands * rows`` universal-hash minima, kept as a key a band.
+       Documents with equal sets form a class, which its smallest doc_id represents from here on.
     2. In each band bucket the smallest member is paired with the others (linear, not all pairs). Pairs
        are verified on signatures, then on full sets; components follow by large-star/small-star.
-    3. Buckets that still hold members of several components are compared in full, in blocks of
-       ``BLOCK_MEMBERS`` spread over tasks; only pairs whose signatures agree leave a block, and they
-       are verified on full sets too. So no bucket is capped and no link of a bucket is lost.
+    3. Buckets that still hold several components are compared in full, in blocks of about ``BLOCK_ITEMS``
+       shingles that are dealt over tasks. A block tests its pairs across components on signatures and then on
+       full sets, best first, and returns a link only where it joins two components. So no bucket is capped, no link
+       between components is lost, and no list of pairs arises.
 
-    With 32 bands of 5 a pair at exactly 0.8 shares a bucket but for 3 in a million; its signature
-    falls below the verification limit (five standard errors under the similarity) as rarely.
+    Texts are never shuffled: signatures and sets of candidates are made where the text is scanned, behind
+    a Bloom filter of bounded size, and only those are. With 32 bands of 5 a pair at exactly 0.8 shares a bucket
+    but for 3 in a million; its signature falls below the verification limit (4.5 standard errors) as rarely.
 
     Null or empty texts have no shingles: linked with nothing, their own component. Rows without doc_id
     keep a null component and kept=true. Repeated rows of a doc_id are one document. An empty table
@@ -156,82 +193,71 @@ def near_duplicates(
     """
     count = bands * rows
     j = similarity / 100
-    least = int(np.floor(count * (j - 5 * np.sqrt(j * (1 - j) / count))))
+    least = int(np.floor(count * (j - 4.5 * np.sqrt(j * (1 - j) / count))))
     source = text_only(docs, "doc_id")
     source = source.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialize(map_batches(source, _sketch(words, count), "doc_id long, n_shingles long, fa long, fb long, sig binary"), "sketch")
+    sketch = materialize(map_batches(source, _sketch(words, bands, rows), "doc_id long, n_shingles long, fa long, fb long, bands array<long>"), "sketch")
 
     classes = materialize(
         sketch.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("fa", "fb", "n_shingles")
-        .agg(F.min("doc_id").alias("node"), F.any_value("sig").alias("sig")),
+        .agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")),
         "classes",
     )
-    banded = map_batches(classes.select("node", "sig"), _bands(bands, rows), "band long, node long")
-    groups = banded.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("members")).filter("members > 1")
-    shared = materialize(banded.join(groups, "band"), "buckets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = source.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        items = map_batches(texts, _full_sets(words), "node long, items array<long>")
-        full = materialize(items.join(classes.select("node", "sig"), "node"), "sets")
-        left = full.select(F.col("node").alias("a"), F.col("items").alias("xa"), F.col("sig").alias("sa"))
-        right = full.select(F.col("node").alias("b"), F.col("items").alias("xb"), F.col("sig").alias("sb"))
-        both = F.size("xa") + F.size("xb")
-        inter = F.size(F.array_intersect("xa", "xb"))
-        # 2 * 4 hex digits for each 32-bit minimum: agreement is counted on aligned pieces
-        agree = F.aggregate(
-            F.sequence(F.lit(0), F.lit(count - 1)),
-            F.lit(0),
-            lambda n, i: n + F.when(F.substring("sa", i * 4 + 1, F.lit(4)) == F.substring("sb", i * 4 + 1, F.lit(4)), 1).otherwise(0),
-        )
-        return (
-            pairs.join(left, "a").join(right, "b")
-            .filter(100 * F.least(F.size("xa"), F.size("xb")) >= similarity * F.greatest(F.size("xa"), F.size("xb")))
-            .filter(agree >= least)
-            .filter(100 * inter >= similarity * (both - inter))
-            .select("a", "b")
-        )
-
-    tried = materialize(shared.filter("node > center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    linked = materialize(verified(tried), "links")
-    first = connected_components(linked)
+    banded = classes.select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("band"))
+    groups = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("center"), F.count("*").alias("members")).filter("members > 1")
+    shared = materialize(banded.join(groups, "band").select("band", "node", "n", "members", F.col("center.node").alias("center"), F.col("center.n").alias("m")), "buckets")
+
+    def chosen(nodes: DataFrame, full: bool, label: str) -> DataFrame:
+        """(node, sig[, items]) of the given nodes and perhaps a few more, a row each."""
+        found = map_batches(source, _chosen(words, count, bloom_of(nodes, "node"), full), "node long, sig binary" + ", items array<long>" * full)
+        return materialize(found.dropDuplicates(["node"]), label)
+
+    def beside(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+        side = lambda k: values.select(F.col("node").alias(k), F.col(value).alias(f"v{k}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+
+    near = 100 * F.least("n", "m") >= similarity * F.greatest("n", "m")
+    stars = shared.filter("node > center").filter(near).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    stars = materialize(stars, "pairs")
+    sigs = chosen(ends(stars), False, "signatures")
+    aligned = F.aggregate(
+        F.sequence(F.lit(0), F.lit(count - 1)),
+        F.lit(0),
+        lambda n, i: n + (F.substring("va", i * 4 + 1, F.lit(4)) == F.substring("vb", i * 4 + 1, F.lit(4))).cast("int"),
+    )
+    stars = materialize(beside(stars, sigs, "sig").filter(aligned >= least).select("a", "b"), "likely")
+    inter, both = F.size(F.array_intersect("va", "vb")), F.size("va") + F.size("vb")
+    links = beside(stars, chosen(ends(stars), True, "sets"), "items").filter(100 * inter >= similarity * (both - inter))
+    links = materialize(links.select("a", "b"), "links")
+    named = connected_components(links)
 
     # a bucket of two was settled above; of the others, those still holding several components remain
-    open_members = (
-        shared.filter("members > 2").join(first, "node", "left")
-        .select("band", "node", "members", F.coalesce("component", "node").alias("component"))
-    )
-    unsettled = open_members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-    rest = materialize(open_members.join(unsettled, "band"), "unsettled")
-    if not rest.isEmpty():
-        parts = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
+    placed = shared.filter("members > 2").select("band", "node", "n").join(named, "node", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n").alias("total")).filter("x < y")
+    placed = materialize(placed.join(mixed.select("band", "total"), "band"), "unsettled")
+    if not placed.isEmpty():
+        packs = 1 + placed.count() // PACKED_ROWS
+        parts = F.ceil(F.col("total") / BLOCK_ITEMS).cast("int")
         dealt = (
-            rest.join(classes.select("node", "sig"), "node")
+            placed.join(chosen(placed.select("node").distinct(), True, "unsettled_sets"), "node")
             .withColumn("block", F.pmod(F.xxhash64("node", "band"), parts).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
             .withColumn("i", F.least("block", "other"))
             .withColumn("j", F.greatest("block", "other"))
+            .withColumn("pack", F.when(parts > 1, F.col("band")).otherwise(F.pmod(F.col("band"), F.lit(packs))))
         )
-        blocks = dealt.groupBy("band", "i", "j").agg(F.collect_list(F.struct("node", "component", "block", "sig")).alias("members"))
-        found = map_batches(
-            blocks.filter("size(members) > 1").select("members", (F.col("i") == F.col("j")).alias("same")),
-            _agreeing(count, least),
-            "a long, b long",
-        )
-        more = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "more_pairs")
-        if not more.isEmpty():
-            first = connected_components(linked.unionByName(verified(more)))
+        more = dealt.groupBy("pack", "i", "j").applyInArrow(_block_links(count, least, similarity), "a long, b long")
+        named = connected_components(links.unionByName(materialize(more, "more_links")))
 
-    named = classes.select("fa", "fb", "n_shingles", "node").join(first, "node", "left").select(
+    classed = classes.select("fa", "fb", "n_shingles", "node").join(named, "node", "left").select(
         "fa", "fb", "n_shingles", F.coalesce("component", "node").alias("component")
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return (
         sketch.select("doc_id", "n_shingles", "fa", "fb")
-        .join(named, ["fa", "fb", "n_shingles"], "left")
+        .join(classed, ["fa", "fb", "n_shingles"], "left")
         .select(
             "doc_id",
             "n_shingles",

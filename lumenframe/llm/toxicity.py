@@ -72,7 +72,7 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> dict[str, float]:
     sums = rows.groupBy().agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")).first()
     if not sums["bad"] or not sums["good"]:
         return {}
-    counted = map_batches(rows.select("text", "label"), lambda: _count_terms, "term string, bad long, good long")
+    counted = map_batches(rows.select("text", "label"), lambda: _count_terms, "term string, bad long, good long", slice_bytes=None)
     odds = F.log((F.col("bad") + 0.5) / (sums["bad"] + 1)) - F.log((F.col("good") + 0.5) / (sums["good"] + 1))
     best = (
         counted.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
