@@ -1,4 +1,7 @@
-"""The named queries of the library and the SQL that says the same."""
+"""The named queries of the library and the SQL that says the same.
+
+Each module of queries holds pairs: a function of (session, folder) and, where SQL can express it, its SQL.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +9,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import q_cluster, q_eda, q_ml, q_profile, q_recipe
+
+_MODULES = (q_profile, q_recipe, q_eda, q_ml, q_cluster)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
