@@ -31,7 +31,13 @@ def read_head(spark: SparkSession, path: str, size: int = 1 << 16) -> bytes:
     status = system.globStatus(where)
     if status is None or len(status) == 0:
         raise FileNotFoundError(path)
-    stream = system.open(status[0].getPath())
+    first = status[0]
+    if first.isDirectory():  # a folder of part files
+        parts = [x for x in system.listStatus(first.getPath()) if not x.getPath().getName().startswith(("_", ".")) and x.getLen() > 0]
+        if not parts:
+            return b""
+        first = min(parts, key=lambda x: x.getPath().getName())
+    stream = system.open(first.getPath())
     try:
         return bytes(stream.readNBytes(size))
     finally:
