@@ -64,33 +64,66 @@ def kmeans(m: DataFrame, k: int, seeds: int = 3, seed: int = 42):
 def dbscan(m: DataFrame, key: str, eps: float, min_samples: int) -> DataFrame:
     """(key, prediction): clusters of dense points, -1 for noise; border points go to the cluster of the smallest label.
 
-    Points meet only in neighbouring cells of a grid over the first three coordinates; clusters are components of
-    the core points, found by the smallest label spreading along links until nothing changes.
+    Equal points are one point with a weight. Any two points of a cell (side eps / sqrt(width)) are near, so a cell of
+    ``min_samples`` rows has core points only, and the core points of a cell are one node. Points and cells meet in
+    neighbouring buckets of cells over the first three coordinates; clusters are components of the nodes.
     """
     x = m.select(N.q(key).cast("long").alias("id"), vector_to_array("features").alias("f"))
-    axes = min(3, len(x.first()["f"]))
-    cell = [F.floor(F.element_at("f", k + 1) / eps).cast("long").alias(f"c{k}") for k in range(axes)]
-    placed = x.select("id", "f", *cell)
-    around = placed.select("id", "f", *[F.explode(F.sequence(F.col(f"c{k}") - 1, F.col(f"c{k}") + 1)).alias(f"c{k}") if k == 0 else F.col(f"c{k}") for k in range(axes)])
-    for k in range(1, axes):
-        around = around.withColumn(f"c{k}", F.explode(F.sequence(F.col(f"c{k}") - 1, F.col(f"c{k}") + 1)))
-    near = around.alias("a").join(placed.alias("b"), [F.col(f"a.c{k}") == F.col(f"b.c{k}") for k in range(axes)])
-    gap = F.aggregate(F.zip_with("a.f", "b.f", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
-    links = near.filter(gap <= eps * eps).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).checkpoint()
-    core = links.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("u").checkpoint()
-    inner = links.join(core, "u").join(core.select(F.col("u").alias("v")), "v").checkpoint()
-    labels = core.select("u", F.col("u").alias("label"))
+    width = len(x.first()["f"])
+    side, wide, axes = eps / math.sqrt(width) * (1 - 1e-9), math.isqrt(width) + 1, min(3, width)
+    buckets = [f"b{k}" for k in range(axes)]
+    near = lambda p, q: _unit(p, q) <= eps * eps
+    meet = lambda left, right: _around(left, buckets).alias("a").join(right.alias("b"), [F.col(f"a.{b}") == F.col(f"b.{b}") for b in buckets])
+
+    points = x.groupBy("f").agg(F.min("id").alias("u"), F.count("*").alias("w")).withColumn("g", F.transform("f", lambda v: F.floor(v / side).cast("long")))
+    points = points.join(points.groupBy("g").agg(F.sum("w").alias("held")), "g")
+    points = points.select("*", *[F.floor(F.element_at("g", k + 1) / wide).cast("long").alias(b) for k, b in enumerate(buckets)]).checkpoint()
+    sparse = points.filter(F.col("held") < min_samples)
+    seen = meet(sparse, points).filter(near(F.col("a.f"), F.col("b.f"))).groupBy(F.col("a.u").alias("u")).agg(F.sum("b.w").alias("n"))
+    core = points.filter(F.col("held") >= min_samples).unionByName(sparse.join(seen.filter(F.col("n") >= min_samples), "u", "left_semi").select(*points.columns)).checkpoint()
+
+    # the outermost core points of a cell settle most pairs of cells; all points meet only for pairs that stay apart
+    edge = [pick("f", F.element_at("f", k + 1)) for k in range(axes) for pick in (F.min_by, F.max_by)]
+    cells = core.groupBy("g", *buckets).agg(F.min("u").alias("node"), F.count("*").alias("size"), F.array_distinct(F.array(*edge)).alias("edge")).checkpoint()
+    apart = F.aggregate(F.zip_with("a.g", "b.g", lambda u, v: F.pow(F.greatest(F.abs(u - v) - 1, F.lit(0)), 2)), F.lit(0.0), lambda s, v: s + v) * side * side
+    pairs = meet(cells, cells).filter((F.col("a.node") < F.col("b.node")) & (apart <= eps * eps))
+    met = F.exists("a.edge", lambda p: F.exists("b.edge", lambda q: near(p, q)))
+    pairs = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), met.alias("met"), ((F.col("a.size") > 1) | (F.col("b.size") > 1)).alias("more")).checkpoint()
+    links = pairs.filter("met").select("u", "v")
+    labels = _components(cells.select(F.col("node").alias("u")), links)
+    name = lambda c: labels.select(F.col("u").alias(c), F.col("label").alias(f"{c}_label"))
+    open_ = pairs.filter("not met and more").join(name("u"), "u").join(name("v"), "v").filter("u_label <> v_label").select("u", "v")
+    placed = core.join(cells.select("g", "node"), "g").select("node", "f")
+    late = open_.join(placed.select(F.col("node").alias("u"), F.col("f").alias("p")), "u").join(placed.select(F.col("node").alias("v"), F.col("f").alias("q")), "v")
+    late = late.filter(near(F.col("p"), F.col("q"))).select("u", "v").distinct().checkpoint()
+    if not late.isEmpty():
+        labels = _components(cells.select(F.col("node").alias("u")), links.unionByName(late))
+
+    inner = core.join(cells.select("g", "node"), "g").join(labels.select(F.col("u").alias("node"), "label"), "node").select("u", "f", "label", *buckets)
+    outer = meet(sparse.join(core.select("u"), "u", "left_anti"), inner).filter(near(F.col("a.f"), F.col("b.f"))).groupBy(F.col("a.f").alias("f")).agg(F.min("b.label").alias("label"))
+    found = x.join(inner.select("f", "label").unionByName(outer), "f", "left")
+    names = labels.select("label").distinct().withColumn("prediction", F.row_number().over(W.orderBy("label")) - 1)  # a row a cluster
+    return found.join(F.broadcast(names), "label", "left").select(F.col("id").alias(key), F.coalesce("prediction", F.lit(-1)).alias("prediction"))
+
+
+def _around(df: DataFrame, buckets: list[str]) -> DataFrame:
+    """Each row once in its own and in every neighbouring bucket."""
+    for b in buckets:
+        df = df.withColumn(b, F.explode(F.sequence(F.col(b) - 1, F.col(b) + 1)))
+    return df
+
+
+def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(u, label): the smallest node of each component, spreading along links until nothing changes."""
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(nodes.select("u", F.col("u").alias("v"))).checkpoint()
+    labels = nodes.select("u", F.col("u").alias("label"))
     while True:
-        spread = inner.join(labels, "u").groupBy(F.col("v").alias("u")).agg(F.min("label").alias("label"))
+        spread = both.join(labels, "u").groupBy(F.col("v").alias("u")).agg(F.min("label").alias("label"))
         jumped = spread.join(spread.select(F.col("u").alias("label"), F.col("label").alias("next")), "label").select("u", F.least("label", "next").alias("label")).checkpoint()
-        moved = jumped.join(labels.withColumnRenamed("label", "old"), "u").filter("label <> old").isEmpty()
+        done = jumped.join(labels.withColumnRenamed("label", "old"), "u").filter("label <> old").isEmpty()
         labels = jumped
-        if moved:
-            break
-    border = links.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("label"))
-    found = x.select(F.col("id").alias("u")).join(border, "u", "left")
-    names = labels.select("label").distinct().withColumn("prediction", F.row_number().over(W.orderBy("label")) - 1)  # a row a cluster
-    return found.join(F.broadcast(names), "label", "left").select(F.col("u").alias(key), F.coalesce("prediction", F.lit(-1)).alias("prediction"))
+        if done:
+            return labels
 
 
 def linkage(x: np.ndarray, method: str = "ward") -> np.ndarray:

@@ -66,7 +66,7 @@ from customer, (select avg(c_acctbal) as g from customer) group by c_mktsegment,
 
 
 def k_selection(spark, d):
-    return rounded(K.k_selection(_vectors(spark, d).select("vec_id", "features"), 8, 11))
+    return rounded(K.k_selection(_vectors(spark, d).select("vec_id", "features")))
 
 
 def pca_variance(spark, d):
@@ -78,17 +78,17 @@ def hopkins(spark, d):
 
 
 def dbscan(spark, d):
-    m, _ = K.prepare_matrix(table(spark, d, "part").filter("p_partkey <= 2000"), ["p_size", "p_retailprice"], ["p_partkey"])
+    m, _ = K.prepare_matrix(table(spark, d, "part"), ["p_size", "p_retailprice"], ["p_partkey"])
     return K.dbscan(m, "p_partkey", 0.15, 8)
 
 
 def dbscan_grid(spark, d):
     m, _ = K.prepare_matrix(table(spark, d, "part"), ["p_size", "p_retailprice"], ["p_partkey"])
-    return rounded(K.dbscan_grid(m, points=6, most=500))
+    return rounded(K.dbscan_grid(m))
 
 
 def hierarchical(spark, d):
-    return K.hierarchical(_vectors(spark, d), "vec_id", 10, most=500)[0]
+    return K.hierarchical(_vectors(spark, d), "vec_id", 10)[0]
 
 
 def name_clusters(spark, d):

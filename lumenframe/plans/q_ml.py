@@ -142,7 +142,7 @@ def permutation_importance(spark, d):
     out = learning.train_models(p, "p_retailprice", ["p_size", "p_brand", "p_partkey"], ["p_partkey"], models=["Regresión Lineal"])
     best = out.results[0]
     labelled = p.withColumn("label", F.col("p_retailprice"))
-    return explain.permutation_importance(labelled, best.model, out.preprocessor, out.features, ["p_partkey"], out.task, "r2", repeats=2)
+    return explain.permutation_importance(labelled, best.model, out.preprocessor, out.features, ["p_partkey"], out.task, "r2")
 
 
 def partial_dependence(spark, d):
