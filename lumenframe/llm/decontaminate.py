@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_only, utf8
+from .common import map_batches, materialize, text_only, utf8
 
 #: Separators become spaces and A-Z become a-z; digits, letters and all non-ASCII bytes stay.
 _TABLE = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
 )
-#: An automaton holds at most so many pattern characters; a larger benchmark is scanned in several groups.
+#: An automaton holds about so many pattern characters at most; a larger benchmark is scanned in several groups.
 GROUP_CHARS = 8_000_000
 
 
@@ -37,7 +37,7 @@ def _automaton(windows: dict[bytes, list[int]]) -> ahocorasick.Automaton:
     return found
 
 
-def _scan(windows: dict[bytes, list[int]]):
+def _scan(windows: dict[bytes, list[int]], *keys: str):
     def make():
         automaton = _automaton(windows) if windows else None
 
@@ -71,8 +71,8 @@ def _scan(windows: dict[bytes, list[int]]):
                 items.append(sorted(ids))
             kind = pa.list_(pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(offsets, kind), pa.array(items, pa.list_(pa.int64()))],
-                ["doc_id", "n_words", "word_spans", "char_spans", "items"],
+                [*[batch.column(k) for k in keys], pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(offsets, kind), pa.array(items, pa.list_(pa.int64()))],
+                [*keys, "n_words", "word_spans", "char_spans", "items"],
             )
 
         return step
@@ -89,19 +89,21 @@ def _original(text: bytes, word_spans: list[list[int]]) -> list[list[int]]:
     return [[int(point[starts[a]]), int(point[ends[b - 1]])] for a, b in word_spans]
 
 
-def _groups(benchmark: DataFrame, width: int, limit: int) -> list[dict[bytes, list[int]]]:
-    """The windows of all items, dealt into groups of a bounded number of pattern characters."""
-    out: list[dict[bytes, list[int]]] = [{}]
-    held = 0
-    for row in benchmark.toLocalIterator():
-        for window in windows_of(words_of((row["text"] or "").encode()), width):
-            if window not in out[-1]:
-                if held > limit:
-                    out.append({})
-                    held = 0
-                held += len(window)
-            out[-1].setdefault(window, []).append(row["item_id"])
-    return out
+def _windows(benchmark: DataFrame, width: int) -> DataFrame:
+    """(window, items): each window of the benchmark once, with the items that have it."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            windows, items = [], []
+            for item, text in zip(batch.column("item_id").to_pylist(), utf8(batch.column("text")), strict=True):
+                own = windows_of(words_of(text), width)
+                windows.extend(own)
+                items.extend([item] * len(own))
+            return pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(items, pa.int64())], ["window", "item_id"])
+
+        return step
+
+    return map_batches(benchmark, make, "window binary, item_id long").groupBy("window").agg(F.collect_set("item_id").alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, group_chars: int = GROUP_CHARS) -> DataFrame:
@@ -113,8 +115,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
 
     The benchmark's windows go into one Aho-Corasick automaton, which each task builds once; texts are
     normalised and scanned whole, once, without a shuffle. The automaton's size is bounded by
-    ``group_chars``: a benchmark beyond that is dealt into groups, each scanned like this, and the hits of
-    a document are then united.
+    about ``group_chars``: the windows of a benchmark beyond that are dealt into groups by hash. Each group is then
+    scanned like this, one after the other, over a written copy of the texts with a key for each row, and the hits
+    of a row are united. The driver holds one group at a time.
 
     Null texts have no words; null benchmark texts and item_ids make no window. Repeated items count once
     an item_id; repeated documents are scanned each. Empty tables give no hits or no rows. Other columns
@@ -123,31 +126,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     source = text_only(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
     items = text_only(benchmark, "item_id").withColumn("item_id", F.col("item_id").cast("long")).filter("item_id is not null and text is not null").distinct()
     schema = "doc_id long, n_words long, word_spans array<array<long>>, char_spans array<array<long>>, items array<long>"
-    groups = _groups(items, width, group_chars)
-    if len(groups) == 1:
-        hits = map_batches(source, _scan(groups[0]), schema)
+    windows = materialize(_windows(items, width), "windows")
+    chars = windows.agg(F.sum(F.length("window"))).first()[0] or 0
+    if chars <= group_chars:
+        hits = map_batches(source, _scan(_collected(windows), "doc_id"), schema)
     else:
-        parts = [map_batches(source, _scan(g), schema) for g in groups]
-        hits = parts[0]
-        for part in parts[1:]:
-            hits = hits.unionByName(part)
-        # repeated rows of a doc_id meet here: they are united, once for each distinct text
-        hits = hits.groupBy("doc_id", "n_words").agg(
-            _united("word_spans"), _united("char_spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        )
+        dealt = windows.withColumn("group", F.pmod(F.xxhash64("window"), F.lit(-(-5 * chars // (4 * group_chars)))))  # a fifth of room for uneven groups
+        rows = materialize(source.withColumn("row", F.monotonically_increasing_id()), "rows")
+        hits = None
+        for r in dealt.select("group").distinct().orderBy("group").toLocalIterator():
+            part = map_batches(rows, _scan(_collected(dealt.filter(F.col("group") == r["group"])), "row", "doc_id"), f"row long, {schema}")
+            part = materialize(part if hits is None else part.filter(F.size("items") > 0), "hits")
+            hits = part if hits is None else hits.unionByName(part)
+        hits = hits.groupBy("row").agg(
+            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), _united(F.zip_with("word_spans", "char_spans", lambda w, c: F.concat(w, c))).alias("spans"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        )
+        hits = hits.select("doc_id", "n_words", F.transform("spans", lambda s: F.slice(s, 1, 2)).alias("word_spans"), F.transform("spans", lambda s: F.slice(s, 3, 2)).alias("char_spans"), "items")
     n_hit = F.aggregate("word_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return hits.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
-def _united(column: str):
-    """All spans of a document, overlapping ones merged."""
+def _collected(windows: DataFrame) -> dict[bytes, list[int]]:
+    return {bytes(r["window"]): r["items"] for r in windows.toLocalIterator()}
+
+
+def _united(column):
+    """All spans (first and last word, first and last character) of a document, those that overlap or touch merged by words."""
     spans = F.sort_array(F.flatten(F.collect_list(column)))
     empty = F.array().cast("array<array<long>>")
 
     def step(done, span):
         last = F.try_element_at(done, F.lit(-1))
         joins = F.coalesce(span[0] <= last[1], F.lit(False))
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.array(last[0], F.greatest(last[1], span[1]))))
+        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.array(last[0], F.greatest(last[1], span[1]), last[2], F.greatest(last[3], span[3]))))
         return F.when(joins, grown).otherwise(F.concat(done, F.array(span)))
 
-    return F.aggregate(spans, empty, step).alias(column)
+    return F.aggregate(spans, empty, step)

@@ -272,3 +272,11 @@ def test_decontaminate_edges_and_offsets(spark):
         assert [text[5][a:b] for a, b in got[5]["char_spans"]] == ["Éa été là"]
     assert dc.decontaminate(frame(spark, []), bench).count() == 0
     assert dc.decontaminate(frame(spark, rows), bench.limit(0)).agg({"n_hit": "sum"}).first()[0] == 0
+
+
+def test_decontaminate_keeps_every_row_in_groups(spark):
+    bench = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, "seven eight")], "item_id long, text string")
+    rows = [(7, "x one two three"), (7, "four five six x"), (7, "four five six x"), (None, "seven eight y"), (None, "a b c"), (8, "one two three four five six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shown = lambda size: sorted(map(repr, dc.decontaminate(docs, bench, group_chars=size).collect()))
+    assert len(shown(5)) == len(rows) and shown(5) == shown(dc.GROUP_CHARS)
