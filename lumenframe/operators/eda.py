@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from ..functions import stats as S
 from ..plans.fusion import AggFusion, stacked
 
 SHAPIRO_MOST, SHAPIRO_LEAST = 5_000, 20
-KENDALL_MOST = 2_000
+#: Rows of a range bucket that one task counts discordant pairs in (more only beyond KENDALL_BUCKETS of them).
+KENDALL_ROWS, KENDALL_BUCKETS = 1 << 14, 1_024
 STRENGTH = ((0.9, "Muy fuerte"), (0.7, "Fuerte"), (0.5, "Moderada"), (0.3, "Débil"))
 
 
@@ -138,17 +140,54 @@ def corr_spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out if out is not None else _unfold(df, {})
 
 
-def corr_kendall(df: DataFrame, a: str, b: str, most: int = KENDALL_MOST, key: list[str] | None = None) -> DataFrame:
-    """Tau-b of two columns over at most ``most`` rows (chosen by hash of ``key``): a blocked comparison of that bounded sample."""
-    pair = df.select(P.to_float(N.q(a)).alias("x"), P.to_float(N.q(b)).alias("y"), *[N.q(k).alias(f"k{i}") for i, k in enumerate(key or [])]).filter("x is not null and y is not null")
-    by = [F.col(f"k{i}") for i in range(len(key or []))] or [F.col("x"), F.col("y")]
-    some = pair.orderBy(F.xxhash64(*by), *by).limit(most).select("x", "y").withColumn("i", F.monotonically_increasing_id())
-    l, r = some.alias("l"), some.alias("r")
-    sx, sy = F.signum(F.col("l.x") - F.col("r.x")), F.signum(F.col("l.y") - F.col("r.y"))
-    both = l.join(F.broadcast(r), F.col("l.i") < F.col("r.i"))
-    s = F.sum(sx * sy)
-    tau = S.ratio(s, F.sqrt(F.sum(sx * sx) * F.sum(sy * sy)))
-    return both.agg(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), tau.alias("correlacion"))
+def corr_kendall(df: DataFrame, a: str, b: str, rows: int = KENDALL_ROWS) -> DataFrame:
+    """Tau-b of two columns over all rows that have both.
+
+    Values are counted by (x, y). With places in the order of (x, y) and of (y, x), two pairs are discordant if the
+    orders disagree. Both orders are cut into range buckets: discordant pairs are counted inside a bucket of x,
+    inside a bucket of y between buckets of x, and, for pairs apart in both, from the counts of a small grid.
+    """
+    cells = df.select(P.to_float(N.q(a)).alias("x"), P.to_float(N.q(b)).alias("y")).filter("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").cast("double").alias("n"))
+    two = lambda c: F.coalesce(F.sum(F.col(c) * (F.col(c) - 1) / 2), F.lit(0.0))
+    facts = cells.agg(F.count("*").alias("cells"), two("n").alias("both"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()
+    tied = [cells.groupBy(c).agg(F.sum("n").alias("n")).agg(two("n")).first()[0] for c in ("x", "y")]
+    size = max(rows, -(-facts["cells"] // KENDALL_BUCKETS))
+    placed = cells.select("n", F.struct("x", "y").alias("p"), F.struct("y", "x").alias("q"), F.lit(1).alias("one"))
+    for order, place in (("p", "i"), ("q", "j")):
+        placed = _running(placed, order, "one").withColumnRenamed("before", place)
+    placed = placed.select("n", "i", "j", F.floor(F.col("i") / size).alias("bi"), F.floor(F.col("j") / size).alias("bj"))
+    inside = placed.groupBy("bi").applyInPandas(lambda t: _inversions(t, "i"), "d double")
+    across = placed.groupBy("bj").applyInPandas(lambda t: _inversions(t, "bi"), "d double")
+    discordant = inside.unionByName(across).agg(F.coalesce(F.sum("d"), F.lit(0.0))).first()[0]
+    buckets = -(-facts["cells"] // size)
+    grid = np.zeros((buckets, buckets))
+    for r in placed.groupBy("bi", "bj").agg(F.sum("n").alias("n")).toLocalIterator():
+        grid[r["bi"], r["bj"]] = r["n"]
+    if buckets > 1:
+        earlier = np.cumsum(grid, axis=0)[:-1]  # of smaller x, up to this bucket of y
+        above = earlier.sum(axis=1, keepdims=True) - np.cumsum(earlier, axis=1)
+        discordant += float((above * grid[1:]).sum())
+    pairs = facts["n"] * (facts["n"] - 1) / 2
+    apart = (pairs - tied[0]) * (pairs - tied[1])
+    tau = (pairs - tied[0] - tied[1] + facts["both"] - 2 * discordant) / math.sqrt(apart) if apart > 0 else None
+    return df.sparkSession.createDataFrame([(a, b, tau)], "variable_1 string, variable_2 string, correlacion double")
+
+
+def _inversions(t, by: str):
+    """The weight of pairs with smaller ``by`` and larger j, level by level over the bits of the place in ``by``."""
+    import pandas as pd
+
+    w, j = t["n"].to_numpy(dtype=float), t["j"].to_numpy()
+    _, place = np.unique(t[by].to_numpy(), return_inverse=True)
+    total, down = 0.0, np.argsort(-j, kind="stable")
+    w, place = w[down], place[down]
+    for level in range(int(place.max()).bit_length()):
+        order = np.argsort(place >> (level + 1), kind="stable")  # by block, then by falling j
+        block, late = (place >> (level + 1))[order], ((place >> level) & 1)[order].astype(bool)
+        run = np.cumsum(np.where(late, 0.0, w[order]))
+        first = np.searchsorted(block, block)
+        total += float((w[order] * (run - np.where(first > 0, run[first - 1], 0.0)))[late].sum())
+    return pd.DataFrame({"d": [total]})
 
 
 def correlation_matrix(df: DataFrame, method: str = "pearson", columns: list[str] | None = None) -> DataFrame:

@@ -56,7 +56,7 @@ _SPEARMAN = "\nunion all\n".join(
 
 def corr_kendall(spark, d):
     part = table(spark, d, "part").filter("p_partkey <= 400")
-    return rounded(eda.corr_kendall(part, "p_size", "p_retailprice", key=["p_partkey"]))
+    return rounded(eda.corr_kendall(part, "p_size", "p_retailprice"))
 
 
 _KENDALL = """select 'p_size' as variable_1, 'p_retailprice' as variable_2, round(sum(sign(a.p_size - b.p_size) * sign(a.p_retailprice - b.p_retailprice)) /
@@ -64,6 +64,15 @@ _KENDALL = """select 'p_size' as variable_1, 'p_retailprice' as variable_2, roun
 from part a join part b on a.p_partkey < b.p_partkey where a.p_partkey <= 400 and b.p_partkey <= 400"""
 
 
+def corr_kendall_whole(spark, d):
+    return rounded(eda.corr_kendall(table(spark, d, "part"), "p_size", "p_retailprice"))
+
+
+_KENDALL_WHOLE = """select 'p_size' as variable_1, 'p_retailprice' as variable_2, round(sum(sign(a.p_size - b.p_size) * sign(a.p_retailprice - b.p_retailprice)) /
+ sqrt(sum(sign(a.p_size - b.p_size) * sign(a.p_size - b.p_size)) * sum(sign(a.p_retailprice - b.p_retailprice) * sign(a.p_retailprice - b.p_retailprice))), 4)::double as correlacion
+from part a join part b on a.p_partkey < b.p_partkey"""
+
+
 def top_correlations(spark, d):
     return rounded(eda.top_correlations(eda.corr_pearson(table(spark, d, "lineitem"), NUM), 0.5))
 
@@ -196,6 +205,7 @@ QUERIES = {
     "corr_pearson": (corr_pearson, _PEARSON),
     "corr_spearman": (corr_spearman, _SPEARMAN),
     "corr_kendall": (corr_kendall, _KENDALL),
+    "corr_kendall_whole": (corr_kendall_whole, _KENDALL_WHOLE),
     "top_correlations": (top_correlations, _TOP),
     "cramers_v": (cramers_v, _v_sql("l_returnflag", "l_linestatus", "lineitem") + " union all " + _v_sql("o_orderstatus", "o_orderpriority", "orders")),
     "chi2": (chi2, f"with {_chi_cte('o_orderstatus', 'o_orderpriority', 'orders')} select n::bigint as n, r, k, round(chi2, 4) as chi2 from t"),

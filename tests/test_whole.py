@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lumenframe.operators import clustering as K
+from lumenframe.operators import eda
 from lumenframe.plans import q_cluster
 
 
@@ -28,3 +29,15 @@ def test_cluster_queries_see_the_whole_table(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, 0, [0.5])], "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     q_cluster.hierarchical(spark, str(tmp_path))
     assert seen == {"grid": {}, "tree": {}}
+
+
+@pytest.mark.parametrize("rows", [1 << 14, 200])
+def test_kendall_takes_all_rows(spark, rows):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=2600), 1)
+    y = np.where(np.arange(2600) % 3 > 0, np.round(x + rng.normal(size=2600), 1), rng.normal(size=2600))
+    df = spark.createDataFrame([*zip(x.tolist(), y.tolist(), strict=True), (None, 1.0), (1.0, None)], "x double, y double")
+    sx, sy = np.sign(x[:, None] - x[None]), np.sign(y[:, None] - y[None])
+    want = (sx * sy).sum() / np.sqrt((sx * sx).sum() * (sy * sy).sum())
+    assert eda.corr_kendall(df, "x", "y", rows=rows).first()["correlacion"] == pytest.approx(want, abs=1e-12)
+    assert eda.corr_kendall(df.limit(0), "x", "y").first()["correlacion"] is None
