@@ -184,7 +184,7 @@ class Constant:
 def model_zoo(task: str, n_rows: int, sd_y: float = 1.0, fast: bool = False, weight: str | None = None, seed: int = 42, n_features: int = 1, n_classes: int = 2) -> dict:
     """name -> estimator. Penalties are those of per-row-sum objectives, restated for Spark's per-row-mean ones.
 
-    Extra trees, histogram boosting and kernel machines are approximated by the nearest that Spark has, and say so.
+    Extra trees and the classifiers' kernel machine are approximated by the nearest that Spark has, and say so. The README lists what is left out.
     """
     trees = 60 if fast else 300
     if task != "regresion":
