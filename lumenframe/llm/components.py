@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
+from .common import discard, materialize
 
 EDGES_A_PART = 500_000
 
@@ -44,7 +43,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
             .unionByName(root.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        current = materialize(small.coalesce(parts), "stars")
+        last, current = current, materialize(small.coalesce(parts), "stars")
+        discard(last)
         now = _digest(current)
         if now == seen:
             return current.select(F.col("hi").alias("node"), F.col("lo").alias("component"))

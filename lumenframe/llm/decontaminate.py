@@ -14,7 +14,7 @@ from .common import map_batches, materialize, text_only, utf8
 _TABLE = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
 )
-#: An automaton holds about so many pattern characters at most; a larger benchmark is scanned in several groups.
+#: An automaton holds about so many pattern characters (and 8 for each item of a window) at most; a larger benchmark is scanned in several groups.
 GROUP_CHARS = 8_000_000
 
 
@@ -127,7 +127,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     items = text_only(benchmark, "item_id").withColumn("item_id", F.col("item_id").cast("long")).filter("item_id is not null and text is not null").distinct()
     schema = "doc_id long, n_words long, word_spans array<array<long>>, char_spans array<array<long>>, items array<long>"
     windows = materialize(_windows(items, width), "windows")
-    chars = windows.agg(F.sum(F.length("window"))).first()[0] or 0
+    chars = windows.agg(F.sum(F.length("window") + 8 * F.size("items"))).first()[0] or 0
     if chars <= group_chars:
         hits = map_batches(source, _scan(_collected(windows), "doc_id"), schema)
     else:

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, bloom_of
-from .common import map_batches, materialize, text_only, utf8
+from .common import bound_batches, discard, map_batches, materialize, release, text_only, utf8
 from .components import connected_components
 from .shingles import Powers, mix, shingle_set, word_hashes
 
 SEED = 20_240_117
 BLOCK_ITEMS = 1 << 16  # shingles in a block, about
-PACKED_ROWS = 4096  # members of small buckets that one call takes, about
+PACKED_ITEMS = 1 << 20  # shingles of small buckets that one call takes, about
+TASK_ITEMS = 1 << 22  # shingles that one task takes, about
 
 
 def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +154,7 @@ def _block_links(count: int, least: int, similarity: int):
         for s, e in zip(starts, [*starts[1:], len(table)], strict=True):
             sets = [flat[cuts[r] : cuts[r + 1]] for r in range(s, e)]
             one(column["node"][s:e], column["component"][s:e], column["block"][s:e], sig[s:e], sets, column["i"][s] == column["j"][s], out)
+        release()
         return pa.table([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
     return run
@@ -219,17 +221,19 @@ def near_duplicates(
 
     near = 100 * F.least("n", "m") >= similarity * F.greatest("n", "m")
     stars = shared.filter("node > center").filter(near).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    stars = materialize(stars, "pairs")
-    sigs = chosen(ends(stars), False, "signatures")
+    pairs = materialize(stars, "pairs")
+    sigs = chosen(ends(pairs), False, "signatures")
     aligned = F.aggregate(
         F.sequence(F.lit(0), F.lit(count - 1)),
         F.lit(0),
         lambda n, i: n + (F.substring("va", i * 4 + 1, F.lit(4)) == F.substring("vb", i * 4 + 1, F.lit(4))).cast("int"),
     )
-    stars = materialize(beside(stars, sigs, "sig").filter(aligned >= least).select("a", "b"), "likely")
+    likely = materialize(beside(pairs, sigs, "sig").filter(aligned >= least).select("a", "b"), "likely")
+    discard(pairs, sigs)
     inter, both = F.size(F.array_intersect("va", "vb")), F.size("va") + F.size("vb")
-    links = beside(stars, chosen(ends(stars), True, "sets"), "items").filter(100 * inter >= similarity * (both - inter))
-    links = materialize(links.select("a", "b"), "links")
+    sets = chosen(ends(likely), True, "sets")
+    links = materialize(beside(likely, sets, "items").filter(100 * inter >= similarity * (both - inter)).select("a", "b"), "links")
+    discard(likely, sets)
     named = connected_components(links)
 
     # a bucket of two was settled above; of the others, those still holding several components remain
@@ -238,18 +242,24 @@ def near_duplicates(
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n").alias("total")).filter("x < y")
     placed = materialize(placed.join(mixed.select("band", "total"), "band"), "unsettled")
     if not placed.isEmpty():
-        packs = 1 + placed.count() // PACKED_ROWS
+        bound_batches(docs.sparkSession)
+        items = placed.agg(F.sum(F.when(F.col("total") <= BLOCK_ITEMS, F.col("n"))).alias("small"), F.sum(F.col("n") * F.ceil(F.col("total") / BLOCK_ITEMS)).alias("dealt")).first()
+        packs = 1 + (items["small"] or 0) // PACKED_ITEMS
         parts = F.ceil(F.col("total") / BLOCK_ITEMS).cast("int")
+        sets = chosen(placed.select("node").distinct(), True, "unsettled_sets")
         dealt = (
-            placed.join(chosen(placed.select("node").distinct(), True, "unsettled_sets"), "node")
+            placed.join(sets, "node")
             .withColumn("block", F.pmod(F.xxhash64("node", "band"), parts).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
             .withColumn("i", F.least("block", "other"))
             .withColumn("j", F.greatest("block", "other"))
             .withColumn("pack", F.when(parts > 1, F.col("band")).otherwise(F.pmod(F.col("band"), F.lit(packs))))
         )
+        dealt = dealt.repartition(int(1 + items["dealt"] // TASK_ITEMS), "pack", "i", "j")
         more = dealt.groupBy("pack", "i", "j").applyInArrow(_block_links(count, least, similarity), "a long, b long")
-        named = connected_components(links.unionByName(materialize(more, "more_links")))
+        more = materialize(more, "more_links")
+        discard(placed, sets)
+        named = connected_components(links.unionByName(more))
 
     classed = classes.select("fa", "fb", "n_shingles", "node").join(named, "node", "left").select(
         "fa", "fb", "n_shingles", F.coalesce("component", "node").alias("component")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18  # bytes hashed at once
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -33,10 +33,14 @@ FEATURES = (
 TRAIN_ROWS = 24_000  # labelled rows that are fitted on, at most
 LEXICON = 3_000  # learned terms, at most
 STEMS = (4, 5, 6)
-NEAR = 24  # code points between a hit and a second-person word
+NEAR = 24  # bytes of UTF-8 between the ends of a hit and of a second-person word
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_OBFUSCATED = re.compile(r"(?<![\w@$])[^\W\d_]+[0-9@$!*|.\-]+[^\W\d_][\w@$!*]*")
+_SIGNS = frozenset("0123456789@$!*|.-")
+_SIGN_BEFORE_LETTER = re.compile(r"[0-9@$!*|.\-]+(?=[^\W\d_])")
+_EDGE_SIGNS = "!*|.-"
+#: ASCII letters and all non-ASCII bytes stay, all else becomes a blank.
+_BLANKED = bytes(c if 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _CLASSES = np.zeros(256, dtype=np.int64)
 _CLASSES[0x41:0x5B] = 1
 _CLASSES[0x61:0x7B] = 2
@@ -85,30 +89,50 @@ def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> dict[str, float]:
     return {r["term"]: r["odds"] for r in best.collect()}
 
 
+def obfuscated_words(text: str) -> list[str]:
+    """Words in which digits or signs stand between letters or lead them; signs at a word's edges are punctuation.
+
+    A word is a run of letters, digits and the signs that stand for letters. The text is gone through once.
+    """
+    out, done = [], 0
+    part = lambda c: c.isalpha() or c in _SIGNS
+    for m in _SIGN_BEFORE_LETTER.finditer(text):
+        if m.start() < done:
+            continue
+        a, b = m.start(), m.end()
+        while a > done and part(text[a - 1]):
+            a -= 1
+        while b < len(text) and part(text[b]):
+            b += 1
+        done = b
+        word = text[a:b].strip(_EDGE_SIGNS)
+        if _SIGN_BEFORE_LETTER.search(word):
+            out.append(word)
+    return out
+
+
 class Scorer:
     """Dense features of a text, in time linear in it."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.automaton = ahocorasick.Automaton()
-        entries: dict[str, tuple[int, float]] = {f" {w} ": (0, 2.0) for w in INSULTS}
+        entries: dict[str, tuple[int, float]] = {}
         for term, odds in lexicon.items():
             entries[f" {term[:-1]}" if term.endswith("*") else f" {term} "] = (2 if term.endswith("*") else 1, odds)
         entries |= {f" {w} ": (0, lexicon.get(w, 2.0)) for w in INSULTS}
         entries |= {f" {w} ": (3, 0.0) for w in SECOND_PERSON}
         for term, value in entries.items():
-            self.automaton.add_word(term, (term, *value))
+            self.automaton.add_word(term.encode().decode("latin-1"), (term, *value))
         self.automaton.make_automaton()
         self.bad_words = set(INSULTS) | {t for t in lexicon if not t.endswith("*")}
         self.bad_stems = tuple(t[:-1] for t in lexicon if t.endswith("*"))
-        self.table = {c: " " for c in map(chr, range(128)) if not c.isalpha()}
-        self.table = str.maketrans(self.table)
 
     def features(self, text: str) -> list[float]:
         data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
         kinds = np.bincount(_CLASSES[data], minlength=6).astype(float)
         chars = max(len(text), 1)
-        line = f" {text.lower().translate(self.table)} "
-        words = max(line.count(" ") - line.count("  ") - 1, 1)
+        line = f" {text.lower().encode('utf-8', 'replace').translate(_BLANKED).decode('latin-1')} "
+        words = max(len(line.split()), 1)
         hits = [0, 0, 0]
         weight, distinct = 0.0, set()
         bad_at, you_at = [], []
@@ -128,10 +152,9 @@ class Scorer:
             near = int((gap <= NEAR).sum())
         obfuscated = obfuscated_hits = 0
         if kinds[3] or kinds[4] or kinds[5]:
-            for m in _OBFUSCATED.finditer(text):
+            for word in obfuscated_words(text):
                 obfuscated += 1
-                plain = m[0].lower().translate(LOOKALIKE)
-                plain = "".join(c for c in plain if c.isalpha())
+                plain = "".join(c for c in word.lower().translate(LOOKALIKE) if c.isalpha())
                 obfuscated_hits += plain in self.bad_words or (bool(self.bad_stems) and plain.startswith(self.bad_stems))
         letters = max(kinds[1] + kinds[2], 1)
         shouted = sum(1 for w in text.split() if len(w) > 2 and w.isupper()) if kinds[1] / letters > 0.1 else 0

@@ -22,6 +22,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ARCHIVE_BYTES = 64 << 20  # an archive is closed beyond so many bytes of records
 READ_BYTES = 4 << 20  # neighbouring records are fetched together up to this
 BATCH_BYTES = 8 << 20
+MOST_READERS = 100_000  # tasks that read archives; a task then takes several
 
 # --- ZIP structures (PKWARE APPNOTE 4.3) ------------------------------------------------------
 
@@ -249,5 +250,6 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield pack(rows)
 
-    paths = archives.select("path").repartition(F.col("path"))
+    paths = archives.select("path")
+    paths = paths.repartition(max(1, min(paths.count(), MOST_READERS)))  # dealt in turn; a number that adaptive execution leaves alone
     return paths.mapInArrow(read, RECORD + (", payload binary" if with_payload else ""))

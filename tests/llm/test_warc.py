@@ -7,6 +7,7 @@ import zipfile
 
 import pytest
 from pyarrow import fs as pafs
+from pyspark.sql import functions as F
 
 from lumenframe.llm import warc
 
@@ -36,6 +37,14 @@ def test_round_trip(spark, tmp_path):
     assert empty.count() == 0 and warc.read_archives(empty).count() == 0
 
 
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    rows = [(i, "u", f"page {i}") for i in range(40)]
+    archives = warc.write_archives(frame(spark, rows).repartition(4), f"file://{tmp_path}/many", archive_bytes=1)
+    assert archives.count() == 40
+    read = warc.read_archives(archives)
+    assert read.select(F.spark_partition_id().alias("p")).distinct().count() == 40
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_directory_equals_the_standard_library(tmp_path, zip64):
     rng, path = random.Random(3), tmp_path / "a.zip"
