@@ -18,9 +18,13 @@ MONTH_FIRST = ["M/d/yyyy", "M-d-yyyy", "M/d/yyyy HH:mm", "M/d/yyyy HH:mm:ss", "M
 ISO = ["yyyy-MM-dd", "yyyy/M/d", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyyMMdd"]
 
 
+#: What ``\\s`` and ``\\p{Z}`` stand for.
+WHITE = " \t\n\x0b\x0c\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(c: Column) -> Column:
-    """Without white space at the ends, Unicode blanks included."""
-    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    """Without white space at the ends, Unicode blanks included; only the ends are looked at."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def is_blank(c: Column) -> Column:
@@ -54,10 +58,13 @@ def has_letters(c: Column) -> Column:
     return F.coalesce(c.rlike(r"\p{L}"), F.lit(False))
 
 
+LONGEST_DATE = 64  # no format matches a longer text
+
+
 def parse_datetime(c: Column, day_first: bool = True) -> Column:
     formats = [*ISO, *((DAY_FIRST + MONTH_FIRST) if day_first else (MONTH_FIRST + DAY_FIRST))]
     s = stripped(c.cast("string"))
-    s = F.when(F.length(s) >= 6, s)
+    s = F.when(F.length(s).between(6, LONGEST_DATE), s)
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("timestamp_ntz")
 
 

@@ -14,6 +14,7 @@ from ..functions import names as N
 from ..functions import parsing as P
 from ..functions import special
 from ..functions import stats as S
+from ..plans import order
 from ..plans.fusion import AggFusion, stacked
 
 SHAPIRO_MOST, SHAPIRO_LEAST = 5_000, 20
@@ -28,16 +29,20 @@ def shape_label(skew: Column, kurt: Column) -> Column:
 
 
 def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row a numeric column, from a single pass."""
+    """One row a numeric column: moments from one pass, quantiles and modes from others."""
+    columns = columns or N.numeric_columns(df)
     x = lambda c: P.to_float(N.q(c))
     stats = {
-        "n": lambda c: F.count(x(c)), "nulos": lambda c: F.count("*") - F.count(x(c)), "media": lambda c: F.avg(x(c)), "mediana": lambda c: F.median(x(c)),
-        "moda": lambda c: S.mode(x(c)), "desv_std": lambda c: F.stddev_samp(x(c)), "min": lambda c: F.min(x(c)), "p5": lambda c: S.quantile(x(c), 0.05),
-        "p25": lambda c: S.quantile(x(c), 0.25), "p75": lambda c: S.quantile(x(c), 0.75), "p95": lambda c: S.quantile(x(c), 0.95), "max": lambda c: F.max(x(c)),
+        "n": lambda c: F.count(x(c)), "nulos": lambda c: F.count("*") - F.count(x(c)), "media": lambda c: F.avg(x(c)),
+        "desv_std": lambda c: F.stddev_samp(x(c)), "min": lambda c: F.min(x(c)), "max": lambda c: F.max(x(c)),
         "asimetria": lambda c: S.skewness(x(c)), "curtosis": lambda c: S.kurtosis(x(c)), "ceros": lambda c: F.count_if(x(c) == 0),
     }
     kinds = {k: "long" if k in ("n", "nulos", "ceros") else "double" for k in stats}
-    out = stacked(df, columns or N.numeric_columns(df), stats, kinds)
+    out = stacked(df, columns, stats, kinds)
+    cuts = order.quantiles(df, {c: (x(c), (0.05, 0.25, 0.5, 0.75, 0.95)) for c in columns})
+    tops = order.tallies(df, {c: x(c) for c in columns})
+    placed = df.sparkSession.createDataFrame([(c, tops[c][1], *cuts[c]) for c in columns], "variable string, moda double, p5 double, p25 double, mediana double, p75 double, p95 double")
+    out = out.join(F.broadcast(placed), "variable")  # a row a column
     return out.select(
         "variable", "n", "nulos", "media", "mediana", "moda", "desv_std", (100 * S.ratio(F.col("desv_std"), F.abs("media"))).alias("cv_%"), "min", "p5", "p25", "p75", "p95", "max",
         (F.col("max") - F.col("min")).alias("rango"), (F.col("p75") - F.col("p25")).alias("iqr"), "asimetria", "curtosis",
@@ -103,19 +108,10 @@ def _unfold(df: DataFrame, found: dict[tuple[str, str], Column]) -> DataFrame:
     return df.agg(rows.alias("r")).select(F.inline("r"))
 
 
-def _ranked(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Average ranks of each column. Values are counted and the distinct ones ranked, so a column of few values costs little."""
-    out = df
-    for k, c in enumerate(columns):
-        counts = df.groupBy(c).agg(F.count("*").alias("n"))
-        placed = _running(counts, c, "n")
-        out = out.join(placed.select(F.col(c), (F.col("before") + (F.col("n") + 1) / 2).alias(f"__r{k}")), c)
-    return out.select(*[F.col(f"__r{k}").alias(c) for k, c in enumerate(columns)])
-
-
 def _running(counts: DataFrame, key: str, n: str) -> DataFrame:
     """``before``: the sum of ``n`` over smaller keys, by ranges of keys and then inside each."""
-    ranged = counts.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id())
+    # kept, so that both uses see the same ranges; a lost block is made again with the same bounds
+    ranged = counts.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id()).persist()
     inside = W.partitionBy("__part").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
     sized = ranged.withColumn("__in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
     part = sized.groupBy("__part").agg(F.sum(n).alias("__s"))
@@ -125,18 +121,28 @@ def _running(counts: DataFrame, key: str, n: str) -> DataFrame:
 
 
 def corr_spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """As ``corr_pearson`` on average ranks, each pair ranked over the rows that have both."""
+    """As ``corr_pearson`` on average ranks, each pair ranked over the rows that have both.
+
+    The ranks of all pairs come from one table of counted values; columns without gaps are ranked once.
+    """
     columns = columns or N.numeric_columns(df)
     clean = df.select(*[P.to_float(N.q(c)).alias(c) for c in columns])
-    whole = clean.agg(*[F.count_if(N.q(c).isNull()).alias(c) for c in columns]).first()
-    full = [c for c in columns if not whole[c]]
+    gaps = clean.agg(*[F.count_if(N.q(c).isNull()).alias(f"g{k}") for k, c in enumerate(columns)]).first()
+    full = {c for k, c in enumerate(columns) if not gaps[k]}
+    ranked: dict[tuple[str, str | None], Column] = {}  # a column, and the other one that its rows must have
+    for pair in _pairs(columns):
+        for c, other in (pair, pair[::-1]):
+            key = (c, None if other in full else other)
+            ranked[key] = N.q(c) if key[1] is None else F.when(N.q(other).isNotNull(), N.q(c))
+    placed = order.ranks(clean, list(ranked.values())).persist()
+    number = {key: k for k, key in enumerate(ranked)}
+    rank = lambda c, other, name: placed.filter(F.col("c") == number[c, None if other in full else other]).select(F.col("value").alias(c), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
     out = None
-    if len(full) > 1:
-        out = _unfold(_ranked(clean.select(full), full), {(a, b): F.corr(a, b) for a, b in _pairs(full)})
     for a, b in _pairs(columns):
-        if a not in full or b not in full:
-            one = _unfold(_ranked(clean.select(a, b).dropna(), [a, b]), {(a, b): F.corr(a, b)})
-            out = one if out is None else out.unionByName(one)
+        both = clean.select(N.q(a).alias("__a"), N.q(b).alias("__b")).dropna()
+        both = both.join(rank(a, b, "__ra").withColumnRenamed(a, "__a"), "__a").join(rank(b, a, "__rb").withColumnRenamed(b, "__b"), "__b")
+        one = both.agg(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), F.corr("__ra", "__rb").alias("correlacion"))
+        out = one if out is None else out.unionByName(one)
     return out if out is not None else _unfold(df, {})
 
 
@@ -335,10 +341,11 @@ def outlier_table(df: DataFrame, columns: list[str] | None = None, factor: float
     facts = AggFusion(df)
     x = {c: P.to_float(N.q(c)) for c in columns}
     for c in columns:
-        facts.want(c, F.struct(F.count(x[c]).alias("n"), S.quantile(x[c], 0.25).alias("q1"), S.quantile(x[c], 0.75).alias("q3")))
-    found = {c: r for c, r in (facts.run() if columns else {}).items() if r["n"] >= 5}
-    low = {c: r["q1"] - factor * (r["q3"] - r["q1"]) for c, r in found.items()}
-    high = {c: r["q3"] + factor * (r["q3"] - r["q1"]) for c, r in found.items()}
+        facts.want(c, F.count(x[c]))
+    enough = {c for c, n in (facts.run() if columns else {}).items() if n >= 5}
+    found = order.quantiles(df, {c: (x[c], (0.25, 0.75)) for c in columns if c in enough})
+    low = {c: a - factor * (b - a) for c, (a, b) in found.items()}
+    high = {c: b + factor * (b - a) for c, (a, b) in found.items()}
     out = lambda c: (x[c] < low[c]) | (x[c] > high[c])
     stats = {
         "limite_inferior": lambda c: F.lit(low[c]), "limite_superior": lambda c: F.lit(high[c]), "n": lambda c: F.count(x[c]), "n_outliers": lambda c: F.count_if(out(c)),
@@ -390,7 +397,8 @@ def histogram(df: DataFrame, column: str, bins: int = 40, by: str | None = None,
 def box_stats(df: DataFrame, column: str, by: str, top_groups: int = 8) -> DataFrame:
     """Quartiles and whiskers (the farthest values within 1.5 quartile ranges) of the largest groups."""
     rows = df.select(N.as_label(N.q(by)).alias("grupo"), P.to_float(N.q(column)).alias("x")).filter("x is not null")
-    often = rows.groupBy("grupo").agg(F.count("*").alias("n"), S.quantile(F.col("x"), 0.25).alias("p25"), F.median("x").alias("mediana"), S.quantile(F.col("x"), 0.75).alias("p75")).orderBy(F.desc("n"), "grupo").limit(top_groups)
+    often = rows.groupBy("grupo").agg(F.count("*").alias("n"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).orderBy(F.desc("n"), "grupo").limit(top_groups)
+    often = often.select("grupo", "n", F.col("q")[0].alias("p25"), F.col("q")[1].alias("mediana"), F.col("q")[2].alias("p75"))
     reach = 1.5 * (F.col("p75") - F.col("p25"))
     inside = (F.col("x") >= F.col("p25") - reach) & (F.col("x") <= F.col("p75") + reach)
     return rows.join(F.broadcast(often), "grupo").groupBy("grupo", "n", "p25", "mediana", "p75").agg(F.min(F.when(inside, F.col("x"))).alias("bigote_inf"), F.max(F.when(inside, F.col("x"))).alias("bigote_sup"))

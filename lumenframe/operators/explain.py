@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import parsing as P
 from ..functions import stats as S
+from ..plans import order as O
 from .clustering import bounded
 from .learning import Preprocessor, evaluate, variable_of
 from .metrics import LOWER_IS_BETTER
@@ -86,7 +87,7 @@ def partial_dependence(df: DataFrame, model, ready: Preprocessor, feature: str,
         x = P.to_float(N.q(feature))
         values = sorted(r["v"] for r in some.select(x.alias("v")).dropna().distinct().limit(points + 1).collect())
         if len(values) > points:
-            low, high = some.agg(S.quantile(x, 0.05), S.quantile(x, 0.95)).first()
+            low, high = O.quantiles(some, {0: (x, (0.05, 0.95))})[0]
             values = [low + (high - low) * k / (points - 1) for k in range(points)]
     else:
         values = [r["v"] for r in some.groupBy(N.q(feature).cast("string").alias("v")).count().filter("v is not null").orderBy(F.desc("count"), "v").limit(points).collect()]

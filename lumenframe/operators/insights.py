@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions import names as N
 from ..functions import parsing as P
 from ..functions import stats as S
+from ..plans import order as O
 from . import eda, quality
 
 SCENARIOS_MOST = 4_000
@@ -105,14 +106,17 @@ def executive_summary(report: list[str], actions: list[dict], best_model: str |
 
 
 def base_scenario(df: DataFrame, features: list[str]) -> dict:
-    """Median or mode of each column, from one pass."""
-    row = df.agg(*[(F.median(P.to_float(N.q(c))) if N.is_numeric(df, c) else S.mode(N.q(c))).alias(f"v{k}") for k, c in enumerate(features)]).first()
-    return {c: row[f"v{k}"] for k, c in enumerate(features)}
+    """Median or mode of each column."""
+    middle = O.quantiles(df, {c: (P.to_float(N.q(c)), (0.5,)) for c in features if N.is_numeric(df, c)})
+    rest = [c for c in features if c not in middle]
+    modes = df.agg(*[S.mode(N.q(c)).alias(f"v{k}") for k, c in enumerate(rest)]).first() if rest else []
+    found = {c: v[0] for c, v in middle.items()} | dict(zip(rest, modes, strict=True))
+    return {c: found[c] for c in features}
 
 
 def lever_values(df: DataFrame, column: str, points: int = 5) -> list:
     if N.is_numeric(df, column):
-        low, high = df.agg(S.quantile(P.to_float(N.q(column)), 0.05), S.quantile(P.to_float(N.q(column)), 0.95)).first()
+        low, high = O.quantiles(df, {column: (P.to_float(N.q(column)), (0.05, 0.95))})[column]
         return [low + (high - low) * k / (points - 1) for k in range(points)]
     return [r["v"] for r in df.groupBy(N.q(column).alias("v")).count().filter("v is not null").orderBy(F.desc("count"), "v").limit(20).collect()]
 

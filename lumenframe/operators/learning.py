@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import parsing as P
 from ..functions import stats as S
+from ..plans import order as O
 from ..plans.fusion import AggFusion
 from . import metrics as M
 
@@ -124,12 +125,15 @@ def fit_preprocessor(train: DataFrame, features: list[str], num_impute: str = "m
     numeric = [c for c in features if N.is_numeric(train, c)]
     rest = [c for c in features if c not in dates and c not in numeric and not N.is_nested(train, c)]
     facts = AggFusion(train)
-    for c in [*numeric, *dates]:
-        x = F.unix_micros(N.q(c).cast("timestamp")) / 86.4e9 if c in dates else P.to_float(N.q(c))
-        middle = F.avg(x) if num_impute == "mean" and c in numeric else S.mode(x) if num_impute == "most_frequent" and c in numeric else F.median(x)
-        facts.want(c, F.struct(middle.alias("fill"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.median(x).alias("mid"),
-                               (S.quantile(x, 0.75) - S.quantile(x, 0.25)).alias("iqr"), F.count(x).alias("n"), F.count("*").alias("rows")))
-    got = facts.run() if facts.wanted else {}
+    number = {c: F.unix_micros(N.q(c).cast("timestamp")) / 86.4e9 if c in dates else P.to_float(N.q(c)) for c in [*numeric, *dates]}
+    for c, x in number.items():
+        facts.want(c, F.struct(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"), F.count("*").alias("rows")))
+    got = {c: r.asDict() for c, r in (facts.run() if facts.wanted else {}).items()}
+    for c, (low, mid, high) in O.quantiles(train, {c: (x, (0.25, 0.5, 0.75)) for c, x in number.items()}).items():
+        got[c] |= {"mid": mid, "iqr": None if low is None else high - low, "fill": got[c]["mean"] if num_impute == "mean" and c in numeric else mid}
+    if num_impute == "most_frequent":
+        for c, (_, top, _) in O.tallies(train, {c: number[c] for c in numeric}).items():
+            got[c]["fill"] = top
     fills, centers, scales, kept = {}, {}, {}, {}
     for c, r in got.items():
         fill = fills[c] = float(r["fill"]) if r["fill"] is not None else 0.0

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..plans import order as O
 
 LOWER_IS_BETTER = {"rmse", "mae", "mape", "smape", "mediana_ae", "log_loss", "rmse_norm"}
 PRIMARY = {"binaria": "roc_auc", "multiclase": "f1_weighted", "regresion": "r2"}
@@ -105,7 +106,10 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
 def threshold_analysis(df: DataFrame, label: str = "label", score: str = "score", steps: int = 101) -> DataFrame:
     """Metrics at evenly spaced thresholds: scores are placed between thresholds once, and counts run down from the top."""
     grid = [0.01 + 0.98 * k / (steps - 1) for k in range(steps)]
-    place = F.aggregate(F.array(*[F.lit(g) for g in grid]), F.lit(0), lambda n, g: n + (F.col(score) >= g).cast("int"))
+    line = lambda k: F.lit(0.01) + F.lit(0.98) * k / (steps - 1)
+    near = F.least(F.greatest(F.floor((F.col(score) - 0.01) * (steps - 1) / 0.98), F.lit(-1)), F.lit(steps - 1)).cast("int")
+    # how many thresholds are reached: the estimate, put right against its neighbours
+    place = (near + 1 - ((near >= 0) & (line(near) > F.col(score))).cast("int") + ((near + 1 < steps) & (line(near + 1) <= F.col(score))).cast("int"))
     counts = df.filter(F.col(score).isNotNull()).groupBy(place.alias("k")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count("*").alias("n"))
     thresholds = df.sparkSession.createDataFrame([(k + 1, g) for k, g in enumerate(grid)], "k int, umbral double")
     full = thresholds.unionByName(df.sparkSession.createDataFrame([(0, None)], "k int, umbral double")).join(F.broadcast(counts), "k", "left").fillna(0, ["pos", "n"])
@@ -123,16 +127,17 @@ def best_threshold(table: DataFrame) -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, real: str = "label", predicted: str = "prediction", n_features: int = 1) -> DataFrame:
-    """All regression metrics in one pass."""
+    """All regression metrics: one pass, and the median of the errors."""
     y, e = F.col(real).cast("double"), F.col(real).cast("double") - F.col(predicted)
     n, sse, sst = F.count("*"), F.sum(e * e), F.var_pop(y) * F.count("*")
     r2 = 1 - S.ratio(sse, F.nullif(sst, F.lit(0.0)))
     rmse = F.sqrt(sse / n)
     span = F.max(y) - F.min(y)
+    middle = O.quantiles(df, {"e": (F.abs(e), (0.5,))})["e"][0]
     return df.agg(
         r2.alias("r2"), (1 - (1 - r2) * (n - 1) / F.greatest(n - n_features - 1, F.lit(1))).alias("r2_ajustado"), rmse.alias("rmse"), F.avg(F.abs(e)).alias("mae"),
         (100 * F.avg(F.when(F.abs(y) > 1e-9, F.abs(e / y)))).alias("mape"), (100 * F.avg(2 * F.abs(e) / F.greatest(F.abs(y) + F.abs(F.col(predicted)), F.lit(1e-9)))).alias("smape"),
-        F.median(F.abs(e)).alias("mediana_ae"), (1 - S.ratio(F.var_pop(e), F.nullif(F.var_pop(y), F.lit(0.0)))).alias("varianza_explicada"), (100 * rmse / F.when(span != 0, span).otherwise(1.0)).alias("rmse_norm"),
+        F.lit(middle).cast("double").alias("mediana_ae"), (1 - S.ratio(F.var_pop(e), F.nullif(F.var_pop(y), F.lit(0.0)))).alias("varianza_explicada"), (100 * rmse / F.when(span != 0, span).otherwise(1.0)).alias("rmse_norm"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import parsing as P
 from ..functions import stats as S
+from ..plans import order as O
 from ..plans.fusion import AggFusion, stacked
 from .roles import infer_roles
 
@@ -21,19 +22,15 @@ SEVERITY = {"Crítica": 0, "Alta": 1, "Media": 2, "Baja": 3, "Info": 4}
 def column_profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Numeric profile, one row a column: bounds by 1.5 times the quartile range, population deviation.
 
-    Quartiles and moments come from one pass; counts outside the bounds need them, so from a second one.
+    Moments come from one pass, quartiles and distinct values from others; counts outside the bounds need them, so from a last one.
     """
     columns = columns or N.numeric_columns(df)
     number = lambda c: P.to_float(N.q(c))
     first = {
         "filas": ("long", lambda c: F.count("*")),
         "n": ("long", lambda c: F.count(number(c))),
-        "unicos": ("long", lambda c: F.count_distinct(number(c))),
         "min": ("double", lambda c: F.min(number(c))),
-        "p25": ("double", lambda c: S.quantile(number(c), 0.25)),
-        "mediana": ("double", lambda c: F.median(number(c))),
         "media": ("double", lambda c: F.avg(number(c))),
-        "p75": ("double", lambda c: S.quantile(number(c), 0.75)),
         "max": ("double", lambda c: F.max(number(c))),
         "desv_std": ("double", lambda c: F.stddev_pop(number(c))),
         "asimetria": ("double", lambda c: S.skewness(number(c))),
@@ -42,7 +39,9 @@ def column_profile_numeric(df: DataFrame, columns: list[str] | None = None) -> D
         "negativos": ("long", lambda c: F.count_if(number(c) < 0)),
     }
     base = stacked(df, columns, {k: f for k, (_, f) in first.items()}, {k: t for k, (t, _) in first.items()})
-    facts = {r["variable"]: r for r in base.collect()}  # a row a column
+    cuts = O.quantiles(df, {c: (number(c), (0.25, 0.5, 0.75)) for c in columns})
+    kinds = O.distinct_counts(df, {c: number(c) for c in columns})
+    facts = {r["variable"]: {**r.asDict(), "unicos": kinds[r["variable"]], **dict(zip(("p25", "mediana", "p75"), cuts[r["variable"]], strict=True))} for r in base.collect()}  # a row a column
 
     def outside(c: str) -> Column:
         r = facts[c]
@@ -56,7 +55,8 @@ def column_profile_numeric(df: DataFrame, columns: list[str] | None = None) -> D
         return F.count_if(F.abs((number(c) - r["media"]) / r["desv_std"]) > 3) if r["desv_std"] else F.sum(F.lit(0))
 
     tails = stacked(df, columns, {"outliers_iqr": outside, "outliers_z3": beyond}, {"outliers_iqr": "long", "outliers_z3": "long"})
-    known = df.sparkSession.createDataFrame(list(facts.values()), base.schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["unicos long", "p25 double", "mediana double", "p75 double"])
+    known = df.sparkSession.createDataFrame([tuple(r.values()) for r in facts.values()], schema)
     n = F.col("filas")
     return known.join(tails, "variable").select(
         "variable", (n - F.col("n")).alias("nulos"), S.percent(n - F.col("n"), n).alias("%_nulos"), S.percent(F.col("n"), n).alias("completitud_%"),
@@ -75,19 +75,16 @@ def column_profile_text(df: DataFrame, columns: list[str] | None = None) -> Data
         "filas": ("long", lambda c: F.count("*")),
         "n": ("long", lambda c: F.count(N.q(c))),
         "vacios_texto": ("long", lambda c: F.count_if(P.is_blank(N.q(c)))),
-        "unicos": ("long", lambda c: F.count_distinct(N.q(c))),
-        "distintos_sin_caja": ("long", lambda c: F.count_distinct(folded(c))),
         "long_min": ("long", lambda c: F.min(F.char_length(N.q(c)))),
         "long_max": ("long", lambda c: F.max(F.char_length(N.q(c)))),
         "espacios_sobrantes": ("long", lambda c: F.count_if(N.q(c) != P.stripped(N.q(c)))),
     }
     base = stacked(df, columns, {k: f for k, (_, f) in wanted.items()}, {k: t for k, (t, _) in wanted.items()})
-    modes = None
-    for c in columns:
-        one = top_values(df, c, 1).select(F.lit(c).alias("variable"), F.col("valor").alias("moda"), F.col("frecuencia").alias("frec_moda"))
-        modes = one if modes is None else modes.unionByName(one)
+    tops = O.tallies(df, {c: N.q(c) for c in columns}, "string")
+    alike = O.distinct_counts(df, {c: folded(c) for c in columns})
+    rows = [(c, tops[c][0], alike[c], tops[c][1], tops[c][2] if tops[c][0] else None) for c in columns]
     n = F.col("filas")
-    joined = base.join(modes, "variable", "left") if modes is not None else base.withColumn("moda", F.lit(None).cast("string")).withColumn("frec_moda", F.lit(None).cast("long"))
+    joined = base.join(F.broadcast(df.sparkSession.createDataFrame(rows, "variable string, unicos long, distintos_sin_caja long, moda string, frec_moda long")), "variable")  # a row a column
     return joined.select(
         "variable", (n - F.col("n")).alias("nulos"), S.percent(n - F.col("n"), n).alias("%_nulos"), "vacios_texto",
         S.percent(F.col("vacios_texto"), n).alias("%_vacios"), S.percent(F.col("n") - F.col("vacios_texto"), n).alias("completitud_%"),
@@ -105,8 +102,9 @@ def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Copies beyond the first of each row, nulls being equal: one row (filas, duplicados)."""
-    row = F.struct(*[N.q(c) for c in N.data_columns(df)])
-    return df.agg(F.count("*").alias("filas"), (F.count("*") - F.count_distinct(row)).alias("duplicados"))
+    rows = df.select(O.hashed(*[N.q(c) if not N.is_nested(df, c) else F.to_json(F.struct(N.q(c))) for c in N.data_columns(df)]).alias("v"))
+    copies = rows.groupBy("v.h", "v.g").agg(F.count("*").alias("n"))
+    return copies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("filas"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicados"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -199,8 +197,10 @@ def far_outside_share(df: DataFrame) -> float:
     number = {c: P.to_float(N.q(c)) for c in columns}
     first = AggFusion(df)
     for c in columns:
-        first.want(c, F.struct(F.count(number[c]).alias("n"), S.quantile(number[c], 0.25).alias("lo"), S.quantile(number[c], 0.75).alias("hi")))
-    facts = first.run() if columns else {}
+        first.want(c, F.count(number[c]))
+    counts = first.run() if columns else {}
+    cuts = O.quantiles(df, {c: (number[c], (0.25, 0.75)) for c in columns})
+    facts = {c: {"n": counts[c], "lo": cuts[c][0], "hi": cuts[c][1]} for c in columns}
     second = AggFusion(df)
     for c, r in facts.items():
         if r["n"] >= 5 and r["hi"] > r["lo"]:
@@ -292,7 +292,8 @@ def missing_matrix(df: DataFrame, order: list[str], most: int = 500) -> DataFram
 
 def with_position(df: DataFrame, order: list[str]) -> DataFrame:
     """``__pos``, the 0-based position in ``order``: ranges are sorted apart and shifted by the counts before them."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
+    # kept, so that both uses see the same ranges; a lost block is made again with the same bounds
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()).persist()
     inside = W.partitionBy("__part").orderBy(*order)
     numbered = ranged.withColumn("__in", F.row_number().over(inside))
     sizes = numbered.groupBy("__part").agg(F.count("*").alias("__n"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import parsing as P
 from ..functions import stats as S
+from ..plans import order as O
 from ..plans.fusion import AggFusion
 from .expressions import translate
 from .quality import dataset_diagnostics, with_position
@@ -135,8 +136,8 @@ def blanks_to_null(df: DataFrame) -> DataFrame:
 def _carried(c: Column, order: list[Column]) -> tuple[Column, Column]:
     """The last value up to here and the first from here, in order."""
     back = W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.orderBy(*order).rowsBetween(0, W.unboundedFollowing)
-    return F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)
+    ahead = W.orderBy(*[o.desc() for o in order]).rowsBetween(W.unboundedPreceding, 0)
+    return F.last(c, ignorenulls=True).over(back), F.last(c, ignorenulls=True).over(ahead)
 
 
 def _neighbours(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
@@ -146,23 +147,25 @@ def _neighbours(df: DataFrame, columns: list[str], order: list[str]) -> DataFram
     task sees more than its range.
     """
     placed = with_position(df, order).withColumn("__part", F.floor(F.col("__pos") / 100_000))
-    inside = W.partitionBy("__part").orderBy("__pos")
+    # both ways run down from the frame's start: a frame that ends at the last row would be gone through anew for each row
+    forth = W.partitionBy("__part").orderBy("__pos").rowsBetween(W.unboundedPreceding, 0)
+    back_to = W.partitionBy("__part").orderBy(F.desc("__pos")).rowsBetween(W.unboundedPreceding, 0)
     edge = placed.groupBy("__part").agg(*[
         F.struct(F.max_by(F.struct(N.q(c).alias("v"), F.col("__pos").alias("p")), F.when(N.q(c).isNotNull(), F.col("__pos"))).alias("last"),
                  F.min_by(F.struct(N.q(c).alias("v"), F.col("__pos").alias("p")), F.when(N.q(c).isNotNull(), F.col("__pos"))).alias("first")).alias(f"__e{k}")
         for k, c in enumerate(columns)
     ])
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    after = W.orderBy("__part").rowsBetween(1, W.unboundedFollowing)
+    after = W.orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)
     edge = edge.select("__part", *[
         x for k in range(len(columns)) for x in (
-            F.last(F.col(f"__e{k}.last"), ignorenulls=True).over(before).alias(f"__b{k}"), F.first(F.col(f"__e{k}.first"), ignorenulls=True).over(after).alias(f"__a{k}"))
+            F.last(F.col(f"__e{k}.last"), ignorenulls=True).over(before).alias(f"__b{k}"), F.last(F.col(f"__e{k}.first"), ignorenulls=True).over(after).alias(f"__a{k}"))
     ])
     out = placed.join(F.broadcast(edge), "__part")  # a row for each 100,000
     here = lambda c: F.when(N.q(c).isNotNull(), F.struct(N.q(c).alias("v"), F.col("__pos").alias("p")))
     for k, c in enumerate(columns):
-        back = F.last(here(c), ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
-        ahead = F.first(here(c), ignorenulls=True).over(inside.rowsBetween(0, W.unboundedFollowing))
+        back = F.last(here(c), ignorenulls=True).over(forth)
+        ahead = F.last(here(c), ignorenulls=True).over(back_to)
         out = out.withColumn(f"__b{k}", F.coalesce(back, f"__b{k}")).withColumn(f"__a{k}", F.coalesce(ahead, f"__a{k}"))
     return out
 
@@ -185,11 +188,13 @@ def impute(df: DataFrame, strategy_num: str = "mediana", strategy_cat: str = "mo
     facts = AggFusion(df)
     if strategy_num in ("media", "mediana"):
         for c in numbers:
-            facts.want(c, F.avg(P.to_float(N.q(c))) if strategy_num == "media" else F.median(P.to_float(N.q(c))))
-    if strategy_cat == "moda":
-        for c in texts:
-            facts.want(c, S.mode(N.q(c)))
+            if strategy_num == "media":
+                facts.want(c, F.avg(P.to_float(N.q(c))))
     got = facts.run() if facts.wanted else {}
+    if strategy_num == "mediana":
+        got |= {c: v[0] for c, v in O.quantiles(df, {c: (P.to_float(N.q(c)), (0.5,)) for c in numbers}).items()}
+    if strategy_cat == "moda":
+        got |= {c: t[1] for c, t in O.tallies(df, {c: N.q(c) for c in texts}, "string").items()}
     for c in numbers:
         kind = df.schema[c].dataType
         if strategy_num in ("media", "mediana"):
@@ -258,17 +263,19 @@ def drop_null_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 
 def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr", factor: float = 1.5, lower_q: float = 0.01, upper_q: float = 0.99) -> dict[str, tuple]:
-    """(low, high) for each column, from one pass."""
-    facts = AggFusion(df)
-    for c in columns:
-        x = P.to_float(N.q(c))
-        a, b = {"iqr": (S.quantile(x, 0.25), S.quantile(x, 0.75)), "zscore": (F.avg(x), F.stddev_pop(x)), "percentil": (S.quantile(x, lower_q), S.quantile(x, upper_q))}[method]
-        facts.want(c, F.struct(a.alias("a"), b.alias("b")))
+    """(low, high) for each column."""
+    number = {c: P.to_float(N.q(c)) for c in columns}
+    if method == "zscore":
+        facts = AggFusion(df)
+        for c, x in number.items():
+            facts.want(c, F.struct(F.avg(x), F.stddev_pop(x)))
+        found = facts.run() if columns else {}
+    else:
+        found = O.quantiles(df, {c: (x, (0.25, 0.75) if method == "iqr" else (lower_q, upper_q)) for c, x in number.items()})
     out = {}
-    for c, r in (facts.run() if columns else {}).items():
-        if r["a"] is None or r["b"] is None:
+    for c, (a, b) in found.items():
+        if a is None or b is None:
             continue
-        a, b = r["a"], r["b"]
         out[c] = (a - factor * (b - a), b + factor * (b - a)) if method == "iqr" else (a - factor * b, a + factor * b) if method == "zscore" else (a, b)
     return out
 
@@ -353,8 +360,11 @@ def transform_numeric(df: DataFrame, columns: list[str] | None = None, method: s
     facts = AggFusion(df)
     for c in chosen:
         x = P.to_float(N.q(c))
-        facts.want(c, F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.median(x).alias("mid")))
-    got = facts.run() if chosen else {}
+        facts.want(c, F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd")))
+    got = {c: r.asDict() for c, r in (facts.run() if chosen else {}).items()}
+    if method not in ("log1p", "sqrt", "zscore", "minmax"):
+        for c, (mid,) in O.quantiles(df, {c: (P.to_float(N.q(c)), (0.5,)) for c in chosen}).items():
+            got[c]["mid"] = mid
     new = {}
     for c in chosen:
         r, x = got[c], P.to_float(N.q(c))
@@ -378,8 +388,8 @@ def transform_numeric(df: DataFrame, columns: list[str] | None = None, method: s
 def bin_edges(df: DataFrame, column: str, bins: int, method: str) -> list[float]:
     x = P.to_float(N.q(column))
     if method == "cuantiles":
-        edges = df.agg(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).first()[0] or []
-        return sorted(set(edges))
+        edges = O.quantiles(df, {0: (x, [k / bins for k in range(bins + 1)])})[0]
+        return sorted({e for e in edges if e is not None})
     row = df.agg(F.min(x), F.max(x)).first()
     if row[0] is None:
         return []

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import parsing as P
+from ..plans import order
 from ..plans.fusion import AggFusion
 
 # Names that suggest an identifier, and words that make a column a truth value.
@@ -37,19 +38,21 @@ class Role:
 def infer_roles(df: DataFrame, approx: bool = False) -> dict[str, Role]:
     """constante, fecha, booleana, numerica, categorica, id or texto for each column; first rule that fits.
 
-    One pass counts distinct values (exactly, or within 1 % with ``approx``); a second one tests how much of the
-    undecided text columns parses as dates and numbers. Nested columns are texto.
+    Distinct values are counted in one pass (by hash, or within 1 % with ``approx``); others test what the values look like
+    and how much of the undecided text columns parses as dates and numbers. Nested columns are texto.
     """
     columns = N.data_columns(df)
     first = AggFusion(df)
     first.want("n", F.count("*"))
-    distinct = (lambda c: F.approx_count_distinct(c, 0.01)) if approx else F.count_distinct
+    whole = {c: N.q(c) if not N.is_nested(df, c) else F.to_json(F.struct(N.q(c))) for c in columns}
     for c in columns:
-        col = N.q(c) if not N.is_nested(df, c) else F.to_json(F.struct(N.q(c)))
-        first.want((c, "distinct"), distinct(col))
+        if approx:
+            first.want((c, "distinct"), F.approx_count_distinct(whole[c], 0.01))
         if not N.is_datetime(df, c) and not N.is_nested(df, c):
             first.want((c, "odd"), F.count_if(~F.lower(P.stripped(N.q(c).cast("string"))).isin(BOOL_WORDS)))
     facts = first.run()
+    if not approx:
+        facts |= {(c, "distinct"): k for c, k in order.distinct_counts(df, whole).items()}
     n = max(facts["n"], 1)
 
     undecided = [c for c in columns if N.is_text(df, c) and facts[c, "distinct"] > 1]
@@ -58,9 +61,13 @@ def infer_roles(df: DataFrame, approx: bool = False) -> dict[str, Role]:
         col = N.q(c)
         second.want((c, "some"), F.count(col))
         second.want((c, "dates"), F.count(P.parse_datetime(col)))
-        second.want((c, "numbers"), F.count(P.parse_number(col)))
         second.want((c, "letters"), F.count_if(P.has_letters(col)))
     parsed = second.run() if undecided else {}
+    third = AggFusion(df)
+    for c in undecided:  # columns of words needn't be read as numbers
+        if parsed[c, "letters"] / max(parsed[c, "some"], 1) <= LETTER_SHARE:
+            third.want((c, "numbers"), F.count(P.parse_number(N.q(c))))
+    parsed |= third.run() if third.wanted else {}
 
     out = {}
     for c in columns:

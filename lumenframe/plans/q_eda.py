@@ -55,13 +55,12 @@ _SPEARMAN = "\nunion all\n".join(
 
 
 def corr_kendall(spark, d):
-    part = table(spark, d, "part").filter("p_partkey <= 400")
-    return rounded(eda.corr_kendall(part, "p_size", "p_retailprice"))
+    return rounded(eda.corr_kendall(table(spark, d, "customer"), "c_nationkey", "c_acctbal"))
 
 
-_KENDALL = """select 'p_size' as variable_1, 'p_retailprice' as variable_2, round(sum(sign(a.p_size - b.p_size) * sign(a.p_retailprice - b.p_retailprice)) /
- sqrt(sum(sign(a.p_size - b.p_size) * sign(a.p_size - b.p_size)) * sum(sign(a.p_retailprice - b.p_retailprice) * sign(a.p_retailprice - b.p_retailprice))), 4)::double as correlacion
-from part a join part b on a.p_partkey < b.p_partkey where a.p_partkey <= 400 and b.p_partkey <= 400"""
+_KENDALL = """select 'c_nationkey' as variable_1, 'c_acctbal' as variable_2, round(sum(sign(a.c_nationkey - b.c_nationkey) * sign(a.c_acctbal - b.c_acctbal)) /
+ sqrt(sum(sign(a.c_nationkey - b.c_nationkey) * sign(a.c_nationkey - b.c_nationkey)) * sum(sign(a.c_acctbal - b.c_acctbal) * sign(a.c_acctbal - b.c_acctbal))), 4)::double as correlacion
+ from customer a join customer b on a.c_custkey < b.c_custkey"""
 
 
 def corr_kendall_whole(spark, d):
@@ -74,12 +73,13 @@ from part a join part b on a.p_partkey < b.p_partkey"""
 
 
 def top_correlations(spark, d):
-    return rounded(eda.top_correlations(eda.corr_pearson(table(spark, d, "lineitem"), NUM), 0.5))
+    li = table(spark, d, "lineitem").withColumn("neto", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return rounded(eda.top_correlations(eda.corr_pearson(li, [*NUM, "neto"]), 0.5))
 
 
 _TOP = f"""select variable_1, variable_2, round(c, 4) as correlacion, case when abs(c) >= 0.9 then 'Muy fuerte' when abs(c) >= 0.7 then 'Fuerte' else 'Moderada' end as fuerza,
  case when c > 0 then 'Positiva' else 'Negativa' end as sentido
-from ({" union all ".join(f"select '{a}' as variable_1, '{b}' as variable_2, corr({a}, {b}) as c from lineitem" for a, b in PAIRS)}) where abs(c) >= 0.5 order by abs(c) desc limit 25"""
+from ({" union all ".join(f"select '{a}' as variable_1, '{b}' as variable_2, corr({a}, {b}) as c from (select *, l_extendedprice * (1 - l_discount) as neto from lineitem)" for a, b in [*PAIRS, *((c, "neto") for c in NUM)])}) where abs(c) >= 0.5 order by abs(c) desc limit 25"""
 
 
 def cramers_v(spark, d):
