@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 # The template. Angle and square brackets and the ampersand are escaped inside roles and texts, so no text
 # can hold a control string, whichever it is.
 OPEN, CLOSE = "<s>", "</s>"
@@ -32,14 +34,13 @@ def _prefix_sums(turns: DataFrame, chunk: int) -> DataFrame:
     Turns are first totalled by runs of ``chunk`` turn numbers; only the totals meet by conversation, so a very
     long conversation is not sorted by one task.
     """
-    turns = turns.withColumn("run", F.floor(F.col("turn") / chunk))
+    # never null, so that the join and the window below share one shuffle of the texts
+    turns = turns.withColumn("run", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 63))))
     keys = ["cid", "cnull", "run"]
     totals = turns.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("tokens").alias("s"))
-    earlier = W.partitionBy("cid", "cnull").orderBy(F.col("run").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("cid", "cnull").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*keys, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s0"))
-    left, right = turns.alias("l"), totals.alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    placed = left.join(right, same).select("l.*", "n0", "s0")
+    placed = turns.join(totals, keys)
     inside = W.partitionBy(*keys).orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(W.unboundedPreceding, 0)
     return placed.select(
         "cid", "cnull", "role", "text", "tokens",
@@ -77,12 +78,12 @@ def format_chats(
         (F.ceil(F.char_length(text) / 4) + 4).cast("long").alias("tokens"),
     )
     conv = ["cid", "cnull"]
-    placed = _prefix_sums(turns, chunk)
+    placed = materialize(_prefix_sums(turns, chunk), "turns")
     leads = (F.col("idx") == 0) & (F.col("role") == "system")
-    system = placed.filter(leads).select(*conv, F.col("role").alias("s_role"), F.col("text").alias("s_text"), F.col("tokens").alias("s_tokens"))
-
+    # windows are laid out over the turns' sizes; texts join them once, at the end
+    system = placed.filter(leads).select(*conv, F.col("tokens").alias("s_tokens"))
     body = (
-        placed.filter(~leads).join(system.select(*conv, "s_tokens"), conv, "left")
+        placed.filter(~leads).select(*conv, "idx", "tokens", "upto").join(system, conv, "left")
         .withColumn("s_tokens", F.coalesce("s_tokens", F.lit(0)))
         .withColumn("room", F.greatest(F.lit(budget) - F.lit(history_tokens) - F.col("s_tokens"), F.lit(max(budget // 4, 1))))
         .withColumn("end", F.col("upto") - F.col("s_tokens"))
@@ -92,21 +93,19 @@ def format_chats(
     in_slot = W.partitionBy(*conv, "slot")
     straddles = F.col("start") < F.col("slot") * F.col("room")
     body = body.withColumn("window", 2 * F.col("slot") + F.when(F.sum("tokens").over(in_slot) > F.col("room"), (~straddles).cast("long")).otherwise(1))
-    body = body.select(*conv, "idx", "window", "role", "text", "tokens", "start")
+    body = materialize(body.select(*conv, "idx", "window", "start"), "layout")
     windows = body.groupBy(*conv, "window").agg(F.min("idx").alias("first"), F.min("start").alias("at"))
 
-    past_idx = F.explode(F.sequence(F.greatest(F.col("first") - history_turns, F.lit(0)), F.col("first") - 1))
-    wanted = windows.filter("first > 0").select(*conv, F.col("window").alias("into"), "at", past_idx.alias("idx")) if history_turns > 0 else None
-    new = body.select(*conv, "window", "idx", F.lit(True).alias("fresh"), "role", "text", "tokens")
-    parts = new
-    if wanted is not None:
+    parts = body.select(*conv, "window", "idx", F.lit(True).alias("fresh"))
+    if history_turns > 0:
+        past_idx = F.explode(F.sequence(F.greatest(F.col("first") - history_turns, F.lit(0)), F.col("first") - 1))
+        wanted = windows.filter("first > 0").select(*conv, F.col("window").alias("into"), "at", past_idx.alias("idx"))
         past = body.join(wanted, [*conv, "idx"]).filter(F.col("at") - F.col("start") <= history_tokens)
-        parts = parts.unionByName(past.select(*conv, F.col("into").alias("window"), "idx", F.lit(False).alias("fresh"), "role", "text", "tokens"))
+        parts = parts.unionByName(past.select(*conv, F.col("into").alias("window"), "idx", F.lit(False).alias("fresh")))
     led = system.join(windows, conv, "left").select(
-        *conv, F.coalesce("window", F.lit(0).cast("long")).alias("window"), F.lit(0).cast("long").alias("idx"),
-        (F.coalesce("first", F.lit(1)) == 1).alias("fresh"), F.col("s_role").alias("role"), F.col("s_text").alias("text"), F.col("s_tokens").alias("tokens"),
-    )
-    parts = parts.unionByName(led)
+        *conv, F.coalesce("window", F.lit(0).cast("long")).alias("window"), F.lit(0).cast("long").alias("idx"), (F.coalesce("first", F.lit(1)) == 1).alias("fresh")
+    )
+    parts = parts.unionByName(led).join(placed.select(*conv, "idx", "role", "text", "tokens"), [*conv, "idx"])
 
     tag = F.when(F.col("fresh"), NEW).otherwise(PAST)
     parts = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,11 +19,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Tokens that may be identifiers: they hold a digit, and no white space.
-_CANDIDATE = re.compile(r"[^\s]*[0-9][^\s]*")
+#: A sign that identifiers without digits have between letters or before them: handles, accounts, paths.
+_SIGNED = re.compile(r"[@#_/\\][^\W\d_]|[^\W\d_][@_/\\.][^\W\d_]")
 _EDGES = ".,;:!?\"'()[]{}<>"
 _WORD_BEFORE = re.compile(r"[^\s]+")
-LOOK = 120  # code points on either side in which context words are sought
 
 
 def luhn(digits: str) -> bool:
@@ -74,10 +74,26 @@ def _fold(word: str) -> str:
     return re.sub(r"[0-9]+", "0", word.lower().strip(_EDGES))
 
 
-def contexts(text: str, a: int, b: int) -> list[str]:
+class Words:
+    """The words of a text, to look up the two before and after a span."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        found = list(_WORD_BEFORE.finditer(text))
+        self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
+
+    def around(self, a: int, b: int) -> tuple[list[str], list[str]]:
+        """Folded; a word that the span cuts counts with what lies outside of it."""
+        k = bisect_left(self.starts, a)
+        before = [self.text[self.starts[i] : min(self.ends[i], a)] for i in range(max(0, k - 2), k)]
+        k = bisect_right(self.ends, b)
+        after = [self.text[max(self.starts[i], b) : self.ends[i]] for i in range(k, min(k + 2, len(self.ends)))]
+        return [_fold(w) for w in before], [_fold(w) for w in after]
+
+
+def contexts(words: Words, a: int, b: int) -> list[str]:
     """Lexical patterns around a span: two words before; one before and one after; two after."""
-    before = [_fold(w) for w in _WORD_BEFORE.findall(text[max(0, a - LOOK) : a])[-2:]]
-    after = [_fold(w) for w in _WORD_BEFORE.findall(text[b : b + LOOK])[:2]]
+    before, after = words.around(a, b)
     before = ["^"] * (2 - len(before)) + before
     after = after + ["$"] * (2 - len(after))
     worded = lambda *ws: any(any(c.isalpha() for c in w) for w in ws)
@@ -103,23 +119,25 @@ def _extract(longest: int):
                 text = text or ""
                 own = base_spans(text)
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
+                likely = bool(_DIGIT.search(text) or _SIGNED.search(text))
+                words = Words(text if own or likely else "")
                 tokens = [
-                    {"start": a, "end": b, "value": f"{k} {text[a:b].lower()}", "seed": True, "patterns": contexts(text, a, b)} for k, a, b in own
+                    {"start": a, "end": b, "value": f"{k} {text[a:b].lower()}", "seed": True, "patterns": contexts(words, a, b)} for k, a, b in own
                 ]
                 taken = sorted((a, b) for _, a, b in own)
                 at = 0
-                if _DIGIT.search(text):
-                    for word in _WORD_BEFORE.finditer(text):
-                        w = word[0]
-                        if not _DIGIT.search(w):
+                if likely:
+                    for first, last in zip(words.starts, words.ends, strict=True):
+                        w = text[first:last]
+                        if not _DIGIT.search(w) and not _SIGNED.search(w):
                             continue
-                        a = word.start() + len(w) - len(w.lstrip(_EDGES))
-                        b = word.start() + len(w.rstrip(_EDGES))
+                        a = first + len(w) - len(w.lstrip(_EDGES))
+                        b = first + len(w.rstrip(_EDGES))
                         while at < len(taken) and taken[at][1] <= a:
                             at += 1
                         free = at == len(taken) or taken[at][0] >= b
-                        if free and 5 <= b - a <= longest and sum(c.isdigit() for c in text[a:b]) >= 3:
-                            tokens.append({"start": a, "end": b, "value": text[a:b].lower(), "seed": False, "patterns": contexts(text, a, b)})
+                        if free and 5 <= b - a <= longest and (sum(c.isdigit() for c in text[a:b]) >= 3 or _SIGNED.search(text, a, b)):
+                            tokens.append({"start": a, "end": b, "value": text[a:b].lower(), "seed": False, "patterns": contexts(words, a, b)})
                 found.append(tokens)
             digest = [hashlib.sha256(",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in own).encode()).hexdigest() for own in base]
             return pa.RecordBatch.from_arrays(
@@ -142,8 +160,8 @@ def find_pii(
     """Per row of ``docs`` (doc_id, text): n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     The fixed forms seed a bootstrap over the whole corpus. Words around each seed and each other
-    identifier-like token (a word of 5 to ``longest`` code points with three digits or more) make
-    lexical patterns. Each round, a pattern's confidence is the mean confidence of its distinct
+    identifier-like token (a word of 5 to ``longest`` code points with three digits or more, or with a sign such as @ _ / .
+    before or between letters) make lexical patterns. Each round, a pattern's confidence is the mean confidence of its distinct
     instances, lowered for small support; it counts only with ``min_seeds`` seeds' worth of distinct values
     and at least ``confidence``. An instance's confidence is the noisy-or of its patterns, seeds stay at 1.
     After ``rounds`` rounds the tokens in a confident pattern become kind ``context`` spans.

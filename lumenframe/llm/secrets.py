@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,13 +22,23 @@ KINDS = ("assign", "access", "hex", "literal")
 _HEX_TABLE = bytes(0x68 if chr(c) in "0123456789abcdef" else 0x20 for c in range(256))
 _HEX_RUN = b"h" * 24
 
-_VALUE = r""""(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`|[^\s"'`,;{}()\[\]<>]+"""
-#: name, operator, value; names may be quoted (JSON) or dotted (properties, attributes).
-PAIR = re.compile(rf"""(?<![\w$.-])(?P<q>["']?)(?P<name>[A-Za-z_$][\w$.-]*)(?P=q)[ \t]*(?::=|=>|=(?!=)|:(?!/))[ \t]*(?P<value>{_VALUE})""", re.A)
-#: Further operands of a concatenation.
-MORE = re.compile(rf"[ \t]*\+[ \t]*(?P<value>{_VALUE})", re.A)
+#: Tokens of source and configuration text. A string may have a prefix (b, r, f, u) and may be tripled.
+TOKEN = re.compile(
+    r'''(?P<text>(?P<prefix>(?:[bBrRuUfF]{1,2})?)(?P<mark>"""|\'\'\'|"|'|`))'''
+    r'''|(?P<op>:=|=>|===?|!=|<=|>=|\|\||&&|\?\?|[=:+,;()\[\]{}|&?<>])'''
+    r'''|(?P<comment>//[^\n]*|\#[^\n]*)'''
+    r'''|(?P<line>\n)'''
+    r'''|(?P<word>[^\s"'`=:+,;()\[\]{}|&?<>!]+|!)''',
+    re.A,
+)
+_ENDS = {m: re.compile(rf"(?:\\.|(?!{m}).)*?{m}", re.S) if len(m) == 3 else re.compile(rf"(?:\\.|[^{m}\\\n])*{m}") for m in ('"""', "'''", '"', "'")}
+_ENDS["`"] = re.compile(r"(?:\\.|[^`\\])*`", re.S)
+NAME = re.compile(r"[A-Za-z_$][\w$.-]*", re.A)
+ASSIGNS = frozenset((":=", "=>", "=", ":"))
 #: Element text and command-line options.
 ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*)>(?P<value>[^<>\s]+)</(?P=name)>", re.A)
+PROPERTY = re.compile(r"""<[\w.:-]+\s[^<>]*?\b(?:name|key)\s*=\s*["'](?P<name>[^"'<>]+)["'][^<>]*?\bvalue\s*=\s*["'](?P<value>[^"'<>]*)["']""", re.A)
+BLOCK = re.compile(r"^(?P<pad>[ \t]*)(?:-[ \t]+)?(?P<name>[A-Za-z_][\w.-]*)[ \t]*:[ \t]*[|>][+-]?[ \t]*\n(?P<value>(?:(?P=pad)[ \t]+[^\n]*(?:\n|$))+)", re.A | re.M)
 OPTION = re.compile(r"(?<!\S)--(?P<name>[A-Za-z][\w-]*)[ =](?P<value>[^\s-][^\s]*)", re.A)
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: What a part of a name adds; a literal needs 1.0 in all with what its own form adds.
@@ -53,34 +65,150 @@ def literal_score(value: str) -> float:
     return 0.15 * (len(value) >= 8) + 0.15 * (len(value) >= 16) + 0.2 * (entropy >= 2.5) + 0.2 * (entropy >= 3.2) + 0.15 * (classes >= 2) + 0.1 * (classes >= 3)
 
 
-def _content(text: str, m: re.Match) -> tuple[int, int, bool]:
-    """Span of a value without its quotes, and whether it was quoted."""
-    a, b = m.span("value")
-    quoted = text[a] in "\"'`" and b - a >= 2 and text[b - 1] == text[a]
-    return (a + 1, b - 1, True) if quoted else (a, b, False)
+@dataclass
+class Token:
+    kind: str  # text, op, line or word
+    start: int
+    end: int
+    value: str
+    bare: bool = True  # not a string literal
 
 
-def lex_pairs(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
-    """(name, spans of the literals bound to it), constants propagated, in text order.
+def tokens(text: str) -> list[Token]:
+    """The tokens of a text, in time linear in it; comments are left out. Strings come without prefix and marks."""
+    out: list[Token] = []
+    at, unclosed = 0, set()
+    while at < len(text):
+        m = TOKEN.search(text, at)
+        if m is None:
+            break
+        at = m.end()
+        kind = m.lastgroup if m.lastgroup not in ("prefix", "mark") else "text"
+        if kind == "text":
+            mark = m["mark"]
+            close = None if mark in unclosed else _ENDS[mark].match(text, at)
+            if close is None:
+                if len(mark) == 3 or mark == "`":  # no end: no later one of its kind has one either
+                    unclosed.add(mark)
+                continue
+            out.append(Token("text", at, close.end() - len(mark), text[at : close.end() - len(mark)], False))
+            at = close.end()
+        elif kind == "comment":
+            before = out[-1] if out else None
+            if m[0].startswith("//") and before is not None and before.end == m.start() and before.value == ":":  # scheme://, no comment
+                stop = re.compile(r"\S*").match(text, m.start()).end()
+                out.append(Token("word", m.start(), stop, text[m.start() : stop]))
+                at = stop
+            else:  # what a comment says is read as well: secrets are commented out, too
+                at = m.start() + (2 if m[0].startswith("//") else 1)
+        else:
+            out.append(Token(kind, m.start(), m.end(), m[0]))
+    return out
+
+
+def _operands(toks: list[Token], at: int) -> tuple[list[Token], int]:
+    """The literals and names of one value: operands joined by + or standing side by side as strings, or alternatives (or, ||, ??)."""
+    found: list[Token] = []
+    while at < len(toks):
+        lines = 0
+        while at < len(toks) and (toks[at].kind == "line" or toks[at].value in ("(", "\\")):
+            lines += toks[at].kind == "line"
+            at += 1
+        if at == len(toks) or toks[at].kind not in ("text", "word") or lines and toks[at].bare:  # a name on the next line is the next statement's
+            break
+        found.append(toks[at])
+        at += 1
+        while at < len(toks) and toks[at].kind == "text" and not found[-1].bare:
+            found.append(toks[at])
+            at += 1
+        if at < len(toks) and toks[at].value in ("+", "||", "??", "or"):
+            at += 1
+            continue
+        break
+    return found, at
+
+
+def _targets(toks: list[Token], at: int) -> list[str]:
+    """Names that an assignment at ``at`` binds, by what stands before it: a name or string, name[...], name: type, or several by commas."""
+    names: list[str] = []
+    k = at - 1
+    while k >= 0:
+        depth = 0
+        last = None
+        if toks[k].value in ("]", ")", ">"):  # a subscript: its key names the target
+            close = k
+            while k >= 0 and close - k < 32:
+                depth += (toks[k].value in ("]", ")", ">")) - (toks[k].value in ("[", "(", "<"))
+                if depth == 0:
+                    break
+                last = toks[k] if toks[k].kind in ("text", "word") and last is None else last
+                k -= 1
+            k -= 1
+            owner = toks[k].value if k >= 0 and toks[k].kind == "word" else ""
+            names.append(f"{owner}.{last.value}" if last is not None else owner)
+            k -= 1
+        elif toks[k].kind in ("text", "word") and (not toks[k].bare or NAME.fullmatch(toks[k].value.lstrip("-*@"))):
+            names.append(toks[k].value.lstrip("-*@"))
+            k -= 1
+        else:
+            break
+        if k >= 0 and toks[k].value == ":" and toks[at].value == "=" and len(names) == 1:  # the name stands before its type
+            names.pop()
+            k -= 1
+            continue
+        if k >= 0 and toks[k].value == "," and len(names) < 8:
+            k -= 1
+            continue
+        break
+    return names[::-1]
+
 
-    A bare name on the right that was bound before stands for its literals (so does each operand of a
-    concatenation with +); a name bound anew forgets its earlier literals.
+def lex_pairs(text: str) -> list[tuple[str, list[tuple[int, int]], list[int]]]:
+    """(name, spans of the literals bound to it, numbers of the pairs whose names its value uses), in text order.
+
+    A small grammar over tokens: names, subscripts and annotated names before an assignment, values of operands joined
+    by + or as alternatives after it, several names with several values by position, elements, properties, options and indented blocks.
+    A bare name on the right stands for the literals last bound to it before or, failing that, first bound to it later.
     """
-    found = [(m.start(), m) for pattern in (PAIR, ELEMENT, OPTION) for m in pattern.finditer(text)]
-    constants: dict[str, list[tuple[int, int]]] = {}
-    out = []
-    for _, m in sorted(found, key=lambda x: x[0]):
-        spans: list[tuple[int, int]] = []
-        part: re.Match | None = m
-        while part is not None:
-            a, b, quoted = _content(text, part)
-            value = text[a:b]
-            spans.extend(constants[value] if not quoted and value in constants else [(a, b)])
-            part = MORE.match(text, part.end())
-        spans = list(dict.fromkeys(spans))
-        constants[m["name"]] = spans
-        out.append((m["name"], spans))
-    return out
+    toks = tokens(text)
+    bound: list[tuple[int, str, list[tuple[int, int, str | None]]]] = []
+    for at, tok in enumerate(toks):
+        if tok.kind != "op" or tok.value not in ASSIGNS or at == 0:
+            continue
+        if tok.value == ":" and at + 2 < len(toks) and toks[at + 1].kind == "word" and toks[at + 2].value == "=":
+            continue  # name: type = value is bound at the =
+        names = _targets(toks, at)
+        if not names:
+            continue
+        values, k = _operands(toks, at + 1)
+        several = [values]
+        while len(several) < len(names) and k < len(toks) and toks[k].value == ",":
+            values, k = _operands(toks, k + 1)
+            several.append(values)
+        if len(several) < len(names):
+            names, several = names[-1:], several[:1]
+        for name, own in zip(names, several, strict=False):
+            bound.append((tok.start, name, [(v.start, v.end, v.value if v.bare else None) for v in own if v.end > v.start]))
+    for pattern in (ELEMENT, PROPERTY, OPTION):
+        if pattern is OPTION or "<" in text:
+            bound += [(m.start(), m["name"], [(*m.span("value"), None)]) for m in pattern.finditer(text)]
+    for m in BLOCK.finditer(text):
+        lines = re.finditer(r"[^\n]*\S", m["value"])
+        bound.append((m.start("name"), m["name"], [(m.start("value") + x.start() + len(x[0]) - len(x[0].lstrip()), m.start("value") + x.end(), None) for x in lines]))
+    bound = [b for b in sorted(bound, key=lambda b: b[0]) if b[2]]
+
+    where: dict[str, list[int]] = {}
+    for i, (_, name, _) in enumerate(bound):
+        where.setdefault(name, []).append(i)
+    spans = [[(a, b) for a, b, word in own if word is None or word not in where] for _, _, own in bound]
+    uses = [[_binding(where[word], i) for _, _, word in own if word is not None and word in where] for i, (_, _, own) in enumerate(bound)]
+    return [(name, own, [j for j in refs if j is not None and j != i]) for i, ((_, name, _), own, refs) in enumerate(zip(bound, spans, uses, strict=True))]
+
+
+def _binding(places: list[int], i: int) -> int | None:
+    """The last binding of a name before the i-th, else the first after it."""
+    k = bisect_left(places, i)
+    return places[k - 1] if k else next((p for p in places[k:] if p != i), None)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -104,11 +232,18 @@ def literal_spans(text: str, base: list[tuple[str, int, int]], least: float = 1.
     if "=" not in text and ":" not in text and "--" not in text and "</" not in text:
         return []
     best: dict[tuple[int, int], float] = {}
-    for name, spans in lex_pairs(text):
-        score = name_score(name)
-        if score:
-            for span in spans:
-                best[span] = max(best.get(span, 0.0), score)
+    pairs = lex_pairs(text)
+    reached: set[int] = set()
+    # constants are propagated backwards: from the most sensitive names down, each pair once, through the names a value uses
+    for start in sorted((i for i, (name, _, _) in enumerate(pairs) if name_score(name)), key=lambda i: -name_score(pairs[i][0])):
+        score, ahead = name_score(pairs[start][0]), [start]
+        while ahead:
+            i = ahead.pop()
+            if i not in reached:
+                reached.add(i)
+                for span in pairs[i][1]:
+                    best[span] = max(best.get(span, 0.0), score)
+                ahead.extend(pairs[i][2])
     out = []
     for (a, b), score in best.items():
         form = literal_score(text[a:b])
@@ -147,8 +282,8 @@ def scan_secrets(docs: DataFrame, least: float = 1.0) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): counts by fixed form, a digest of those spans, and all spans.
 
     Fixed forms are assignments to a sensitive name, access key ids and long hex runs. The lexer adds kind
-    ``literal``: it reads name-literal pairs of assignments, mappings, elements and options, propagates
-    constants through later names and concatenations, and scores each literal by the most sensitive name
+    ``literal``: it cuts a text into tokens, reads name-literal pairs of assignments, mappings, elements, options and
+    blocks off them, propagates constants through names and concatenations, and scores each literal by the most sensitive name
     that it reaches and by its form. Fixed spans are never altered; a literal inside one isn't repeated.
 
     Spans are code points, end exclusive, in text order. Null and empty texts have none. Each row is

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -141,6 +142,20 @@ def test_pii_contexts_discover_identifiers(spark):
     assert all(not any(s["kind"] == "context" for s in r["spans"]) for r in pii.find_pii(frame(spark, copies)).collect())
 
 
+def test_pii_contexts_reach_names_without_digits(spark):
+    rows = [(i, f"Please write to my mailbox at user{i:03d}@mail.example.com for the details.") for i in range(8)]
+    rows += [(100, "Please write to my mailbox at @jane_doe for the details."), (101, "Either and/or both of the rules.")]
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert found[100] == [("context", 30, 39)] and found[101] == []
+
+
+def test_pii_context_words_of_any_length():
+    long = "w" * 5000
+    words = pii.Words(f"a {long} b x@y.z, {long} c")
+    assert words.around(5005, 5010) == ([long, "b"], ["", long])
+    assert words.around(0, 1) == ([], [long, "b"]) and pii.Words("").around(0, 0) == ([], [])
+
+
 # --- lines ------------------------------------------------------------------------------------
 
 
@@ -176,6 +191,34 @@ def test_line_dedup_counts_documents_not_rows(spark):
     assert all(r["n_dropped"] == 0 for r in line_dedup(frame(spark, rows)).collect())
 
 
+LITERAL = "Hq8-zzT4.qLm2"
+
+
+@pytest.mark.parametrize("text", [
+    'pwd: str = "@"', 'api_token: str = "@"', 'cfg["pwd"] = "@"', 'a, pwd = "u", "@"', 'pwd = """@"""', 'pwd =\n "@"', "pwd: |\n  @\nnext: 1", '<property name="pwd" value="@"/>',
+    'x = k\nk = "@"\npwd = x', 'SECRET_KEY = b"@"', 'const appPwd: string = "@";', '{"pwd": "@"}', "pwd=@", "--pwd @", 'pwd := "@"', '# pwd = "@"', 'pwd = env or "@"', 'k = "@"\npwd = "x" + k',
+    'pwd: Optional[str] = "@"', "pwd = f'@'", 'pwd = (\n  "@"\n)', "<pwd>@</pwd>", 'a = b\nb = c\nc = "@"\npwd = a',
+])
+def test_lexer_binds_the_literal(text):
+    text = text.replace("@", LITERAL)
+    found = secrets.literal_spans(text, secrets.base_spans(text))
+    covered = [text[a:b] for _, a, b in found] + [text[a:b] for _, a, b in secrets.base_spans(text)]
+    assert any(LITERAL in c for c in covered), secrets.lex_pairs(text)
+
+
+@pytest.mark.parametrize("text", ['pwd == "@"', 'colour = "@"', "pwd=\nuser=@", "it's a pwd: don't", 'pwd = ""', "", "pwd", "= = =", 'pwd = "a b"', 'say("pwd", "@")'])
+def test_lexer_leaves_others_alone(text):
+    text = text.replace("@", LITERAL)
+    assert secrets.literal_spans(text, secrets.base_spans(text)) == []
+
+
+@pytest.mark.parametrize("unit", ['"', "a=", "(", 'pwd = "a" + ', "`", '\"\"\"', "<a ", "x: |\n", "a,", '\\"', "\'\'\'\\", "a = b\nb = a\n", "[", "pwd: "])
+def test_lexer_takes_linear_time(unit):
+    began = time.perf_counter()
+    secrets.literal_spans(unit * (200_000 // len(unit)), [])
+    assert time.perf_counter() - began < 20
+
+
 # --- near duplicates --------------------------------------------------------------------------
 
 
