@@ -20,7 +20,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: A sign that identifiers without digits have between letters or before them: handles, accounts, paths.
-_SIGNED = re.compile(r"[@#_/\\][^\W\d_]|[^\W\d_][@_/\\.][^\W\d_]")
+_SIGNED = re.compile(r"[@#_/\\](?=[^\W\d_])|\.(?<=[^\W\d_]\.)(?=[^\W\d_])")
+#: Where words that may be identifiers are looked for: at a digit, or at a sign before a letter.
+_SPOT = re.compile(r"[0-9]|[@#_/\\.](?=[^\W\d_])")
 _EDGES = ".,;:!?\"'()[]{}<>"
 _WORD_BEFORE = re.compile(r"[^\s]+")
 
@@ -119,7 +121,7 @@ def _extract(longest: int):
                 text = text or ""
                 own = base_spans(text)
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
-                likely = bool(_DIGIT.search(text) or _SIGNED.search(text))
+                likely = _SPOT.search(text) is not None
                 words = Words(text if own or likely else "")
                 tokens = [
                     {"start": a, "end": b, "value": f"{k} {text[a:b].lower()}", "seed": True, "patterns": contexts(words, a, b)} for k, a, b in own
@@ -127,9 +129,14 @@ def _extract(longest: int):
                 taken = sorted((a, b) for _, a, b in own)
                 at = 0
                 if likely:
-                    for first, last in zip(words.starts, words.ends, strict=True):
-                        w = text[first:last]
-                        if not _DIGIT.search(w) and not _SIGNED.search(w):
+                    done = -1
+                    for spot in _SPOT.finditer(text):
+                        if spot.start() <= done:
+                            continue
+                        k = bisect_right(words.starts, spot.start()) - 1
+                        first, last = words.starts[k], words.ends[k]
+                        done, w = last - 1, text[first:last]
+                        if spot[0] == "." and not _DIGIT.search(w) and not _SIGNED.search(w):
                             continue
                         a = first + len(w) - len(w.lstrip(_EDGES))
                         b = first + len(w.rstrip(_EDGES))
