@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_cluster, q_eda, q_ml, q_profile, q_recipe
+from . import q_cluster, q_eda, q_files, q_ml, q_profile, q_recipe
 
-_MODULES = (q_profile, q_recipe, q_eda, q_ml, q_cluster)
+_MODULES = (q_profile, q_recipe, q_eda, q_ml, q_cluster, q_files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
