@@ -20,8 +20,11 @@ from ..functions import stats as S
 from ..plans import order as O
 from ..plans.fusion import AggFusion
 from . import metrics as M
+from . import quality as Q
+from . import zoo as Z
 
 ONE_HOT_MOST, RARE_SHARE = 30, 0.01
+CODES_LISTED, CODES_SENT = 1_000, 100_000  # ordinal codes held in the plan, and sent to all tasks; beyond that they are joined
 
 
 def detect_task(df: DataFrame, target: str, force: str | None = None) -> str:
@@ -89,10 +92,11 @@ class Preprocessor:
     scales: dict[str, float]
     kept: dict[str, list[str]]
     names: list[str] = field(default_factory=list)
+    codes: dict[str, DataFrame] = field(default_factory=dict)  # (v, code) of columns with too many values to list
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds the vector ``features``."""
-        columns = []
+        columns, known = [], [N.q(c) for c in df.columns]
         for c in [*self.numeric, *self.dates]:
             x = F.unix_micros(N.q(c).cast("timestamp")) / 86.4e9 if c in self.dates else P.to_float(N.q(c))
             x = F.coalesce(x, F.lit(float(self.fills[c])))
@@ -105,10 +109,15 @@ class Preprocessor:
                 columns.append((~v.isin(frequent) & v.isin(self.fills[f"{c}/rare"])).cast("double"))
         for c in self.ordinal:
             v = F.coalesce(N.q(c).cast("string"), F.lit(self.fills[c]))
+            if c in self.codes:
+                at = len(columns)
+                df = df.withColumn(f"__v{at}", v).join(self.codes[c].toDF(f"__v{at}", f"__code{at}"), f"__v{at}", "left")
+                columns.append(F.coalesce(F.col(f"__code{at}"), F.lit(-1.0)))
+                continue
             columns.append((F.array_position(F.array(*[F.lit(k) for k in self.kept[c]]), v).cast("double")) - 1)
         from pyspark.ml.functions import array_to_vector
 
-        return df.withColumn("features", array_to_vector(F.array(*columns)) if columns else array_to_vector(F.array(F.lit(0.0))))
+        return df.select(*known, array_to_vector(F.array(*(columns or [F.lit(0.0)]))).alias("features"))
 
 
 OTHER = "<infrecuente>"
@@ -119,7 +128,8 @@ def fit_preprocessor(train: DataFrame, features: list[str], num_impute: str = "m
     """Everything learned from ``train`` alone, in one pass for numbers and one grouping for each category column.
 
     Scalers: standard (population deviation), minmax, robust, ninguno; constant columns are left at 0. Categories under
-    one percent share a column; unknown ones are all zeros (-1 in ordinal codes, which are alphabetical).
+    one percent share a column; unknown ones are all zeros (-1 in ordinal codes, which are alphabetical). Every value of
+    an ordinal column has its code: many of them stay a table, which ``transform`` joins.
     """
     dates = [c for c in features if N.is_datetime(train, c)]
     numeric = [c for c in features if N.is_numeric(train, c)]
@@ -134,7 +144,7 @@ def fit_preprocessor(train: DataFrame, features: list[str], num_impute: str = "m
     if num_impute == "most_frequent":
         for c, (_, top, _) in O.tallies(train, {c: number[c] for c in numeric}).items():
             got[c]["fill"] = top
-    fills, centers, scales, kept = {}, {}, {}, {}
+    fills, centers, scales, kept, codes = {}, {}, {}, {}, {}
     for c, r in got.items():
         fill = fills[c] = float(r["fill"]) if r["fill"] is not None else 0.0
         n, gaps = r["n"], r["rows"] - r["n"]
@@ -148,7 +158,7 @@ def fit_preprocessor(train: DataFrame, features: list[str], num_impute: str = "m
     one_hot, ordinal = [], []
     for c in rest:
         counts = train.groupBy(N.q(c).cast("string").alias("v")).agg(F.count("*").alias("k"))
-        known = counts.filter("v is not null").orderBy(F.desc("k"), "v").limit(10_000).collect()
+        known = counts.filter("v is not null").orderBy(F.desc("k"), "v").limit(max(CODES_LISTED, max_onehot) + 1).collect()
         fills[c] = (known[0]["v"] if known and cat_impute == "most_frequent" else "DESCONOCIDO")
         total = max(train.count() if not known else sum(r["k"] for r in known), 1)
         if encoder == "onehot" and len(known) <= max_onehot:
@@ -159,8 +169,13 @@ def fit_preprocessor(train: DataFrame, features: list[str], num_impute: str = "m
         else:
             ordinal.append(c)
             kept[c] = sorted(r["v"] for r in known)
+            if len(known) > CODES_LISTED:
+                kept[c] = []
+                codes[c] = Q.with_position(counts.filter("v is not null").select("v"), ["v"]).select("v", F.col("__pos").cast("double").alias("code"))
+                if codes[c].count() <= CODES_SENT:
+                    codes[c] = F.broadcast(codes[c])
     names = [*numeric, *dates, *[f"{c}={k}" for c in one_hot for k in kept[c]], *ordinal]
-    return Preprocessor(numeric, dates, one_hot, ordinal, fills, centers, scales, kept, names)
+    return Preprocessor(numeric, dates, one_hot, ordinal, fills, centers, scales, kept, names, codes)
 
 
 def variable_of(feature: str, columns: list[str]) -> str:
@@ -188,18 +203,24 @@ class Constant:
 def model_zoo(task: str, n_rows: int, sd_y: float = 1.0, fast: bool = False, weight: str | None = None, seed: int = 42, n_features: int = 1, n_classes: int = 2) -> dict:
     """name -> estimator. Penalties are those of per-row-sum objectives, restated for Spark's per-row-mean ones.
 
-    Extra trees and the classifiers' kernel machine are approximated by the nearest that Spark has, and say so. The README lists what is left out.
+    Extra trees and the classifiers' kernel machine are approximated by the nearest that Spark has, and say so. Spark's boosted trees are
+    of histograms, so the second kind of boosting differs by depth and bins only. The README lists what is left out.
     """
     trees = 60 if fast else 300
     if task != "regresion":
         common = {"labelCol": "label", **({"weightCol": weight} if weight else {})}
         gbt = C.GBTClassifier(labelCol="label", maxIter=20 if fast else 100, maxDepth=3, stepSize=0.1, seed=seed)
+        hist = C.GBTClassifier(labelCol="label", maxIter=100, maxDepth=5, stepSize=0.1, maxBins=255, seed=seed)
         zoo = {
             "Regresión Logística": C.LogisticRegression(regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False, maxIter=200, **common),
             "Árbol de Decisión": C.DecisionTreeClassifier(maxDepth=12, seed=seed, **common),
             "Random Forest": C.RandomForestClassifier(numTrees=trees, maxDepth=5 if fast else 15, featureSubsetStrategy="sqrt", seed=seed, **common),
             "Extra Trees (aprox.)": C.RandomForestClassifier(numTrees=trees, maxDepth=5 if fast else 15, bootstrap=False, subsamplingRate=1.0, featureSubsetStrategy="sqrt", seed=seed + 1, **common),
             "Gradient Boosting": gbt if task == "binaria" else C.OneVsRest(classifier=gbt, labelCol="label", parallelism=4),
+            "HistGradientBoosting": hist if task == "binaria" else C.OneVsRest(classifier=hist, labelCol="label", parallelism=4),
+            "AdaBoost": Z.AdaBoostClassifier(seed=seed),
+            "K-Vecinos (KNN)": Z.Neighbours(15),
+            "Ridge Classifier": Z.RidgeClassifier(weight=weight),
             "Naive Bayes": C.NaiveBayes(modelType="gaussian", **common),
             "SVM lineal (aprox.)": C.LinearSVC(labelCol="label", maxIter=100) if task == "binaria" else C.OneVsRest(classifier=C.LinearSVC(maxIter=50), labelCol="label"),
             "MLP": C.MultilayerPerceptronClassifier(labelCol="label", layers=[max(n_features, 1), 128, 64, n_classes], maxIter=100, seed=seed),
@@ -214,6 +235,9 @@ def model_zoo(task: str, n_rows: int, sd_y: float = 1.0, fast: bool = False, wei
         "Random Forest": R.RandomForestRegressor(numTrees=trees, maxDepth=5 if fast else 15, featureSubsetStrategy="all", seed=seed),
         "Extra Trees (aprox.)": R.RandomForestRegressor(numTrees=trees, maxDepth=5 if fast else 15, bootstrap=False, subsamplingRate=1.0, seed=seed + 1),
         "Gradient Boosting": R.GBTRegressor(maxIter=20 if fast else 100, maxDepth=3, stepSize=0.1, seed=seed),
+        "HistGradientBoosting": R.GBTRegressor(maxIter=100, maxDepth=5, stepSize=0.1, maxBins=255, seed=seed),
+        "AdaBoost": Z.AdaBoostRegressor(seed=seed),
+        "K-Vecinos (KNN)": Z.Neighbours(15, classify=False),
     }
     return {k: zoo[k] for k in ("Regresión Lineal", "Ridge", "Árbol de Decisión", "Random Forest")} if fast else zoo
 

@@ -7,6 +7,7 @@ import json
 import math
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from ..functions import parsing as P
 from ..functions import stats as S
 from ..plans import order as O
 from ..plans.fusion import AggFusion
+from . import blocks as B
 from .expressions import translate
 from .quality import dataset_diagnostics, with_position
 
@@ -224,38 +226,58 @@ def impute(df: DataFrame, strategy_num: str = "mediana", strategy_cat: str = "mo
     return knn_impute(out, numbers, knn_neighbors) if strategy_num == "knn" and numbers else out
 
 
-KNN_DONORS = 5_000
+def knn_impute(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
+    """Mean of the ``k`` nearest rows that have the value, by distance over the columns both have.
 
-
-def knn_impute(df: DataFrame, columns: list[str], k: int = 5, donors: int = KNN_DONORS, seed: int = 42) -> DataFrame:
-    """Mean of the ``k`` nearest donors that have the value, by distance over the columns both have.
-
-    Donors are at most ``donors`` rows, chosen by hash; rows are filled in batches where they lie.
+    All rows are donors, compared in blocks. The distance is scaled up by the share of columns that both have; of equally near
+    ones the smaller values are taken. A row that shares no column with any donor gets the column's mean; a column without
+    values stays null.
     """
-    number = [P.to_float(N.q(c)).alias(c) for c in columns]
-    some = df.select(*number).filter(F.greatest(*[N.q(c).isNotNull().cast("int") for c in columns]) == 1) if len(columns) > 1 else df.select(*number).dropna()
-    pool = some.orderBy(F.xxhash64(*[N.q(c) for c in columns], F.lit(seed))).limit(donors).toPandas().to_numpy(dtype=float)
-    means = np.array([np.nanmean(col) if np.isfinite(col).any() else np.nan for col in pool.T]) if len(pool) else np.full(len(columns), np.nan)
-    schema = df.select(*[N.q(c).cast("double").alias(c) if c in columns else N.q(c) for c in df.columns]).schema
-
-    def fill(batches):
-        known = np.isfinite(pool)
-        filled = np.where(known, pool, 0.0)
-        for batch in batches:
-            x = batch[columns].to_numpy(dtype=float)
-            for r in np.flatnonzero(~np.isfinite(x).all(axis=1)):
-                have = np.isfinite(x[r])
-                both = known & have
-                gap = (((filled - np.where(have, x[r], 0.0)) ** 2) * both).sum(axis=1)
-                shared = both.sum(axis=1)
-                far = np.where(shared > 0, gap * len(columns) / np.maximum(shared, 1), np.inf)
-                for j in np.flatnonzero(~have):
-                    able = np.flatnonzero(known[:, j] & np.isfinite(far))
-                    near = able[np.argsort(far[able], kind="stable")[:k]]
-                    x[r, j] = pool[near, j].mean() if len(near) else means[j]
-            yield batch.assign(**{c: x[:, j] for j, c in enumerate(columns)})
-
-    return df.select(*[N.q(c).cast("double").alias(c) if c in columns else N.q(c) for c in df.columns]).mapInPandas(fill, schema)
+    keys = [f"c{j}" for j in range(len(columns))]
+    value_of = [P.to_float(N.q(c)) for c in columns]
+    number = [F.when(~F.isnan(x), x).alias(key) for key, x in zip(keys, value_of, strict=True)]
+    facts = df.select(*number)
+    means = facts.agg(*[F.avg(c).alias(c) for c in keys]).first()
+    present = sum((F.col(c).isNotNull().cast("int") for c in keys[1:]), F.col(keys[0]).isNotNull().cast("int"))
+    donors = facts.filter(present > 0).groupBy(*keys).agg(F.count("*").alias("n"))
+    queries = facts.filter((present > 0) & (present < len(keys))).distinct()
+
+    def kernel(q, r):
+        out = []
+        if len(q) and len(r):
+            a, b, n = q[keys].to_numpy(dtype=float), r[keys].to_numpy(dtype=float), r["n"].to_numpy()
+            known = np.isfinite(b)
+            step = max(1, B.TILE // len(b))
+            for lo in range(0, len(a), step):
+                some = a[lo : lo + step]
+                far, shared = np.zeros((len(some), len(b))), np.zeros((len(some), len(b)))
+                for j in range(len(keys)):
+                    gap = (some[:, j, None] - b[None, :, j]) ** 2
+                    both = np.isfinite(gap)
+                    far += np.where(both, gap, 0.0)
+                    shared += both
+                far = np.where(shared > 0, far * len(keys) / np.maximum(shared, 1), np.inf)
+                for j in range(len(keys)):
+                    lacking = np.flatnonzero(~np.isfinite(some[:, j]))
+                    able = np.flatnonzero(known[:, j])
+                    if not len(lacking) or not len(able):
+                        continue
+                    own = far[np.ix_(lacking, able)]
+                    for i, line, at in zip(lacking, own, B.least(own, b[able, j], k), strict=True):
+                        near = [{"d": d, "value": v, "n": c} for d, v, c in zip(line[at].tolist(), b[able[at], j].tolist(), n[able[at]].tolist(), strict=True)]
+                        out.append((*[None if np.isnan(v) else v for v in some[i]], j, near))
+        return pd.DataFrame(out, columns=[*keys, "j", "near"])
+
+    schema = ", ".join(f"{c} double" for c in keys) + ", j int, near array<struct<d:double,value:double,n:bigint>>"
+    found = B.dealt(queries, donors, kernel, schema)
+    top = found.groupBy(*keys, "j").agg(F.flatten(F.collect_list("near")).alias("near")).select(*keys, "j", B.nearest_of("near", k).alias("top"))
+    total = lambda part: F.aggregate("top", F.lit(0.0), lambda s, e: s + part(e))
+    value = total(lambda e: e["value"] * e["n"]) / F.nullif(total(lambda e: e["n"].cast("double")), F.lit(0.0))
+    told = top.groupBy(*keys).agg(*[F.max(F.when(F.col("j") == j, value)).alias(f"__f{j}") for j in range(len(keys))])
+    whole = df.withColumns({f"__{c}": x for c, x in zip(keys, number, strict=True)})
+    on = reduce(lambda x, y: x & y, [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in keys])
+    filled = {c: F.coalesce(F.col(f"__c{j}"), F.col(f"__f{j}"), F.lit(means[f"c{j}"])).cast("double") for j, c in enumerate(columns)}
+    return whole.join(told.toDF(*keys, *[f"__f{j}" for j in range(len(keys))]), on, "left").select(*[filled[c].alias(c) if c in filled else N.q(c) for c in df.columns])
 
 
 def drop_null_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

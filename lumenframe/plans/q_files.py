@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clustering as K
-from ..operators import eda, explain, insights, learning, metrics, quality, recipe, views
+from ..operators import eda, explain, insights, learning, metrics, quality, recipe, views, zoo
 from ..sources import reader, sinks, workspace
-from . import q_ml, q_profile
+from . import q_eda, q_ml, q_profile
 from .inputs import LI_NULL_SQL, li_null, rounded, table
 
 # --- sources and sinks ------------------------------------------------------------------------
@@ -64,6 +64,35 @@ def predictions_table(spark, d):
 # --- recipes and quality ----------------------------------------------------------------------
 
 
+def _gaps(spark, d):
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", F.when(F.col("c_custkey") % 9 != 4, F.col("c_acctbal")).alias("saldo"), F.when(F.col("c_custkey") % 7 != 3, F.col("c_nationkey").cast("double")).alias("pais"))
+
+
+def knn_whole(spark, d):
+    return rounded(recipe.knn_impute(_gaps(spark, d), ["saldo", "pais"], 5))
+
+
+_KNN = """with t as (select c_custkey as id, case when c_custkey % 9 <> 4 then c_acctbal end as x, case when c_custkey % 7 <> 3 then c_nationkey::double end as y from customer),
+fx as (select id, avg(v) as v from (select q.id, r.x as v, row_number() over (partition by q.id order by 2 * (q.y - r.y) * (q.y - r.y), r.x) as p from t q join t r on q.x is null and q.y is not null and r.x is not null and r.y is not null) where p <= 5 group by id),
+fy as (select id, avg(v) as v from (select q.id, r.y as v, row_number() over (partition by q.id order by 2 * (q.x - r.x) * (q.x - r.x), r.y) as p from t q join t r on q.y is null and q.x is not null and r.y is not null and r.x is not null) where p <= 5 group by id)
+select t.id as c_custkey, round(coalesce(x, fx.v, (select avg(x) from t)), 4) as saldo, round(coalesce(y, fy.v, (select avg(y) from t)), 4) as pais from t left join fx using (id) left join fy using (id)"""
+
+
+def knn_model(spark, d):
+    """Nearest 15 customers by balance, trained on two thirds of them, vote for the segment of the rest."""
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", K.array_to_vector(F.array("c_acctbal")).alias("features"))
+    labelled, _ = learning.encode_labels(c, "c_mktsegment", "multiclase")
+    model = zoo.Neighbours(15).fit(labelled.filter("c_custkey % 3 <> 0"))
+    return model.transform(labelled.filter("c_custkey % 3 = 0")).select("c_custkey", "prediction")
+
+
+_KNN_MODEL = """with t as (select c_custkey, c_acctbal as x, (dense_rank() over (order by c_mktsegment) - 1)::double as y from customer),
+near as (select q.c_custkey, r.y, row_number() over (partition by q.c_custkey order by (q.x - r.x) * (q.x - r.x), r.y) as p from t q join t r on q.c_custkey % 3 = 0 and r.c_custkey % 3 <> 0),
+votes as (select c_custkey, y, count(*) as n from near where p <= 15 group by 1, 2)
+select c_custkey, y as prediction from (select *, row_number() over (partition by c_custkey order by n desc, y) as p from votes) where p = 1"""
+
+
 def etl_rename_drop(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_name")
     return recipe.drop_columns(recipe.rename(c, {"c_custkey": "clave", "c_acctbal": "saldo"}), ["c_name", "ausente"])
@@ -261,6 +290,8 @@ QUERIES = {
     "predictions_table": (predictions_table, "select o_orderkey, o_orderstatus as real, ['F', 'O', 'P'][(o_orderkey % 2 + 1)::int] as pred_a, ['F', 'O', 'P'][(o_orderkey % 3 + 1)::int] as pred_b from orders"),
     "etl_rename_drop": (etl_rename_drop, "select c_custkey as clave, c_mktsegment, c_acctbal as saldo from customer"),
     "etl_normalize_names": (normalize_names, "select n_nationkey as nacion_clave, n_name as nombre_pais from nation"),
+    "etl_impute_knn_whole": (knn_whole, _KNN),
+    "knn_model": (knn_model, _KNN_MODEL),
     "row_alerts": (row_alerts, f"select variable, coalesce(string_agg(alerta, ' | '), 'OK') as alerta from ({_FLAGS}) group by 1"),
     "alert_frequency": (alert_frequency, f"select alerta, count(*) as n from ({_FLAGS}) where alerta is not null group by 1"),
     "missing_bars": (missing_bars, _BARS),
@@ -280,5 +311,5 @@ QUERIES = {
     "features_for_share": (features_for_share, _FOR_SHARE),
     "base_scenario": (base_scenario, "select round(median(l_quantity), 4) as cantidad, round(median(l_extendedprice), 4) as precio, (select l_returnflag from lineitem group by 1 order by count(*) desc, 1 limit 1) as moda from lineitem"),
     "lever_values": (lever_values, _LEVERS),
-    "association_matrix": (association_matrix, None),
+    "association_matrix": (association_matrix, q_eda._v_sql("o_orderstatus", "o_orderpriority", "orders")),
 }
