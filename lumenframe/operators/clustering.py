@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import parsing as P
 from ..functions import stats as S
+from ..plans import order as O
 from .learning import Preprocessor, fit_preprocessor
 
 # Samples that quadratic work is bounded to.
@@ -38,9 +39,9 @@ def prepare_matrix(df: DataFrame, features: list[str], key: list[str], scaler: s
 
 
 def bounded(df: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """At most ``most`` rows, chosen by a hash of all their values."""
-    by = F.xxhash64(F.lit(seed), F.to_json(F.struct(*[N.q(c) if c != "features" else vector_to_array("features").alias("f") for c in df.columns])))
-    return df.orderBy(by).limit(most)
+    """At most ``most`` rows, chosen by a hash of their place, not of their values: equal rows are drawn one by one."""
+    placed = df.withColumn("__at", F.monotonically_increasing_id())
+    return placed.orderBy(F.xxhash64(F.lit(seed), "__at"), "__at").limit(most).drop("__at")
 
 
 def _matrix(df: DataFrame) -> np.ndarray:
@@ -126,14 +127,17 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def linkage(x: np.ndarray, method: str = "ward") -> np.ndarray:
-    """Merges (a, b, height, size) of a bounded sample, by the nearest-neighbour chain with Lance-Williams updates."""
+def linkage(x: np.ndarray, method: str = "ward", sizes: np.ndarray | None = None) -> np.ndarray:
+    """Merges (a, b, height, size) of a bounded sample, by the nearest-neighbour chain with Lance-Williams updates.
+
+    ``sizes``: how many rows each point stands for (one by default).
+    """
     n = len(x)
-    d = _distances(x, x)
+    d, size = _distances(x, x), np.ones(n) if sizes is None else sizes.astype(float)
     if method == "ward":
-        d = d**2
+        d = d**2 * (2 * size[:, None] * size[None, :] / (size[:, None] + size[None, :]))
     np.fill_diagonal(d, np.inf)
-    size, alive, merges, chain = np.ones(n), np.ones(n, dtype=bool), [], []
+    alive, merges, chain = np.ones(n, dtype=bool), [], []
     for _ in range(n - 1):
         if not chain:
             chain = [int(np.flatnonzero(alive)[0])]
@@ -203,6 +207,8 @@ def nearest(m: DataFrame, key: str, centers: list[list[float]]) -> DataFrame:
 
 def run_clustering(m: DataFrame, key: str, name: str, k: int = 3, **params) -> ClusterResult:
     """One algorithm by name, with its metrics; what fails is reported in ``error``."""
+    from . import landmarks  # it builds on this module
+
     out = ClusterResult(name)
     try:
         if name in ("KMeans", "MiniBatchKMeans"):
@@ -215,6 +221,12 @@ def run_clustering(m: DataFrame, key: str, name: str, k: int = 3, **params) -> C
             out.labels, out.model = hierarchical(m, key, k, **params)
         elif name == "DBSCAN":
             out.labels = dbscan(m, key, params.get("eps", 0.5), params.get("min_samples", 5))
+        elif name == "Birch":
+            out.labels = landmarks.birch(m, key, k, **params)
+        elif name == "Spectral":
+            out.labels = landmarks.spectral(m, key, k, **params)
+        elif name == "Mean Shift":
+            out.labels, out.model = landmarks.mean_shift(m, key, **params)
         else:
             raise ValueError(f"algoritmo desconocido: {name}")
         if out.labels is None:
@@ -451,7 +463,8 @@ def profile_clusters(df: DataFrame, cluster: str, features: list[str]) -> DataFr
         if N.is_numeric(df, c):
             x = P.to_float(N.q(c))
             whole = df.agg(F.avg(x).alias("gm"), F.stddev_pop(x).alias("gs"))
-            per = df.groupBy(F.col(cluster).alias("cluster")).agg(F.avg(x).alias("m"), F.median(x).alias("med"), F.count(x).alias("n")).crossJoin(F.broadcast(whole))  # one row
+            per = df.groupBy(F.col(cluster).alias("cluster")).agg(F.avg(x).alias("m"), F.count(x).alias("n")).crossJoin(F.broadcast(whole))  # one row
+            per = O.with_median(per, df, "cluster", F.col(cluster), x, "med")
             one = per.select("cluster", F.lit(c).alias("variable"), F.lit("numérica").alias("tipo"), F.col("m").cast("string").alias("valor_cluster"), F.col("med").alias("mediana_cluster"), F.col("gm").cast("string").alias("valor_global"),
                              (100 * S.ratio(F.col("m") - F.col("gm"), F.nullif(F.abs("gm"), F.lit(0.0)))).alias("diferencia_%"), ((F.col("m") - F.col("gm")) / F.when(F.col("gs") != 0, F.col("gs")).otherwise(1.0)).alias("z_diferencia"), "n")
         else:
@@ -477,8 +490,9 @@ def centroids_table(df: DataFrame, cluster: str, features: list[str]) -> DataFra
 def target_by_cluster(df: DataFrame, cluster: str, target: str) -> DataFrame:
     x = P.to_float(N.q(target))
     whole = df.agg(F.avg(x).alias("g"))
-    per = df.groupBy(F.col(cluster).alias("cluster")).agg(F.avg(x).alias("promedio"), F.median(x).alias("mediana"), F.min(x).alias("minimo"), F.max(x).alias("maximo"), F.count(x).alias("n")).crossJoin(F.broadcast(whole))  # one row
-    return per.withColumn("vs_global_%", 100 * S.ratio(F.col("promedio") - F.col("g"), F.nullif(F.abs("g"), F.lit(0.0)))).drop("g")
+    per = df.groupBy(F.col(cluster).alias("cluster")).agg(F.avg(x).alias("promedio"), F.min(x).alias("minimo"), F.max(x).alias("maximo"), F.count(x).alias("n")).crossJoin(F.broadcast(whole))  # one row
+    per = O.with_median(per, df, "cluster", F.col(cluster), x, "mediana").withColumn("vs_global_%", 100 * S.ratio(F.col("promedio") - F.col("g"), F.nullif(F.abs("g"), F.lit(0.0))))
+    return per.select("cluster", "promedio", "mediana", "minimo", "maximo", "n", "vs_global_%")
 
 
 def name_clusters(df: DataFrame, cluster: str, features: list[str], traits: int = 2) -> DataFrame:

@@ -296,11 +296,12 @@ def target_relationship(df: DataFrame, target: str, features: list[str] | None =
 
 
 def normality_tests(df: DataFrame, columns: list[str] | None = None, max_n: int = SHAPIRO_MOST) -> DataFrame:
-    """Shapiro-Wilk on at most ``max_n`` values a column (chosen by hash); columns under 20 values are left out."""
+    """Shapiro-Wilk on at most ``max_n`` rows' values a column (chosen by a hash of the row's place); columns under 20 values are left out."""
     rows = []
     for c in columns or N.numeric_columns(df):
         x = df.select(P.to_float(N.q(c)).alias("x")).dropna()
-        values = [r["x"] for r in x.orderBy(F.xxhash64("x"), "x").limit(max_n).collect()] if max_n else []
+        placed = x.withColumn("at", F.monotonically_increasing_id())
+        values = [r["x"] for r in placed.orderBy(F.xxhash64("at"), "at").limit(max_n).collect()] if max_n else []
         if len(values) < SHAPIRO_LEAST:
             continue
         w, p = special.shapiro_wilk(values)
@@ -315,8 +316,10 @@ def normality_tests(df: DataFrame, columns: list[str] | None = None, max_n: int
 
 def group_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     g, x = N.as_label(N.q(by)).alias(by), P.to_float(N.q(value))
-    per = df.groupBy(g).agg(F.count(x).alias("n"), F.avg(x).alias("promedio"), F.median(x).alias("mediana"), F.stddev_samp(x).alias("desv"), F.min(x).alias("minimo"), F.max(x).alias("maximo"))
-    return per.withColumn("%_del_total", S.percent(F.col("n"), F.sum("n").over(W.partitionBy())))  # a row a group
+    per = df.groupBy(g).agg(F.count(x).alias("n"), F.avg(x).alias("promedio"), F.stddev_samp(x).alias("desv"), F.min(x).alias("minimo"), F.max(x).alias("maximo"))
+    per = order.with_median(per, df, by, N.as_label(N.q(by)), x, "mediana")
+    share = S.percent(F.col("n"), F.sum("n").over(W.partitionBy())).alias("%_del_total")  # a row a group
+    return per.select(N.q(by), "n", "promedio", "mediana", "desv", "minimo", "maximo", share)
 
 
 def crosstab_pct(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -397,8 +400,9 @@ def histogram(df: DataFrame, column: str, bins: int = 40, by: str | None = None,
 def box_stats(df: DataFrame, column: str, by: str, top_groups: int = 8) -> DataFrame:
     """Quartiles and whiskers (the farthest values within 1.5 quartile ranges) of the largest groups."""
     rows = df.select(N.as_label(N.q(by)).alias("grupo"), P.to_float(N.q(column)).alias("x")).filter("x is not null")
-    often = rows.groupBy("grupo").agg(F.count("*").alias("n"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).orderBy(F.desc("n"), "grupo").limit(top_groups)
-    often = often.select("grupo", "n", F.col("q")[0].alias("p25"), F.col("q")[1].alias("mediana"), F.col("q")[2].alias("p75"))
+    listed = rows.groupBy("grupo").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "grupo").limit(top_groups).collect()
+    own = order.quantiles(rows, {r["grupo"]: (F.when(F.col("grupo") == r["grupo"], F.col("x")), (0.25, 0.5, 0.75)) for r in listed})
+    often = df.sparkSession.createDataFrame([(r["grupo"], r["n"], *own[r["grupo"]]) for r in listed], "grupo string, n long, p25 double, mediana double, p75 double")
     reach = 1.5 * (F.col("p75") - F.col("p25"))
     inside = (F.col("x") >= F.col("p25") - reach) & (F.col("x") <= F.col("p75") + reach)
     return rows.join(F.broadcast(often), "grupo").groupBy("grupo", "n", "p25", "mediana", "p75").agg(F.min(F.when(inside, F.col("x"))).alias("bigote_inf"), F.max(F.when(inside, F.col("x"))).alias("bigote_sup"))

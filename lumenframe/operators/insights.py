@@ -109,8 +109,11 @@ def base_scenario(df: DataFrame, features: list[str]) -> dict:
     """Median or mode of each column."""
     middle = O.quantiles(df, {c: (P.to_float(N.q(c)), (0.5,)) for c in features if N.is_numeric(df, c)})
     rest = [c for c in features if c not in middle]
+    texts = {c: N.q(c) for c in rest if df.schema[c].dataType.typeName() == "string"}
+    found = {c: v[0] for c, v in middle.items()} | {c: v[1] for c, v in O.tallies(df, texts, "string").items()}
+    rest = [c for c in rest if c not in texts]
     modes = df.agg(*[S.mode(N.q(c)).alias(f"v{k}") for k, c in enumerate(rest)]).first() if rest else []
-    found = {c: v[0] for c, v in middle.items()} | dict(zip(rest, modes, strict=True))
+    found |= dict(zip(rest, modes, strict=True))
     return {c: found[c] for c in features}
 
 

@@ -20,6 +20,7 @@ from ..functions import stats as S
 from ..plans import order as O
 from ..plans.fusion import AggFusion
 from . import metrics as M
+from . import nets
 from . import quality as Q
 from . import zoo as Z
 
@@ -203,7 +204,7 @@ class Constant:
 def model_zoo(task: str, n_rows: int, sd_y: float = 1.0, fast: bool = False, weight: str | None = None, seed: int = 42, n_features: int = 1, n_classes: int = 2) -> dict:
     """name -> estimator. Penalties are those of per-row-sum objectives, restated for Spark's per-row-mean ones.
 
-    Extra trees and the classifiers' kernel machine are approximated by the nearest that Spark has, and say so. Spark's boosted trees are
+    Extra trees and the kernel machines are approximated, and say so. Spark's boosted trees are
     of histograms, so the second kind of boosting differs by depth and bins only. The README lists what is left out.
     """
     trees = 60 if fast else 300
@@ -238,6 +239,8 @@ def model_zoo(task: str, n_rows: int, sd_y: float = 1.0, fast: bool = False, wei
         "HistGradientBoosting": R.GBTRegressor(maxIter=100, maxDepth=5, stepSize=0.1, maxBins=255, seed=seed),
         "AdaBoost": Z.AdaBoostRegressor(seed=seed),
         "K-Vecinos (KNN)": Z.Neighbours(15, classify=False),
+        "SVM (aprox.)": nets.KernelRegressor(seed=seed),
+        "MLP": nets.NetRegressor(seed=seed),
     }
     return {k: zoo[k] for k in ("Regresión Lineal", "Ridge", "Árbol de Decisión", "Random Forest")} if fast else zoo
 

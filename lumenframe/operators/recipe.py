@@ -444,11 +444,12 @@ def binning(df: DataFrame, column: str, bins: int = 5, method: str = "cuantiles"
 
 
 def sample(df: DataFrame, n: int | None = None, frac: float | None = None, random_state: int = 42, key: list[str] | None = None) -> DataFrame:
-    """A sample of exact size without replacement, in shuffled order; rows are ranked by a hash of ``key`` (all columns by default)."""
+    """A sample of exact size without replacement, in shuffled order; rows are ranked by a hash of ``key`` (of their place by default)."""
     if n is None:
         n = round((frac if frac is not None else 1.0) * df.count())
-    by = key or ([N.ROW_ID] if N.ROW_ID in df.columns else N.data_columns(df))
-    return df.orderBy(F.xxhash64(F.lit(random_state), *[N.q(c) for c in by]), *[N.q(c) for c in by]).limit(n)
+    by = key or ([N.ROW_ID] if N.ROW_ID in df.columns else ["__place"])
+    placed = df.withColumn("__place", F.monotonically_increasing_id())  # equal rows are drawn one by one
+    return placed.orderBy(F.xxhash64(F.lit(random_state), *[N.q(c) for c in by]), *[N.q(c) for c in by], "__place").limit(n).drop("__place")
 
 
 OPERATIONS: dict[str, Callable[..., DataFrame]] = {

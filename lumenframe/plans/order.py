@@ -92,6 +92,44 @@ def _quantiles(df: DataFrame, wanted: dict[Hashable, tuple[Column, Sequence[floa
     return out
 
 
+def group_quantiles(df: DataFrame, group: Column, x: Column, ps: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
+    """(g, q): for each value of ``group`` the linearly interpolated quantiles ``ps`` of ``x``, exact.
+
+    As ``quantiles``, but groups stay in Spark: a sketch a group brackets each rank, rows are counted between and in
+    the brackets before they are shuffled, and no task holds a map of a group's values. Groups without values are left out.
+    """
+    slack = 2.0 / accuracy
+    around = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in ps for d in (-slack, slack)])
+    rows = df.select(group.alias("g"), x.cast("double").alias("x")).filter("x is not null")
+    facts = rows.groupBy("g").agg(F.count("*").alias("n"), F.percentile_approx("x", around, F.lit(accuracy)).alias("at"))
+    placed = rows.join(facts.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h")))
+
+    def part(i: int) -> Column:
+        cell = F.when(F.col("x") < F.col("at")[2 * i], 0).when(F.col("x") <= F.col("at")[2 * i + 1], 1).otherwise(2)
+        return F.struct(F.lit(i).alias("i"), cell.alias("cell"), F.when(cell == 1, F.col("x")).alias("value"), F.col("x").alias("y"))
+
+    cells = placed.select("g", "n", F.inline(F.array(*[part(i) for i in range(len(ps))])))
+    counted = cells.groupBy("g", "n", "i", "cell", "value").agg(F.count("*").alias("m"), F.min("y").alias("lo"), F.max("y").alias("hi"))
+    before = F.coalesce(F.sum("m").over(W.partitionBy("g", "n", "i").orderBy("cell", "value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in ps]), F.col("i") + 1)
+
+    def value(rank: Column) -> Column:
+        first, last = F.col("before"), F.col("before") + F.col("m") - 1
+        return F.max(F.when((rank == first) | ((F.col("lo") == F.col("hi")) & rank.between(first, last)), F.col("lo")).when(rank == last, F.col("hi")))
+
+    ranked = counted.withColumn("before", before).withColumn("place", place)
+    ends = ranked.groupBy("g", "i", "place").agg(value(F.floor("place")).alias("low"), value(F.ceil("place")).alias("high"))
+    up, down = F.ceil("place") - F.col("place"), F.col("place") - F.floor("place")
+    between = F.when((F.col("low") == F.col("high")) | (down == 0), F.col("low")).otherwise(up * F.col("low") + down * F.col("high"))
+    return ends.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", between.alias("v")))).alias("q")).select("g", F.transform("q", lambda e: e["v"]).alias("q"))
+
+
+def with_median(per: DataFrame, df: DataFrame, name: str, group: Column, x: Column, label: str) -> DataFrame:
+    """``per``, a row a group in column ``name``, with the median of ``x`` over the group's rows of ``df``."""
+    found = group_quantiles(df, group, x, (0.5,)).select(F.col("g").alias("__g"), F.col("q")[0].alias(label))
+    return per.join(found, F.col(f"`{name}`").eqNullSafe(F.col("__g")), "left").drop("__g")
+
+
 def tallies(df: DataFrame, columns: dict[Hashable, Column], kind: str = "double") -> dict[Hashable, tuple[int, object, int]]:
     """For each key: distinct values, the most frequent one (the smallest of ties) and its count; nulls don't count.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clustering as K
-from ..operators import insights
+from ..operators import insights, landmarks
 from .inputs import rounded, table
 
 
@@ -91,6 +91,19 @@ def hierarchical(spark, d):
     return K.hierarchical(_vectors(spark, d), "vec_id", 10)[0]
 
 
+def birch(spark, d):
+    return landmarks.birch(_vectors(spark, d), "vec_id", 10)
+
+
+def spectral(spark, d):
+    return landmarks.spectral(_vectors(spark, d), "vec_id", 10)
+
+
+def mean_shift(spark, d):
+    m, _ = K.prepare_matrix(table(spark, d, "customer"), ["c_acctbal", "c_nationkey"], ["c_custkey"])
+    return landmarks.mean_shift(m, "c_custkey")[0]
+
+
 def name_clusters(spark, d):
     return rounded(K.name_clusters(table(spark, d, "customer"), "c_mktsegment", ["c_acctbal", "c_nationkey"]))
 
@@ -125,6 +138,9 @@ QUERIES = {
     "dbscan": (dbscan, None),
     "dbscan_grid": (dbscan_grid, None),
     "hierarchical": (hierarchical, None),
+    "birch": (birch, None),
+    "spectral": (spectral, None),
+    "mean_shift": (mean_shift, None),
     "name_clusters": (name_clusters, None),
     "optimizer_grid": (optimizer_grid, _OPT),
     "segment_actions": (segment_actions, _SEG),

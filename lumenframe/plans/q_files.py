@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clustering as K
 from ..operators import eda, explain, insights, learning, metrics, quality, recipe, views, zoo
-from ..sources import reader, sinks, workspace
+from ..sources import demo, reader, sinks, workspace
 from . import q_eda, q_ml, q_profile
 from .inputs import LI_NULL_SQL, li_null, rounded, table
 
@@ -284,6 +284,8 @@ QUERIES = {
     "read_csv_tab": (csv_round_trip("\t"), _ORDERS.format(k="::double")),
     "read_csv_bar": (csv_round_trip("|"), _ORDERS.format(k="::double")),
     "read_json_lines": (json_round_trip, _ORDERS.format(k="")),
+    "demo_churn": (lambda spark, d: demo.churn_customers(spark), None),
+    "demo_homes": (lambda spark, d: demo.property_sales(spark), None),
     "read_parquet": (parquet_read, "select * from supplier"),
     "read_decimal_comma": (decimal_comma, "select o_orderkey::double as o_orderkey, round(o_totalprice, 2) as precio from orders"),
     "labelled_data": (labelled_data, "select o_orderkey, o_orderstatus, (o_orderkey % 3)::int as cluster, case o_orderkey % 3 when 0 then 'uno' when 1 then 'dos' end as segmento from orders"),

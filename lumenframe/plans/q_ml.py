@@ -137,6 +137,11 @@ def train_leaderboard_clf(spark, d):
     return learning.train_models(docs, "quality", ["n_chars", "lang", "toxic"], ["doc_id"], fast=True).leaderboard().drop("tiempo_s")
 
 
+def train_nets(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
+    return learning.train_models(p, "p_retailprice", ["p_size", "p_brand", "p_partkey"], ["p_partkey"], models=["SVM (aprox.)", "MLP"]).leaderboard().drop("tiempo_s")
+
+
 def permutation_importance(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
     out = learning.train_models(p, "p_retailprice", ["p_size", "p_brand", "p_partkey"], ["p_partkey"], models=["Regresión Lineal"])
@@ -181,6 +186,7 @@ QUERIES = {
     "ordinal_encode": (_features(encoder="ordinal", columns=("o_orderpriority",)), _ORDINAL),
     "train_leaderboard_clf": (train_leaderboard_clf, None),
     "train_leaderboard_reg": (_board("l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "lineitem"), None),
+    "train_nets": (train_nets, None),
     "permutation_importance": (permutation_importance, None),
     "partial_dependence": (partial_dependence, None),
     "importance_consensus": (importance_consensus, _CONSENSUS),
