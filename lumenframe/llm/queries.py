@@ -33,7 +33,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _spans("spans"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _spans("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans("spans"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", _spans("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
