@@ -11,7 +11,9 @@ from . import sql
 from .chat import chat_digests, format_chats, read_chats
 from .common import read_table
 from .decontaminate import decontaminate
+from .fim import fim_restore, fim_transform
 from .line_dedup import line_dedup
+from .merkle import merkle_manifest, merkle_proofs
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .pii import find_pii
@@ -19,6 +21,7 @@ from .search import top_k
 from .secrets import scan_secrets
 from .toxicity import score_toxicity
 from .warc import read_archives, write_archives
+from .winnow import edited_fingerprints
 
 
 def _spans(column: str) -> Column:
@@ -79,6 +82,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _fingerprint(positions: str, hashes: str) -> Column:
+    """position:hash pairs, the hashes as 16 hex digits."""
+    pair = lambda p, h: F.concat(p.cast("string"), F.lit(":"), F.lpad(F.lower(F.hex(h)), 16, "0"))
+    return F.array_join(F.zip_with(positions, hashes, pair), ",")
+
+
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edited_fingerprints(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", _fingerprint("positions", "hashes").alias("fingerprint"),
+        _fingerprint("edited_positions", "edited_hashes").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_proofs(merkle_manifest(read_table(spark, sf_dir, "documents")))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim_restore(fim_transform(read_table(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("text").alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -91,6 +118,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_windows": op8_chat_windows,
         "op9_mixing": op9_mixing,
         "op10_decontaminate": op10_decontaminate,
+        "op11_fingerprints": op11_fingerprints,
+        "op12_merkle": op12_merkle,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 

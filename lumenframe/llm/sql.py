@@ -144,5 +144,96 @@ from blocked
 """
 
 
+def _tree(name: str, fanout: int, levels: int) -> str:
+    """A forest's levels over ``name``0 (tree, i, d), and their runs: ``name``r0, ``name``1, ``name``r1 and so on."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}r{k} as (
+  select tree, i // {fanout} as parent, list(d order by i) as run, max(i) as last from {name}{k}
+  where tree in (select tree from {name}{k} group by tree having count(*) > 1) group by tree, i // {fanout}
+), {name}{k + 1} as (
+  select tree, parent as i, sha256(array_to_string(run, '')) as d from {name}r{k}
+  union all select tree, i, d from {name}{k} where tree not in (select tree from {name}r{k})
+)""")
+    return ",\n".join(out)
+
+
+def _folds(start: str, name: str, result: str, fanout: int, levels: int) -> str:
+    """From ``start`` (row_no, tree, i, folded, proof): each level's siblings put to proof and folded in, ending in ``result``."""
+    out, now = [], start
+    for k in range(levels):
+        then = f"{result}{k}" if k < levels - 1 else result
+        left, right = f"array_to_string(run[1:i % {fanout}], '')", f"array_to_string(run[i % {fanout} + 2:], '')"
+        out.append(f"""{then} as (
+  select row_no, {now}.tree, case when run is null then i else i // {fanout} end as i,
+         case when run is null then folded else sha256({left} || folded || {right}) end as folded,
+         proof || case when run is null then '' else {left} || {right} end as proof
+  from {now} left join {name}r{k} on {now}.tree = {name}r{k}.tree and i // {fanout} = parent
+)""")
+        now = then
+    return ",\n".join(out)
+
+
+def merkle_sql(fanout: int = 8, levels: int = 9, top_levels: int = 3) -> str:
+    """Up to ``fanout ** levels`` rows of a language and ``fanout ** top_levels`` languages; CRC-32 goes bit by bit."""
+    field = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    turned = "list_reduce(list_prepend({0}, range(8)::bigint[]), lambda c, b: xor(c >> 1, 3988292384 * (c & 1)))"
+    byte = turned.format("xor(c, ascii(x)::bigint)")
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, x: {byte.replace('ascii(x)::bigint', 'x')}))"
+    return f"""
+with leaves as (
+  select *, row_number() over () as row_no, {leaf("text")} as leaf,
+         case when {crc} % 3 = 0 then {leaf(lower)} else {leaf("text")} end as tampered
+  from documents
+), langs as (
+  select lang, row_number() over (order by lang nulls first) - 1 as tree from (select distinct lang from documents)
+), placed as (
+  select leaves.*, tree, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i
+  from leaves join langs on leaves.lang is not distinct from langs.lang
+), a0 as (select tree, i, leaf as d from placed),
+{_tree("a", fanout, levels)},
+b0 as (select 0 as tree, tree as i, d from a{levels}),
+{_tree("b", fanout, top_levels)},
+s as (select row_no, tree, i, tampered as folded, '' as proof from placed),
+{_folds("s", "a", "f", fanout, levels)},
+u as (select row_no, 0 as tree, tree as i, folded, proof from f),
+{_folds("u", "b", "g", fanout, top_levels)}
+select doc_id, leaf, a{levels}.d as subroot, b{top_levels}.d as root, sha256(proof) as proof_sha256, folded as folded_root, folded = b{top_levels}.d as verified
+from placed join g on placed.row_no = g.row_no join a{levels} on placed.tree = a{levels}.tree, b{top_levels}
+"""
+
+
+OP13_SQL = """
+with d as (
+  select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, '')) as key,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as units
+  from documents
+), h as (
+  select *, len(units) as n, ('0x' || substr(key, 1, 8))::bigint as h1, ('0x' || substr(key, 9, 8))::bigint as h2,
+         ('0x' || substr(key, 17, 8))::bigint as h3, ('0x' || substr(key, 25, 8))::bigint as h4
+  from d
+), c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain'
+              when h4 % 100 < 50 then 'spm' else 'psm' end as form
+  from h
+), p as (
+  select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix
+  from c
+)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end as prefix_chars,
+       case when form <> 'plain' then length(middle) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(text) as restored_sha256
+from p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_chat_windows": OP8_SQL, "op9_mixing": mixing_sql()}
+    return {
+        "op1_warc": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_chat_windows": OP8_SQL, "op9_mixing": mixing_sql(),
+        "op12_merkle": merkle_sql(), "op13_fill_in_middle": OP13_SQL,
+    }
