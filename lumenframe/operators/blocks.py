@@ -1,37 +1,11 @@
-"""Nearest rows, exactly: a set of queries against all rows, block by block.
-
-Equal queries and equal rows are put together first, so no block grows by copies. Rows are dealt into blocks by hash and
-queries into chunks; a task holds one chunk and one block and gives the nearest of its block. What the blocks
-give is merged by query. The work is the number of distinct queries times that of distinct rows.
-"""
+"""The nearest of one block, and of what several blocks gave; ``space`` says which blocks meet."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ROWS_A_BLOCK, TILE = 8_192, 1 << 18  # rows a task holds of either side; distances worked out at once
-
-
-def dealt(queries: DataFrame, rows: DataFrame, kernel: Callable, schema: str, size: int = ROWS_A_BLOCK) -> DataFrame:
-    """``kernel(queries, rows)`` on each pair of a chunk and a block, both pandas frames; its results together."""
-    chunks, blocks = -(-max(queries.count(), 1) // size), -(-max(rows.count(), 1) // size)
-    deal = lambda df, n: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("__c", deal(queries, chunks)).withColumn("__b", every(blocks))
-    right = rows.withColumn("__b", deal(rows, blocks)).withColumn("__c", every(chunks))
-    names = [f.split(" ")[0].strip("`") for f in schema.split(", ")]
-
-    def one(q, r):
-        return kernel(q.drop(columns=["__c", "__b"]), r.drop(columns=["__c", "__b"]))[names]
-
-    tasks = min(chunks * blocks, 10_000)  # given, as the bytes are few and the work is not: adaptive plans would put all in one task
-    left, right = left.repartition(tasks, "__c", "__b"), right.repartition(tasks, "__c", "__b")
-    return left.groupBy("__c", "__b").cogroup(right.groupBy("__c", "__b")).applyInPandas(one, schema)
-
 
 def least(distance: np.ndarray, values: np.ndarray, k: int) -> list[np.ndarray]:
     """For each line of ``distance`` the places of its ``k`` smallest finite ones, of equal ones those of the smaller values."""

@@ -21,6 +21,7 @@ from ..functions import stats as S
 from ..plans import order as O
 from ..plans.fusion import AggFusion
 from . import blocks as B
+from . import space as X
 from .expressions import translate
 from .quality import dataset_diagnostics, with_position
 
@@ -229,7 +230,8 @@ def impute(df: DataFrame, strategy_num: str = "mediana", strategy_cat: str = "mo
 def knn_impute(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """Mean of the ``k`` nearest rows that have the value, by distance over the columns both have.
 
-    All rows are donors, compared in blocks. The distance is scaled up by the share of columns that both have; of equally near
+    All rows are donors, dealt into blocks of space; a row meets the nearest block, then only those whose box lies within the distance of the
+    ``k``-th it found there (``space.nearest``). The distance is scaled up by the share of columns that both have; of equally near
     ones the smaller values are taken. A row that shares no column with any donor gets the column's mean; a column without
     values stays null.
     """
@@ -244,32 +246,43 @@ def knn_impute(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
 
     def kernel(q, r):
         out = []
-        if len(q) and len(r):
-            a, b, n = q[keys].to_numpy(dtype=float), r[keys].to_numpy(dtype=float), r["n"].to_numpy()
-            known = np.isfinite(b)
-            step = max(1, B.TILE // len(b))
-            for lo in range(0, len(a), step):
-                some = a[lo : lo + step]
-                far, shared = np.zeros((len(some), len(b))), np.zeros((len(some), len(b)))
-                for j in range(len(keys)):
-                    gap = (some[:, j, None] - b[None, :, j]) ** 2
-                    both = np.isfinite(gap)
-                    far += np.where(both, gap, 0.0)
-                    shared += both
-                far = np.where(shared > 0, far * len(keys) / np.maximum(shared, 1), np.inf)
-                for j in range(len(keys)):
-                    lacking = np.flatnonzero(~np.isfinite(some[:, j]))
-                    able = np.flatnonzero(known[:, j])
-                    if not len(lacking) or not len(able):
-                        continue
-                    own = far[np.ix_(lacking, able)]
-                    for i, line, at in zip(lacking, own, B.least(own, b[able, j], k), strict=True):
-                        near = [{"d": d, "value": v, "n": c} for d, v, c in zip(line[at].tolist(), b[able[at], j].tolist(), n[able[at]].tolist(), strict=True)]
-                        out.append((*[None if np.isnan(v) else v for v in some[i]], j, near))
+        a, b, n = q[keys].to_numpy(dtype=float), r[keys].to_numpy(dtype=float), r["n"].to_numpy()
+        known = np.isfinite(b)
+        for part in X.tiles(a, len(b)):
+            some = a[part]
+            far, shared = np.zeros((len(some), len(b))), np.zeros((len(some), len(b)))
+            for j in range(len(keys)):
+                gap = (some[:, j, None] - b[None, :, j]) ** 2
+                both = np.isfinite(gap)
+                far += np.where(both, gap, 0.0)
+                shared += both
+            far = np.where(shared > 0, far * len(keys) / np.maximum(shared, 1), np.inf)
+            for j in range(len(keys)):
+                lacking = np.flatnonzero(~np.isfinite(some[:, j]))
+                able = np.flatnonzero(known[:, j])
+                if not len(lacking):
+                    continue
+                own = far[np.ix_(lacking, able)]
+                for i, line, at in zip(lacking, own, B.least(own, b[able, j], k), strict=True):
+                    near = [{"d": d, "value": v, "n": c} for d, v, c in zip(line[at].tolist(), b[able[at], j].tolist(), n[able[at]].tolist(), strict=True)]
+                    out.append((*[None if np.isnan(v) else v for v in some[i]], j, near))
         return pd.DataFrame(out, columns=[*keys, "j", "near"])
 
+    def home(far, pdf):
+        """For each value that a row lacks the nearest block that has it, with enough rows if there is one."""
+        x = pdf[keys].to_numpy(dtype=float)
+        chosen = [set() for _ in x]
+        for j in range(len(keys)):
+            able = np.flatnonzero(blocks.filled[:, j] & (blocks.held >= k))
+            able = able if len(able) else np.flatnonzero(blocks.filled[:, j])
+            for i in np.flatnonzero(~np.isfinite(x[:, j])) if len(able) else ():
+                chosen[i].add(int(able[np.argmin(far[i, able])]))
+        return [np.array(sorted(c), dtype=int) for c in chosen]
+
     schema = ", ".join(f"{c} double" for c in keys) + ", j int, near array<struct<d:double,value:double,n:bigint>>"
-    found = B.dealt(queries, donors, kernel, schema)
+    leaves = X.leaves_of(donors, keys, "n")
+    blocks = leaves.boxes
+    found = X.nearest(queries, leaves, kernel, schema, [*keys, "j"], k, home)
     top = found.groupBy(*keys, "j").agg(F.flatten(F.collect_list("near")).alias("near")).select(*keys, "j", B.nearest_of("near", k).alias("top"))
     total = lambda part: F.aggregate("top", F.lit(0.0), lambda s, e: s + part(e))
     value = total(lambda e: e["value"] * e["n"]) / F.nullif(total(lambda e: e["n"].cast("double")), F.lit(0.0))

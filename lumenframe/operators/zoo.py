@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from . import space as X
 
 
 def _classes(df: DataFrame) -> int:
@@ -169,7 +170,7 @@ class AdaBoostRegModel:
 
 @dataclass
 class Neighbours:
-    """The ``k`` nearest training rows vote, or give their mean. All rows are compared, in blocks; ties go to the smaller label."""
+    """The ``k`` nearest training rows vote, or give their mean. All rows count; blocks of space too far away are not met (``space.nearest``). Ties go to the smaller label."""
 
     k: int = 15
     classify: bool = True
@@ -186,23 +187,23 @@ class NeighboursModel:
     classes: int
 
     def transform(self, df: DataFrame) -> DataFrame:
-        k = self.k
+        k, width = self.k, len((self.rows.first() or {"x": []})["x"])
+        keys = [f"x{j}" for j in range(width)]
+        spread = lambda d: d.select("*", *[F.col("x")[j].alias(c) for j, c in enumerate(keys)])
 
         def kernel(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             out = []
-            if len(q) and len(r):
-                a, b, label, n = np.stack(q["x"].to_numpy()), np.stack(r["x"].to_numpy()), r["label"].to_numpy(), r["n"].to_numpy()
-                for lo in range(0, len(a), max(1, B.TILE // len(b))):
-                    some = a[lo : lo + max(1, B.TILE // len(b))]
-                    far = np.zeros((len(some), len(b)))
-                    for j in range(a.shape[1]):
-                        far += (some[:, j, None] - b[None, :, j]) ** 2
-                    for i, at in enumerate(B.least(far, label, k)):
-                        out.append((some[i], [{"d": d, "value": v, "n": c} for d, v, c in zip(far[i, at].tolist(), label[at].tolist(), n[at].tolist(), strict=True)]))
-            return pd.DataFrame(out, columns=["x", "near"])
-
-        queries = df.select(vector_to_array("features").alias("x")).distinct()
-        found = B.dealt(queries, self.rows, kernel, "x array<double>, near array<struct<d:double,value:double,n:bigint>>")
+            a, b, label, n = q[keys].to_numpy(dtype=float), r[keys].to_numpy(dtype=float), r["label"].to_numpy(), r["n"].to_numpy()
+            for part in X.tiles(a, len(b)):
+                far = X.squared(a[part], b)
+                for i, at in enumerate(B.least(far, label, k)):
+                    out.append((*a[part][i], [{"d": d, "value": v, "n": c} for d, v, c in zip(far[i, at].tolist(), label[at].tolist(), n[at].tolist(), strict=True)]))
+            return pd.DataFrame(out, columns=[*keys, "near"])
+
+        queries = spread(df.select(vector_to_array("features").alias("x")).distinct()).select(*keys)
+        blocks = X.leaves_of(spread(self.rows).select(*keys, "label", "n"), keys, "n")
+        found = X.nearest(queries, blocks, kernel, ", ".join(f"{c} double" for c in keys) + ", near array<struct<d:double,value:double,n:bigint>>", keys, k)
+        found = found.select(F.array(*keys).alias("x"), "near")
         merged = found.groupBy("x").agg(F.flatten(F.collect_list("near")).alias("near")).select("x", B.nearest_of("near", k).alias("top"))
         total = lambda part: F.aggregate("top", F.lit(0.0), lambda s, e: s + part(e))
         size = total(lambda e: e["n"].cast("double"))

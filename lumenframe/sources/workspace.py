@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh(spark: SparkSession, label: str) -> str:
@@ -16,3 +18,24 @@ def fresh(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_workspace"
     return f"{where.rstrip('/')}/lumenframe/{label}-{uuid.uuid4().hex}"
+
+
+_kept: list[tuple[SparkSession, str]] = []
+
+
+def _clear() -> None:
+    for spark, path in _kept:
+        with contextlib.suppress(Exception):  # the session may have ended
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _kept.clear()
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: a lost executor re-reads files, and the planner knows the size. It goes when the driver ends."""
+    path = fresh(df.sparkSession, label)
+    if not _kept:
+        atexit.register(_clear)
+    _kept.append((df.sparkSession, path))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

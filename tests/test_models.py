@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from lumenframe.operators import blocks, learning, recipe, views, zoo
+from lumenframe.operators import learning, recipe, space, views, zoo
 
 
 def points(spark, rows):
@@ -69,8 +69,8 @@ def test_ridge_classifier_is_least_squares_on_signs(spark, ring):
 
 @pytest.mark.parametrize("size", [7, 1000])
 def test_neighbours_equal_brute_force_in_any_blocks(spark, monkeypatch, size):
-    monkeypatch.setattr(blocks, "ROWS_A_BLOCK", size)
-    monkeypatch.setattr(blocks.dealt, "__defaults__", (size,))
+    monkeypatch.setattr(space, "LEAF_ROWS", size)
+    monkeypatch.setattr(space, "GROUP_ROWS", max(2, size // 3))
     rng = np.random.default_rng(5)
     x, y = rng.integers(0, 5, size=(60, 2)), rng.integers(0, 3, 60)  # many copies and ties
     df = points(spark, zip(x, y, strict=True))
@@ -88,7 +88,8 @@ def test_neighbours_equal_brute_force_in_any_blocks(spark, monkeypatch, size):
 
 
 def test_knn_impute_uses_all_rows(spark, monkeypatch):
-    monkeypatch.setattr(blocks.dealt, "__defaults__", (11,))
+    monkeypatch.setattr(space, "LEAF_ROWS", 6)
+    monkeypatch.setattr(space, "GROUP_ROWS", 4)
     rng = np.random.default_rng(9)
     x = rng.integers(0, 9, size=(50, 3)).astype(float)
     x[rng.random(x.shape) < 0.25] = np.nan
