@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fresh_path, materialize
@@ -161,7 +162,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
 
     Of pages with equal payloads of at least ``least_bytes`` bytes, that with the smallest page_id is the
     response and the others are revisits of it; all others are responses. Only (page_id, digest) pairs
-    are shuffled to decide this, with minima combined before the shuffle, and hot payloads are never moved.
+    are shuffled to decide this, with minima combined before the shuffle, and payloads only if there are too many revisits to broadcast their ids.
 
     Archives go to ``folder`` (any URI that Arrow's file systems open; by default the cluster's shared folder).
     A task names its archives by its attempt; those of a failed attempt are never listed. Null html is an empty
@@ -250,6 +251,6 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield pack(rows)
 
-    paths = archives.select("path")
-    paths = paths.repartition(max(1, min(paths.count(), MOST_READERS)))  # dealt in turn; a number that adaptive execution leaves alone
+    paths = archives.select("path", (F.row_number().over(W.orderBy("path")) - 1).alias("number"))  # a short list: one row an archive
+    paths = paths.repartitionById(max(1, min(archives.count(), MOST_READERS)), "number").select("path")
     return paths.mapInArrow(read, RECORD + (", payload binary" if with_payload else ""))
