@@ -106,7 +106,7 @@ def mix_sources(
         rows.join(plan, "key").filter(last >= 0)
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         .withColumn("draw", _draw(F.lit(str(seed)), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-        .withColumn("bucket", F.floor(F.col("draw") * F.col("buckets") / F.lit(float(1 << 52))))
+        .withColumn("bucket", F.floor(F.col("draw") / F.lit(float(1 << 52)) * F.col("buckets")))
     )
     cell = ["key", "epoch", "bucket"]
     heads = drawn.groupBy(*cell).agg(F.sum("n_tokens").alias("s"))

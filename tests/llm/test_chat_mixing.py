@@ -4,7 +4,11 @@ import hashlib
 import math
 from collections import defaultdict
 
+import duckdb
+import pandas as pd
+
 from lumenframe.llm.chat import chat_digests, format_chats, read_chats
+from lumenframe.llm.sql import mixing_sql
 from lumenframe.llm.mixing import exponent_for, mix_sources
 from lumenframe.llm.queries import op8_chat_windows
 
@@ -107,3 +111,12 @@ def test_exponent_is_bisected(spark):
     x = exponent_for(totals, 0.99, 2.0)
     assert abs((0.7 / 0.04) ** (1 - x) - 2.0) < 1e-5
     assert exponent_for(totals, 0.1, 100.0) == 1.0
+
+
+def test_many_buckets_agree_with_sql(spark):
+    """A bucket a document: as many as a source of ten million documents has by default."""
+    rows = [(i, "w " * (i % 9), "big" if i % 3 else "small") for i in range(5000)]
+    got = [tuple(r) for r in mix_sources(docs(spark, rows), block_tokens=3000, bucket_docs=1).collect()]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
+    assert sorted(got) == sorted(con.execute(mixing_sql(block_tokens=3000, bucket_docs=1)).fetchall())
