@@ -207,7 +207,7 @@ def nearest(m: DataFrame, key: str, centers: list[list[float]]) -> DataFrame:
 
 def run_clustering(m: DataFrame, key: str, name: str, k: int = 3, **params) -> ClusterResult:
     """One algorithm by name, with its metrics; what fails is reported in ``error``."""
-    from . import landmarks  # it builds on this module
+    from . import density, landmarks  # they build on this module
 
     out = ClusterResult(name)
     try:
@@ -221,6 +221,8 @@ def run_clustering(m: DataFrame, key: str, name: str, k: int = 3, **params) -> C
             out.labels, out.model = hierarchical(m, key, k, **params)
         elif name == "DBSCAN":
             out.labels = dbscan(m, key, params.get("eps", 0.5), params.get("min_samples", 5))
+        elif name == "HDBSCAN":
+            out.labels = density.hdbscan(m, key, params.get("min_cluster_size", 15), params.get("min_samples", 5))
         elif name == "Birch":
             out.labels = landmarks.birch(m, key, k, **params)
         elif name == "Spectral":

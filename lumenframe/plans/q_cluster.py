@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clustering as K
-from ..operators import insights, landmarks
+from ..operators import density, insights, landmarks
 from .inputs import rounded, table
 
 
@@ -82,6 +82,11 @@ def dbscan(spark, d):
     return K.dbscan(m, "p_partkey", 0.15, 8)
 
 
+def hdbscan(spark, d):
+    m, _ = K.prepare_matrix(table(spark, d, "part"), ["p_size", "p_retailprice"], ["p_partkey"])
+    return density.hdbscan(m, "p_partkey")
+
+
 def dbscan_grid(spark, d):
     m, _ = K.prepare_matrix(table(spark, d, "part"), ["p_size", "p_retailprice"], ["p_partkey"])
     return rounded(K.dbscan_grid(m))
@@ -136,6 +141,7 @@ QUERIES = {
     "pca_variance": (pca_variance, None),
     "hopkins": (hopkins, None),
     "dbscan": (dbscan, None),
+    "hdbscan": (hdbscan, None),
     "dbscan_grid": (dbscan_grid, None),
     "hierarchical": (hierarchical, None),
     "birch": (birch, None),
