@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +16,7 @@ from ..functions import names as N
 from ..functions import parsing as P
 from ..functions import stats as S
 from ..plans import order as O
+from ..sources import workspace
 from .clustering import bounded
 from .learning import Preprocessor, evaluate, variable_of
 from .metrics import LOWER_IS_BETTER
@@ -111,6 +116,123 @@ def linear_shap(m: DataFrame, model) -> DataFrame:
     return m.withColumn("shap", part)
 
 
+@dataclass
+class TreeLeaf:
+    """A leaf's value, and for each feature on its path: its place, the interval (low, high] or set that leads here, and the share of rows that take its splits."""
+
+    value: float
+    features: list[int]
+    low: list[float]
+    high: list[float]
+    sets: list[frozenset | None]
+    share: np.ndarray
+    cover: float
+
+    def meets(self, x: np.ndarray) -> np.ndarray:
+        """rows x features of the path: does the row's value lead here."""
+        out = np.empty((len(x), len(self.features)), dtype=bool)
+        for k, (j, low, high, own) in enumerate(zip(self.features, self.low, self.high, self.sets, strict=True)):
+            v = x[:, j]
+            out[:, k] = (v > low) & (v <= high)
+            if own is not None:
+                out[:, k] &= np.isin(v, list(own))
+        return out
+
+
+def tree_leaves(spark, model) -> list[TreeLeaf]:
+    """Leaves of a fitted tree or forest, read from the nodes that Spark saves; values are scaled by the trees' weights.
+
+    A forest of classes gives the probability of the last class, boosted classes their margin, a tree or forest of numbers its prediction.
+    """
+    path = workspace.fresh(spark, "trees")
+    model.write().overwrite().save(path)
+    nodes = spark.read.parquet(f"{path}/data")
+    ensemble = "nodeData" in nodes.columns
+    flat = nodes.select("treeID", "nodeData.*") if ensemble else nodes.withColumn("treeID", F.lit(0))
+    boosted = "GBT" in type(model).__name__
+    weights = {i: w for i, w in enumerate(model.treeWeights)} if boosted else dict.fromkeys(range(model.getNumTrees if ensemble else 1), 1.0 / (model.getNumTrees if ensemble else 1))
+    classes = hasattr(model, "numClasses") and not boosted
+    trees: dict[int, dict[int, object]] = {}
+    for r in flat.select("treeID", "id", "prediction", "impurityStats", "leftChild", "rightChild", "split").collect():  # the model's nodes
+        trees.setdefault(r["treeID"], {})[r["id"]] = r
+    out: list[TreeLeaf] = []
+    for tree, known in trees.items():
+        cover = {i: float(sum(r["impurityStats"])) if classes else float(r["impurityStats"][0]) for i, r in known.items()}
+        todo: list[tuple[int, dict[int, tuple[float, float, frozenset | None, float]]]] = [(0, {})]
+        while todo:
+            i, path_ = todo.pop()
+            r = known[i]
+            if r["leftChild"] < 0:
+                stats = r["impurityStats"]
+                value = stats[-1] / max(sum(stats), 1e-300) if classes else r["prediction"]
+                own = sorted(path_)
+                out.append(TreeLeaf(value * weights[tree], own, *([path_[j][k] for j in own] for k in range(3)), np.array([path_[j][3] for j in own]), cover[i] / max(cover[0], 1e-300)))
+                continue
+            split = r["split"]
+            j, given = split["featureIndex"], split["leftCategoriesOrThreshold"]
+            low, high, own, share = path_.get(j, (-math.inf, math.inf, None, 1.0))
+            for child, left in ((r["leftChild"], True), (r["rightChild"], False)):
+                part = share * cover[child] / max(cover[i], 1e-300)
+                if split["numCategories"] < 0:
+                    step = (low, min(high, given[0]), own, part) if left else (max(low, given[0]), high, own, part)
+                else:
+                    side = frozenset(given) if left else frozenset(float(c) for c in range(split["numCategories"])) - frozenset(given)
+                    step = (low, high, side if own is None else own & side, part)
+                todo.append((child, path_ | {j: step}))
+    return out
+
+
+def leaf_shares(met: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """For each row of ``met`` (rows x features) the Shapley share of each feature in a leaf of value 1.
+
+    The value of a set of features is the product of what is met inside the set and of the shares outside. Sums over sets of a size are
+    coefficients of the product of (share + met t) over the other features.
+    """
+    rows, m = met.shape
+    weight = [math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)]
+    out = np.zeros((rows, m))
+    for i in range(m):
+        c = np.zeros((rows, m))
+        c[:, 0] = 1.0
+        for j in range(m):
+            if j != i:
+                up = np.zeros_like(c)
+                up[:, 1:] = c[:, :-1] * met[:, j, None]
+                c = c * share[j] + up
+        out[:, i] = (met[:, i] - share[i]) * (c @ weight)
+    return out
+
+
+def tree_shap(m: DataFrame, model) -> tuple[DataFrame, float]:
+    """``m`` with ``shap``: exact path-dependent Shapley values of a tree, forest or boosted trees, an array a row; and the base value.
+
+    base + sum(shap) is the model's output (see ``tree_leaves``). All rows are explained, by Arrow batch; rows that meet a leaf's path alike share the work.
+    """
+    leaves = tree_leaves(m.sparkSession, model)
+    width = model.numFeatures
+
+    def run(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        a = np.stack(x.to_numpy())
+        out = np.zeros((len(a), width))
+        for leaf in leaves:
+            if leaf.features:
+                met, of = np.unique(leaf.meets(a), axis=0, return_inverse=True)
+                out[:, leaf.features] += leaf.value * leaf_shares(met.astype(float), leaf.share)[of.ravel()]
+        return pd.Series(list(out))
+
+    base = float(sum(leaf.value * leaf.cover for leaf in leaves))
+    return m.withColumn("shap", F.pandas_udf(run, "array<double>")(vector_to_array("features"))), base
+
+
+def shap_importance(explained: DataFrame, ready: Preprocessor, columns: list[str]) -> DataFrame:
+    """Mean absolute Shapley value by feature, summed by variable."""
+    each = explained.select(F.posexplode("shap").alias("pos", "v")).groupBy("pos").agg(F.avg(F.abs("v")).alias("importancia"))
+    names = explained.sparkSession.createDataFrame([(k, variable_of(f, columns)) for k, f in enumerate(ready.names)], "pos int, variable string")
+    return aggregate_importance(each.join(names, "pos").select("variable", "importancia"))
+
+
 def sampled_shap(m: DataFrame, model, d: int, draws: int = 20, most: int = SHAP_ROWS, background: int = SHAP_BACKGROUND, seed: int = 5) -> DataFrame:
     """Monte-Carlo Shapley values of a bounded number of rows for any model: (row, pos, shap)."""
     rng = np.random.default_rng(seed)

@@ -223,6 +223,7 @@ def model_zoo(task: str, n_rows: int, sd_y: float = 1.0, fast: bool = False, wei
             "K-Vecinos (KNN)": Z.Neighbours(15),
             "Ridge Classifier": Z.RidgeClassifier(weight=weight),
             "Naive Bayes": C.NaiveBayes(modelType="gaussian", **common),
+            "SVM": nets.KernelClassifier(classes=n_classes, weight=weight, seed=seed),
             "SVM lineal (aprox.)": C.LinearSVC(labelCol="label", maxIter=100) if task == "binaria" else C.OneVsRest(classifier=C.LinearSVC(maxIter=50), labelCol="label"),
             "MLP": C.MultilayerPerceptronClassifier(labelCol="label", layers=[max(n_features, 1), 128, 64, n_classes], maxIter=100, seed=seed),
         }
@@ -287,6 +288,8 @@ def evaluate(scored: DataFrame, task: str, n_features: int = 1) -> dict:
     if task == "regresion":
         return M.regression_metrics(scored, n_features=n_features).first().asDict()
     out = M.classification_metrics(scored, binary=task == "binaria").first().asDict()
+    if task == "multiclase" and "probability" in scored.columns:
+        out |= M.multiclass_ranking(scored).first().asDict()
     if task == "binaria" and "probability" in scored.columns:
         out |= M.ranking_metrics(scored.withColumn("score", F.element_at(vector_to_array("probability"), 2))).first().asDict()
     return out
@@ -305,7 +308,10 @@ def fit_one(train: DataFrame, name: str, estimator, task: str) -> object:
 
 def train_models(df: DataFrame, target: str, features: list[str], key: list[str], models: list[str] | None = None, task: str | None = None, test: float = 0.2, cv: int = 0,
                  balanced: bool = False, fast: bool = True, seed: int = 42, zoo: dict | None = None) -> TrainingOutput:
-    """Splits, prepares on the training rows only, fits each model and measures it on the rest; a model that fails is reported."""
+    """Splits, prepares on the training rows only, fits each model and measures it on the rest; a model that fails is reported.
+
+    ``models`` names models of either zoo; the fast one's settings hold if ``fast`` and it has the name. An unknown name is an error.
+    """
     task = detect_task(df, target, task)
     labelled, classes = encode_labels(df, target, task)
     parted = split(labelled, None if task == "regresion" else "label", key, test, seed).cache()
@@ -319,7 +325,11 @@ def train_models(df: DataFrame, target: str, features: list[str], key: list[str]
     keep = ["label", "features", *key, *([weight] if weight else [])]
     fit_on, check_on = ready.transform(train).select(*keep).cache(), ready.transform(rest).select("label", "features", *key).cache()
     facts = fit_on.agg(F.count("*").alias("n"), F.stddev_samp("label").alias("sd")).first()
-    known = zoo or model_zoo(task, facts["n"], facts["sd"] or 1.0, fast, weight, seed, len(ready.names), max(len(classes), 2))
+    made = lambda fast: model_zoo(task, facts["n"], facts["sd"] or 1.0, fast, weight, seed, len(ready.names), max(len(classes), 2))
+    known = zoo or (made(fast) if models is None else made(False) | (made(True) if fast else {}))
+    unknown = sorted(set(models or ()) - set(known) - {BASELINE[task]})
+    if unknown:
+        raise ValueError(f"modelos desconocidos: {', '.join(unknown)}")
     chosen = {k: v for k, v in known.items() if models is None or k in models} | {BASELINE[task]: None}
     results = []
     for name, estimator in chosen.items():
@@ -351,13 +361,20 @@ def cross_validate(train: DataFrame, features: list[str], key: list[str], estima
 
 
 def random_search(out: TrainingOutput, df: DataFrame, key: list[str], name: str, estimator, grid: dict[str, list], n_iter: int = 5, cv: int = 3, seed: int = 42) -> tuple[dict, float]:
-    """The best of ``n_iter`` drawn settings by the primary metric, cross-validated."""
-    rng, tried = random.Random(seed), []
+    """The best of ``n_iter`` drawn settings by the primary metric, cross-validated. A setting that fails or has no score is left out; if all are, that is an error."""
+    rng, tried, failed = random.Random(seed), [], []
     for _ in range(n_iter):
         drawn = {p: rng.choice(v) for p, v in sorted(grid.items())}
-        candidate = estimator.copy({getattr(estimator, p): v for p, v in drawn.items()})
-        scores = cross_validate(df, out.features, key, candidate, name, out.task, cv, seed)
-        tried.append((sum(scores) / max(len(scores), 1), drawn))
+        try:
+            candidate = estimator.copy({getattr(estimator, p): v for p, v in drawn.items()})
+            scores = cross_validate(df, out.features, key, candidate, name, out.task, cv, seed)
+        except Exception as e:  # one setting's failure doesn't end the search
+            failed.append(f"{drawn}: {str(e).splitlines()[0][:200]}")
+            continue
+        if scores:
+            tried.append((sum(scores) / len(scores), drawn))
+    if not tried:
+        raise ValueError("ninguna combinación se pudo evaluar" + "".join(f"; {x}" for x in failed[:3]))
     best = max(tried, key=lambda t: t[0])
     return best[1], best[0]
 

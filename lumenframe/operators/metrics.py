@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,6 +85,32 @@ def ranking_metrics(df: DataFrame, label: str = "label", score: str = "score") -
     return t.agg(auc.alias("roc_auc"), ap.alias("average_precision"), loss.alias("log_loss"))
 
 
+def multiclass_ranking(df: DataFrame, label: str = "label", probability: str = "probability") -> DataFrame:
+    """roc_auc (each class against the rest, mean over the classes) and log_loss, exact, one row.
+
+    ``probability`` is a vector with the share of class 0, 1, ... One table of (class, score) counts serves all classes: scores of all classes
+    are dealt by range together, ranks inside a range are running sums, and the ranges before are added by class. Shares are put to a sum of 1 for the loss.
+    A class that no row has, or that all have, has no curve; then roc_auc is null.
+    """
+    shares = vector_to_array(F.col(probability)) if df.schema[probability].dataType.typeName() != "array" else F.col(probability)
+    rows = df.select(F.col(label).cast("int").alias("y"), shares.alias("p"))
+    each = rows.select("y", F.posexplode("p").alias("c", "s"))
+    counts = each.groupBy("c", "s").agg(F.count_if(F.col("y") == F.col("c")).alias("pos"), F.count_if(F.col("y") != F.col("c")).alias("neg"))
+    ranged = counts.repartitionByRange("c", F.col("s").desc()).withColumn("__part", F.spark_partition_id())
+    inside = W.partitionBy("__part", "c").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+    run = ranged.withColumn("up", F.sum("pos").over(inside) - F.col("pos") / 2)
+    part = run.groupBy("c", "__part").agg(F.sum(F.col("neg") * F.col("up")).alias("area"), F.sum("pos").alias("sp"), F.sum("neg").alias("sn"))
+    before = W.partitionBy("c").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    part = part.withColumn("earlier", F.coalesce(F.sum("sp").over(before), F.lit(0)))
+    auc = part.groupBy("c").agg(S.ratio(F.sum(F.col("area") + F.col("sn") * F.col("earlier")), F.nullif(F.sum("sp") * F.sum("sn"), F.lit(0)).cast("double")).alias("auc"))
+    mean = auc.agg(F.when(F.count("auc") == F.count("*"), F.avg("auc")).alias("roc_auc"))
+    tiny = F.lit(2.220446049250313e-16)
+    clip = lambda x: F.greatest(tiny, F.least(1 - tiny, x))
+    total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
+    loss = rows.agg(F.avg(-F.ln(clip(F.get("p", F.col("y")) / total))).alias("log_loss"))
+    return mean.crossJoin(loss)  # one row by one row
+
+
 def classification_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction", binary: bool | None = None) -> DataFrame:
     """Count metrics from one grouping by (label, prediction), one row; ``binary`` takes class 1 for precision, recall and f1."""
     grid = df.groupBy(F.col(label).cast("string").alias("real"), F.col(prediction).cast("string").alias("predicho")).agg(F.count("*").alias("n"))

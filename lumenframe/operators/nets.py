@@ -1,4 +1,4 @@
-"""Regressors fitted by rounds of local descent: tasks learn on their own rows, and the average of their parameters starts the next round."""
+"""Nets and kernel machines fitted by rounds of local descent: tasks learn on their own rows, and the average of their parameters starts the next round."""
 
 from __future__ import annotations
 
@@ -146,10 +146,7 @@ class KernelRegressor:
 
     def fit(self, df: DataFrame) -> FittedNet:
         rows, mean, sd, n, width = _scaled(df)
-        spread = rows.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
-        rng = np.random.default_rng(self.seed)
-        tilt, phase = rng.normal(0, math.sqrt(2 / (width * spread)), (width, self.waves)), rng.uniform(0, 2 * math.pi, self.waves)
-        raised = lambda x: math.sqrt(2 / self.waves) * np.cos(x @ tilt + phase)
+        raised = _waves(rows, width, self.waves, self.seed)
         told = lambda parts, x: raised(x) @ parts[0] + parts[1][0]
         shrink, tube = 1 / (self.c * max(n, 1)), self.tube
 
@@ -163,7 +160,127 @@ class KernelRegressor:
         return FittedNet(_learned(rows, [np.zeros(self.waves), np.zeros(1)], gradient, self), told, mean, sd)
 
 
-def _learned(rows: DataFrame, start: list[np.ndarray], gradient: Gradient, plan: NetRegressor | KernelRegressor) -> list[np.ndarray]:
+@dataclass
+class FittedKernel:
+    """Adds ``probability`` (calibrated shares, summing to 1) and ``prediction``, by Arrow batch."""
+
+    parts: list[np.ndarray]
+    raised: Callable[[np.ndarray], np.ndarray]
+    slope: np.ndarray
+    shift: np.ndarray
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return self.raised(x) @ self.parts[0] + self.parts[1]
+
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        one = 1 / (1 + np.exp(-np.clip(self.slope * self.margins(x) + self.shift, -40, 40)))
+        if one.shape[1] == 1:  # two classes, one margin
+            return np.hstack([1 - one, one])
+        return one / one.sum(axis=1, keepdims=True)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        def run(x: pd.Series) -> pd.Series:
+            return pd.Series(list(self.shares(np.stack(x.to_numpy()))) if len(x) else [], dtype=object)
+
+        told = df.withColumn("__p", F.pandas_udf(run, "array<double>")(vector_to_array("features")))
+        best = F.array_position("__p", F.array_max("__p")) - 1
+        return told.withColumn("probability", array_to_vector("__p")).withColumn("prediction", best.cast("double")).drop("__p")
+
+
+def _waves(rows: DataFrame, width: int, waves: int, seed: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Random Fourier features of the radial kernel whose width is 1 / (features x their variance)."""
+    spread = rows.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
+    rng = np.random.default_rng(seed)
+    tilt, phase = rng.normal(0, math.sqrt(2 / (width * spread)), (width, waves)), rng.uniform(0, 2 * math.pi, waves)
+    return lambda x: math.sqrt(2 / waves) * np.cos(x @ tilt + phase)
+
+
+@dataclass
+class KernelClassifier:
+    """A kernel machine for classes: radial kernel by ``waves`` random Fourier features, hinge loss, penalty 1 / (2 C n), one class against the rest.
+
+    A tenth of the rows, by a hash of their features, is held out of the fit; a sigmoid of their margins gives the probabilities, fitted with Platt's targets by
+    Newton steps whose sums Spark takes. With two classes there is one margin. ``weight`` names a column of row weights.
+    """
+
+    classes: int = 2
+    waves: int = 512
+    c: float = 1.0
+    rounds: int = 30
+    rate: float = 1e-2
+    weight: str | None = None
+    seed: int = 42
+
+    def fit(self, df: DataFrame) -> FittedKernel:
+        heavy = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
+        x = vector_to_array("features")
+        rows = df.select(x.alias("x"), F.array(F.col("label").cast("double"), heavy).alias("y"), (F.pmod(F.xxhash64(x), F.lit(10)) == 0).alias("held"))
+        facts = rows.agg(F.count_if(~F.col("held")).alias("n"), F.max(F.size("x")).alias("width")).first()
+        raised = _waves(rows, facts["width"] or 1, self.waves, self.seed)
+        outputs, shrink = (1 if self.classes == 2 else self.classes), 1 / (self.c * max(facts["n"], 1))
+        signs = lambda label: np.where(np.arange(outputs)[None, :] + (outputs == 1) == label[:, None], 1.0, -1.0)
+
+        def gradient(parts: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+            pairs = np.stack(y)  # label and weight
+            t, w = signs(pairs[:, 0]), pairs[:, 1:]
+            z = raised(x)
+            short = 1 - t * (z @ parts[0] + parts[1])
+            slope = np.where(short > 0, -t, 0.0) * w / len(x)
+            loss = (np.maximum(short, 0) * w).mean() + shrink / 2 * (parts[0] ** 2).sum()
+            return float(loss), [z.T @ slope + shrink * parts[0], slope.sum(axis=0)]
+
+        start = [np.zeros((self.waves, outputs)), np.zeros(outputs)]
+        parts = _learned(rows.filter("not held").select("x", "y"), start, gradient, self)
+        model = FittedKernel(parts, raised, np.ones(outputs), np.zeros(outputs))
+        model.slope, model.shift = _sigmoids(rows.filter("held"), model, signs)
+        return model
+
+
+def _sigmoids(held: DataFrame, model: FittedKernel, signs: Callable, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and shift of each margin's sigmoid: Newton steps with halving on the cross-entropy against (hits + 1) / (hits + 2) and 1 / (misses + 2)."""
+    outputs = len(model.parts[1])
+
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                m, t = model.margins(np.stack(f["x"].to_numpy())), signs(np.stack(f["y"].to_numpy())[:, 0]) > 0
+                yield pd.DataFrame({"k": np.tile(np.arange(outputs, dtype=np.int32), len(f)), "m": m.ravel(), "t": t.ravel()})
+
+    margins = held.mapInPandas(placed, "k int, m double, t boolean").persist()
+    try:
+        counts = {r["k"]: (r["p"], r["n"]) for r in margins.groupBy("k").agg(F.count_if("t").alias("p"), F.count_if(~F.col("t")).alias("n")).collect()}  # a row a class
+        p, n = (np.array([counts.get(k, (0, 0))[i] for k in range(outputs)], dtype=float) for i in (0, 1))
+        high, low = (p + 1) / (p + 2), 1 / (n + 2)
+        slope, shift = np.ones(outputs), np.log((p + 1) / (n + 1))
+        of = lambda v: F.element_at(F.array(*[F.lit(float(x)) for x in v]), F.col("k") + 1)
+        least, move = np.full(outputs, np.inf), (np.zeros(outputs), np.zeros(outputs))
+        for _ in range(steps):
+            u = of(slope) * F.col("m") + of(shift)
+            q, goal = 1 / (1 + F.exp(-u)), F.when(F.col("t"), of(high)).otherwise(of(low))
+            d, h = q - goal, F.greatest(q * (1 - q), F.lit(1e-12))
+            loss = F.greatest(u, F.lit(0.0)) - goal * u + F.log1p(F.exp(-F.abs(u)))
+            sums = {r["k"]: r for r in margins.groupBy("k").agg(F.sum(loss).alias("loss"), F.sum(d * F.col("m")).alias("ga"), F.sum(d).alias("gb"), F.sum(h * F.col("m") * F.col("m")).alias("haa"), F.sum(h * F.col("m")).alias("hab"), F.sum(h).alias("hbb")).collect()}
+            still = False
+            for k, r in sums.items():
+                if r["loss"] > least[k] + 1e-9:  # too far: half of the way back
+                    slope[k], shift[k] = slope[k] - move[0][k] / 2, shift[k] - move[1][k] / 2
+                    move[0][k], move[1][k] = move[0][k] / 2, move[1][k] / 2
+                    still |= abs(move[0][k]) + abs(move[1][k]) > 1e-6
+                    continue
+                least[k] = r["loss"]
+                a, b, c = r["haa"] + 1e-9, r["hab"], r["hbb"] + 1e-9
+                det = a * c - b * b
+                move[0][k], move[1][k] = -(c * r["ga"] - b * r["gb"]) / det, -(a * r["gb"] - b * r["ga"]) / det
+                slope[k], shift[k] = slope[k] + move[0][k], shift[k] + move[1][k]
+                still |= abs(move[0][k]) + abs(move[1][k]) > 1e-6
+            if not still:
+                break
+        return slope, shift
+    finally:
+        margins.unpersist()
+
+
+def _learned(rows: DataFrame, start: list[np.ndarray], gradient: Gradient, plan: NetRegressor | KernelRegressor | KernelClassifier) -> list[np.ndarray]:
     rows.persist()
     try:
         return averaged(rows, start, gradient, plan.rounds, plan.rate, plan.seed)

@@ -139,7 +139,83 @@ def train_leaderboard_clf(spark, d):
 
 def train_nets(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
-    return learning.train_models(p, "p_retailprice", ["p_size", "p_brand", "p_partkey"], ["p_partkey"], models=["SVM (aprox.)", "MLP"]).leaderboard().drop("tiempo_s")
+    return learning.train_models(p, "p_retailprice", ["p_size", "p_brand", "p_partkey"], ["p_partkey"], models=["SVM (aprox.)", "MLP"], fast=False).leaderboard().drop("tiempo_s")
+
+
+def train_zoo_clf(spark, d):
+    """Every model for classes."""
+    docs = table(spark, d, "documents").drop("text").join(table(spark, d, "labels"), "doc_id")
+    return learning.train_models(docs, "quality", ["n_chars", "lang", "toxic"], ["doc_id"], fast=False).leaderboard().drop("tiempo_s")
+
+
+def train_zoo_reg(spark, d):
+    """Every model for numbers."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return learning.train_models(s, "s_acctbal", ["s_suppkey", "s_nationkey"], ["s_suppkey"], fast=False).leaderboard().drop("tiempo_s")
+
+
+def cv_search(spark, d):
+    """Cross-validated forests over drawn settings."""
+    docs = table(spark, d, "documents").drop("text").join(table(spark, d, "labels"), "doc_id")
+    out = learning.train_models(docs, "quality", ["n_chars", "lang"], ["doc_id"], models=["Árbol de Decisión"], cv=3)
+    tree = learning.model_zoo(out.task, 1)["Árbol de Decisión"]
+    labelled, _ = learning.encode_labels(docs, "quality", out.task)
+    best, score = learning.random_search(out, labelled, ["doc_id"], "Árbol de Decisión", tree, {"maxDepth": [2, 4, 8], "minInstancesPerNode": [1, 5]}, n_iter=3)
+    return spark.createDataFrame([(k, float(v), score, *out.results[0].cv) for k, v in sorted(best.items())], "parametro string, valor double, mejor double, cv1 double, cv2 double, cv3 double")
+
+
+def learning_curve(spark, d):
+    docs = table(spark, d, "documents").drop("text").join(table(spark, d, "labels"), "doc_id")
+    tree = learning.model_zoo("binaria", 1)["Árbol de Decisión"]
+    return rounded(learning.learning_curve(docs, "quality", ["n_chars", "lang"], ["doc_id"], tree, "binaria", sizes=(0.25, 0.5, 1.0)))
+
+
+def multiclass_ranking(spark, d):
+    """Three classes, shares with ties that sum to 1."""
+    o = table(spark, d, "orders")
+    a, b = ((F.col("o_orderkey") * k % 17 + F.when(F.col("o_orderstatus") == s, 9).otherwise(1)).cast("double") for k, s in ((5, "F"), (3, "O")))
+    c = (F.col("o_orderkey") * 7 % 13 + F.when(F.col("o_orderstatus") == "P", 9).otherwise(1)).cast("double")
+    label = (F.array_position(F.array(*[F.lit(x) for x in "FOP"]), F.col("o_orderstatus")) - 1).cast("double")
+    return rounded(metrics.multiclass_ranking(o.select(label.alias("label"), F.array(*[x / (a + b + c) for x in (a, b, c)]).alias("probability"))), 6)
+
+
+_MULTI = """with r as (select case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as y, (o_orderkey * 5 % 17 + case when o_orderstatus = 'F' then 9 else 1 end)::double as a,
+ (o_orderkey * 3 % 17 + case when o_orderstatus = 'O' then 9 else 1 end)::double as b, (o_orderkey * 7 % 13 + case when o_orderstatus = 'P' then 9 else 1 end)::double as c from orders),
+e as (select y, 0 as k, a / (a + b + c) as s from r union all select y, 1, b / (a + b + c) from r union all select y, 2, c / (a + b + c) from r),
+t as (select k, s, count(*) filter (where y = k) as pos, count(*) filter (where y <> k) as neg from e group by 1, 2),
+u as (select *, sum(pos) over (partition by k order by s desc) as tp from t), auc as (select k, sum(neg * (tp - pos / 2.0)) / (sum(pos) * sum(neg)) as auc from u group by k)
+select round((select avg(auc) from auc), 6)::double as roc_auc, round((select avg(-ln(s)) from e where y = k), 6)::double as log_loss"""
+
+
+def _price_model(spark, d, name):
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    out = learning.train_models(p, "p_retailprice", ["p_size", "p_partkey"], ["p_partkey"], models=[name])
+    return p, out, out.results[0].model
+
+
+def shap_trees(spark, d):
+    """Shapley values of a forest for all parts, with what they must sum to."""
+    p, out, model = _price_model(spark, d, "Random Forest")
+    told, base = explain.tree_shap(model.transform(out.preprocessor.transform(p).select("p_partkey", "features")), model)
+    return rounded(told.select("p_partkey", "prediction", F.col("shap")[0].alias("shap_0"), F.col("shap")[1].alias("shap_1"), F.lit(base).alias("base")))
+
+
+def importance_models(spark, d):
+    """Shares of importance by each method, of a forest and of a line."""
+    p, out, forest = _price_model(spark, d, "Random Forest")
+    told, _ = explain.tree_shap(out.preprocessor.transform(p), forest)
+    line = _price_model(spark, d, "Regresión Lineal")
+    linear = explain.linear_shap(line[1].preprocessor.transform(p), line[2])
+    methods = {
+        "nativa": explain.native_importance(spark, forest, out.preprocessor, out.features), "shap": explain.shap_importance(told, out.preprocessor, out.features),
+        "lineal": explain.shap_importance(linear, line[1].preprocessor, out.features), "coeficientes": explain.native_importance(spark, line[2], line[1].preprocessor, out.features),
+    }
+    return rounded(explain.importance_consensus(methods))
+
+
+def signed_coefficients(spark, d):
+    _, out, line = _price_model(spark, d, "Regresión Lineal")
+    return rounded(explain.signed_coefficients(spark, line, out.preprocessor, out.features))
 
 
 def permutation_importance(spark, d):
@@ -187,6 +263,14 @@ QUERIES = {
     "train_leaderboard_clf": (train_leaderboard_clf, None),
     "train_leaderboard_reg": (_board("l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "lineitem"), None),
     "train_nets": (train_nets, None),
+    "train_zoo_clf": (train_zoo_clf, None),
+    "train_zoo_reg": (train_zoo_reg, None),
+    "cv_search": (cv_search, None),
+    "learning_curve": (learning_curve, None),
+    "multiclass_ranking": (multiclass_ranking, _MULTI),
+    "shap_trees": (shap_trees, None),
+    "importance_models": (importance_models, None),
+    "signed_coefficients": (signed_coefficients, None),
     "permutation_importance": (permutation_importance, None),
     "partial_dependence": (partial_dependence, None),
     "importance_consensus": (importance_consensus, _CONSENSUS),
