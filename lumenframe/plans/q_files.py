@@ -48,6 +48,29 @@ def decimal_comma(spark, d):
     return reader.read_any(spark, path)[0]
 
 
+def csv_line_breaks(spark, d):
+    """Whole texts, with their quotes and line breaks, written and read back."""
+    path = workspace.fresh(spark, "texts") + ".csv"
+    sinks.write_csv(table(spark, d, "documents").select("doc_id", F.concat(F.lit('"'), "text", F.lit('\n"fin", ')).alias("texto")), path)
+    back = reader.read_any(spark, path)[0]
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("texto", 256).alias("texto_sha256"))
+
+
+def csv_late_latin1(spark, d):
+    """A row like the header, and letters outside ASCII only in the last rows of a Latin-1 file."""
+    c = table(spark, d, "customer")
+    most = c.agg(F.max("c_custkey")).first()[0]
+    rows = c.select(F.col("c_custkey").cast("string").alias("clave"), F.concat("c_name", F.when(F.col("c_custkey") > most - 3, " Ñandú").otherwise("")).alias("nombre"))
+    rows = rows.unionByName(spark.createDataFrame([("clave", "nombre")], "clave string, nombre string")).coalesce(1)
+    path = workspace.fresh(spark, "names") + ".csv"
+    sinks.write_csv(rows, path, encoding="ISO-8859-1")
+    return reader.read_any(spark, path)[0]
+
+
+_LATE = """select c_custkey::varchar as clave, c_name || case when c_custkey > (select max(c_custkey) from customer) - 3 then ' Ñandú' else '' end as nombre from customer
+union all select 'clave', 'nombre'"""
+
+
 def labelled_data(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     labels = o.select("o_orderkey", (F.col("o_orderkey") % 3).cast("int").alias("prediction"))
@@ -292,6 +315,8 @@ QUERIES = {
     "predictions_table": (predictions_table, "select o_orderkey, o_orderstatus as real, ['F', 'O', 'P'][(o_orderkey % 2 + 1)::int] as pred_a, ['F', 'O', 'P'][(o_orderkey % 3 + 1)::int] as pred_b from orders"),
     "etl_rename_drop": (etl_rename_drop, "select c_custkey as clave, c_mktsegment, c_acctbal as saldo from customer"),
     "etl_normalize_names": (normalize_names, "select n_nationkey as nacion_clave, n_name as nombre_pais from nation"),
+    "csv_line_breaks": (csv_line_breaks, """select doc_id, sha256('"' || text || chr(10) || '"fin", ') as texto_sha256 from documents"""),
+    "csv_late_latin1": (csv_late_latin1, _LATE),
     "etl_impute_knn_whole": (knn_whole, _KNN),
     "knn_model": (knn_model, _KNN_MODEL),
     "row_alerts": (row_alerts, f"select variable, coalesce(string_agg(alerta, ' | '), 'OK') as alerta from ({_FLAGS}) group by 1"),

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -44,26 +44,24 @@ def read_head(spark: SparkSession, path: str, size: int = 1 << 16) -> bytes:
         stream.close()
 
 
-def detect_encoding(head: bytes) -> str:
-    """utf-8-sig with a mark, utf-8 if the bytes are that (a character cut at the end allowed), else latin-1."""
-    if head.startswith(b"\xef\xbb\xbf"):
-        return "utf-8-sig"
-    for cut in range(4):
-        try:
-            head[: len(head) - cut].decode("utf-8")
-            return "utf-8"
-        except UnicodeDecodeError:
-            continue
-    return "latin-1"
-
-
 def _outside_quotes(line: str) -> str:
     return re.sub(r'"[^"]*"', "", line)
 
 
+def records(text: str) -> list[str]:
+    """Lines that aren't blank; those within a quoted field belong to the line that opens it. A quote that nothing closes opens nothing."""
+    out, held = [], []
+    for line in text.splitlines(keepends=True):
+        held.append(line)
+        if sum(x.count('"') for x in held) % 2 == 0:
+            out.append("".join(held))
+            held = []
+    return [x.rstrip("\r\n") for x in [*out, *held] if x.strip()]
+
+
 def sniff_separator(text: str) -> str:
-    """The separator whose count by line is high and even; quoted parts don't count."""
-    lines = [_outside_quotes(x) for x in text[:SNIFF_CHARS].splitlines() if x.strip()][:SNIFF_LINES]
+    """The separator whose count by record is high and even; quoted parts don't count."""
+    lines = [_outside_quotes(x) for x in records(text[:SNIFF_CHARS])][:SNIFF_LINES]
     if not lines:
         return ","
 
@@ -77,7 +75,7 @@ def sniff_separator(text: str) -> str:
 
 def detect_header_row(text: str, sep: str) -> int:
     """The first line with as many separators as most lines have: title lines above it are not data."""
-    lines = [_outside_quotes(x).count(sep) for x in text.splitlines() if x.strip()]
+    lines = [_outside_quotes(x).count(sep) for x in records(text)]
     body = lines[HEADER_LINES:] or lines[1:] or lines
     if not body:
         return 0
@@ -100,15 +98,40 @@ def _number(c: str, decimal: str):
     return F.when(grouped | simple, plain).try_cast("double")
 
 
+def _whole_file(spark: SparkSession, path: str) -> Row:
+    """Over all lines of the file: ``bad``, those that aren't UTF-8, and ``open``, those with an odd number of quotes (a quoted field runs on)."""
+    lines = spark.read.text(path)
+    odd = F.regexp_count(F.col("value"), F.lit('"')) % 2 == 1
+    return lines.agg(F.count_if(~F.is_valid_utf8("value")).alias("bad"), F.count_if(odd).alias("open")).first()
+
+
+def _without_first(raw: DataFrame, rows: int) -> DataFrame:
+    """``raw`` without the first ``rows`` records of each file, by their place: other records may say the same.
+
+    Records are numbered in reading order; a file's first piece tells where its numbers begin.
+    """
+    placed = raw.select("*", F.monotonically_increasing_id().alias("__at"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    begun = placed.filter("__block = 0").groupBy("__file").agg(F.min("__at").alias("__first"))  # a row a file
+    joined = placed.join(begun, "__file", "left")
+    titles = (F.col("__block") == 0) & (F.col("__at") - F.col("__first") < rows)
+    return joined.filter(~F.coalesce(titles, F.lit(False))).drop("__at", "__file", "__block", "__first")
+
+
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, decimal: str | None = None, header_row: int | None = None, na_values: list[str] | None = None) -> tuple[DataFrame, dict]:
-    """Delimited text: encoding, separator, header line and decimal mark are found where not given."""
+    """Delimited text: encoding, separator, header line and decimal mark are found where not given.
+
+    Separator and header are found in the file's beginning; encoding and quoted line breaks in the whole file, by one pass of Spark. Lines above
+    the header and the header itself are left out by place.
+    """
     head = read_head(spark, path)
-    encoding = encoding or detect_encoding(head)
-    sample = head.decode(encoding, "replace").lstrip("﻿")
+    found = _whole_file(spark, path)
+    if encoding is None:
+        encoding = "latin-1" if found["bad"] else "utf-8-sig" if head.startswith(b"\xef\xbb\xbf") else "utf-8"
+    sample = head.decode(encoding, "replace").lstrip("\ufeff")
     whole = sample if len(head) < 1 << 16 else sample.rpartition("\n")[0]
     sep = sep or sniff_separator(whole)
     first = detect_header_row(whole, sep) if header_row is None else header_row
-    lines = [x for x in whole.splitlines() if x.strip()]
+    lines = records(whole)
     title = lines[first] if len(lines) > first else ""
     import csv
 
@@ -121,14 +144,14 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
         seen[n] += 1
     charset = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1"}.get(encoding, encoding)
     schema = ", ".join(f"c{k} string" for k in range(len(unique))) + ", _corrupt string"
-    raw = spark.read.schema(schema).csv(path, sep=sep, encoding=charset, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", ignoreLeadingWhiteSpace=False)
-    skipped = [x.lstrip("﻿") for x in lines[: first + 1]]
+    options = {"sep": sep, "encoding": charset, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreLeadingWhiteSpace": False}
+    # records that run over lines can't be cut anywhere, so such a file is read by one task; others are split
+    raw = spark.read.schema(schema).csv(path, header=first == 0, multiLine=bool(found["open"]), **options)
+    if first:
+        raw = _without_first(raw, first + 1)
     text = F.concat_ws(sep, *[F.coalesce(f"c{k}", F.lit("")) for k in range(len(unique))])
-    shown = F.regexp_replace(F.coalesce("_corrupt", text), "^﻿", "")
-    titles = [s if '"' not in s else sep.join(next(csv.reader([s], delimiter=sep))) for s in skipped]
-    padded = [t + sep * max(0, len(unique) - 1 - t.count(sep)) for t in titles]
     too_long = F.col("_corrupt").isNotNull() & (F.length(F.regexp_replace("_corrupt", r'"[^"]*"', "")) - F.length(F.replace(F.regexp_replace("_corrupt", r'"[^"]*"', ""), F.lit(sep), F.lit(""))) > len(unique) - 1)
-    kept = raw.filter(~shown.isin([*skipped, *padded]) & ~too_long & (text != sep * (len(unique) - 1)))
+    kept = raw.filter(~too_long & (text != sep * (len(unique) - 1)))
     missing = na_values if na_values is not None else P.NA_STRINGS
     data = kept.select(*[F.when(~F.col(f"c{k}").isin(missing), F.col(f"c{k}")).alias(n) for k, n in enumerate(unique)])
     if decimal is None:

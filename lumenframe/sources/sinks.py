@@ -15,8 +15,9 @@ from ..functions import names as N
 SHEET_ROWS_MOST = 1_048_575
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.write.mode("overwrite").csv(path, header=True, sep=sep, encoding="UTF-8")
+def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> None:
+    """Delimited text as ``read_csv`` reads it back: quotes doubled, white space kept, line breaks inside quotes."""
+    df.write.mode("overwrite").csv(path, header=True, sep=sep, encoding=encoding, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def recipe_json(recipe: list[dict]) -> str:

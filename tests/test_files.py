@@ -48,3 +48,46 @@ def test_csv_round_trip_and_report(spark, tmp_path):
     assert sorted(rows(reader.read_any(spark, str(tmp_path / "out.csv"))[0])) == [("a;b", 1.5), ("ñ", 2.5)]
     assert "| a | b |" in sinks.markdown_report("T", {"S": [{"a": 1, "b": 2}], "L": ["x"], "P": "text"})
     assert sinks.recipe_json([{"op": "ñ"}]).count("ñ") == 1
+
+
+def test_line_breaks_in_quotes_are_part_of_a_field(spark, tmp_path):
+    df, _ = reader.read_any(spark, write(tmp_path / "n.csv", 'id,nota\n1,"x\ny"\n2,"a ""b"",\n\nc"\n3,z\n'))
+    assert rows(df) == [(1.0, "x\ny"), (2.0, 'a "b",\n\nc'), (3.0, "z")]
+
+
+def test_rows_like_the_header_or_a_title_stay(spark, tmp_path):
+    df, _ = reader.read_any(spark, write(tmp_path / "h.csv", "a,b\n1,x\na,b\n2,y\n"))
+    assert rows(df) == [("1", "x"), ("a", "b"), ("2", "y")]
+    text = "Informe\n\nclave;valor\n" + "".join(f"k{i};v\n" for i in range(20)) + "Informe\nclave;valor\n"
+    for name in ("p1.csv", "p2.csv"):  # a folder: each file has its own title
+        (tmp_path / "many.csv").mkdir(exist_ok=True)
+        write(tmp_path / "many.csv" / name, text)
+    for path, files in ((write(tmp_path / "t.csv", text), 1), (f"file://{tmp_path}/many.csv", 2)):
+        df, meta = reader.read_any(spark, path)
+        assert meta["fila_encabezado_detectada"] == 1 and df.columns == ["clave", "valor"]
+        assert sorted(rows(df), key=str) == sorted([*((f"k{i}", "v") for i in range(20)), ("Informe", None), ("clave", "valor")] * files, key=str)
+
+
+def test_files_read_in_pieces_lose_only_their_first_lines(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        text = "Informe\nclave;valor\n" + "".join(f"k{i};v\n" for i in range(400)) + "clave;valor\n"
+        df, _ = reader.read_any(spark, write(tmp_path / "pieces.csv", text))
+        assert sorted(rows(df)) == sorted([(f"k{i}", "v") for i in range(400)] + [("clave", "valor")])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_late_letter_decides_the_encoding(spark, tmp_path):
+    text = "pais,n\n" + "Peru,1\n" * 20_000 + "España,2\n"
+    df, meta = reader.read_any(spark, write(tmp_path / "l.csv", text, "latin-1"))
+    assert meta["encoding"] == "latin-1" and ("España", 2.0) in rows(df.filter("n = 2"))
+    df, meta = reader.read_any(spark, write(tmp_path / "u.csv", text))
+    assert meta["encoding"] == "utf-8" and ("España", 2.0) in rows(df.filter("n = 2"))
+
+
+def test_a_csv_round_trip_keeps_white_space_and_quotes(spark, tmp_path):
+    df = spark.createDataFrame([(1, '  a "b" \\ c '), (2, "x\r\ny"), (3, '"')], "n int, t string")
+    sinks.write_csv(df, str(tmp_path / "rt.csv"))
+    assert sorted(rows(reader.read_any(spark, str(tmp_path / "rt.csv"))[0])) == [(1.0, '  a "b" \\ c '), (2.0, "x\r\ny"), (3.0, '"')]
