@@ -520,6 +520,21 @@ def pca(m: DataFrame, k: int = 2) -> tuple[DataFrame, DataFrame, np.ndarray]:
     return model.transform(m).withColumn("scores", scores).drop("__pc"), table, model.pc.toArray()
 
 
+def project(m: DataFrame, key: str, method: str = "PCA", perplexity: float = 30.0) -> tuple[DataFrame, dict]:
+    """(key, dim_1, dim_2) of all rows by principal components or t-SNE, and what was done; another method is taken as PCA."""
+    from . import projection  # it builds on this module
+
+    if method == "t-SNE":
+        if m.select("features").distinct().limit(8).count() >= 8:
+            return projection.tsne(m, key, perplexity), {"metodo": "t-SNE", "perplexity": perplexity}
+        info = {"metodo": "PCA", "aviso": "Muy pocos registros para t-SNE: se muestra PCA."}
+    else:
+        info = {"metodo": "PCA"}
+    scores, table, loadings = pca(m, 2)
+    dim = lambda k: F.coalesce(F.get("scores", F.lit(k)), F.lit(0.0)).alias(f"dim_{k + 1}")
+    return scores.select(N.q(key), dim(0), dim(1)), info | {"varianza": table, "loadings": loadings}
+
+
 def as_vector(column: str) -> Column:
     return array_to_vector(F.transform(F.col(column), lambda v: v.cast("double")))
 

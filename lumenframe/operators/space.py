@@ -101,10 +101,10 @@ def _leaf_of(trees: dict[int, list], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def leaves_of(rows: DataFrame, keys: list[str], copies: str | None = None) -> Leaves:
+def leaves_of(rows: DataFrame, keys: list[str], copies: str | None = None, leaf_rows: int | None = None) -> Leaves:
     """Deals ``rows`` (double columns ``keys``, null allowed) into leaves; ``copies`` counts the rows that one stands for."""
     n = rows.count()
-    wanted = min(MOST_LEAVES, max(1, -(-n // LEAF_ROWS)))
+    wanted = min(MOST_LEAVES, max(1, -(-n // (leaf_rows or LEAF_ROWS))))
     some = rows.select(*keys)
     if n > 2 * SAMPLED * wanted:
         some = some.sample(SAMPLED * wanted / n, seed=5)

@@ -109,6 +109,10 @@ def mean_shift(spark, d):
     return landmarks.mean_shift(m, "c_custkey")[0]
 
 
+def tsne(spark, d):
+    return rounded(K.project(_vectors(spark, d).select("vec_id", "features"), "vec_id", "t-SNE")[0])
+
+
 def name_clusters(spark, d):
     return rounded(K.name_clusters(table(spark, d, "customer"), "c_mktsegment", ["c_acctbal", "c_nationkey"]))
 
@@ -147,6 +151,7 @@ QUERIES = {
     "birch": (birch, None),
     "spectral": (spectral, None),
     "mean_shift": (mean_shift, None),
+    "tsne": (tsne, None),
     "name_clusters": (name_clusters, None),
     "optimizer_grid": (optimizer_grid, _OPT),
     "segment_actions": (segment_actions, _SEG),
