@@ -118,12 +118,19 @@ def name_clusters(spark, d):
 
 
 def optimizer_grid(spark, d):
-    grid = insights.scenario_grid(spark, {"z": 3.0}, {"x": [1, 2, 3, 4], "y": [10.0, 20.0, 30.0]})
-    return rounded(insights.optimize(grid, 2 * F.col("x") - 0.1 * F.col("y") + F.col("z"), 4.0, ["x", "y"]), mejora_pct="mejora_%")
-
-
-_OPT = """select row_number() over (order by r desc, i)::int as ranking, i as escenario, x, y, round(r, 4) as resultado_esperado, round(r - 4, 4) as vs_escenario_actual, round(100 * (r - 4) / 4, 4) as mejora_pct
-from (select (a * 3 + b)::bigint as i, x, y, 2 * x - 0.1::double * y + 3 as r from (values (0, 1.0::double), (1, 2.0::double), (2, 3.0::double), (3, 4.0::double)) p(a, x), (values (0, 10.0::double), (1, 20.0::double), (2, 30.0::double)) q(b, y))"""
+    """Levers take the values of the table, the rest stays at its mean."""
+    li = table(spark, d, "lineitem")
+    levers = {c: [float(r[0]) for r in li.select(c).distinct().orderBy(c).collect()] for c in ("l_linenumber", "l_discount")}  # 7 and 11 values
+    mean = li.agg(F.avg("l_extendedprice")).first()[0]
+    grid = insights.scenario_grid(spark, {"l_extendedprice": mean}, levers)
+    scored = 2 * F.col("l_linenumber") - 0.1 * F.col("l_discount") + F.col("l_extendedprice")
+    return rounded(insights.optimize(grid, scored, mean, list(levers)), mejora_pct="mejora_%")
+
+
+_OPT = """with z as (select avg(l_extendedprice) as z from lineitem), p as (select l_linenumber::double as x, row_number() over (order by l_linenumber) - 1 as a from (select distinct l_linenumber from lineitem)),
+q as (select l_discount as y, row_number() over (order by l_discount) - 1 as b, count(*) over () as n from (select distinct l_discount from lineitem)),
+g as (select a * n + b as i, x, y, 2 * x - 0.1::double * y + z as r, z from p, q, z)
+select row_number() over (order by r desc, i)::int as ranking, i::bigint as escenario, x as l_linenumber, round(y, 4) as l_discount, round(r, 4) as resultado_esperado, round(r - z, 4) as vs_escenario_actual, round(100 * (r - z) / z, 4) as mejora_pct from g"""
 
 
 def segment_actions(spark, d):

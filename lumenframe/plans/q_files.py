@@ -307,8 +307,8 @@ QUERIES = {
     "read_csv_tab": (csv_round_trip("\t"), _ORDERS.format(k="::double")),
     "read_csv_bar": (csv_round_trip("|"), _ORDERS.format(k="::double")),
     "read_json_lines": (json_round_trip, _ORDERS.format(k="")),
-    "demo_churn": (lambda spark, d: demo.churn_customers(spark), None),
-    "demo_homes": (lambda spark, d: demo.property_sales(spark), None),
+    "demo_churn": (lambda spark, d: demo.churn_customers(spark, numbers=table(spark, d, "customer").select("c_custkey")), None),
+    "demo_homes": (lambda spark, d: demo.property_sales(spark, numbers=table(spark, d, "part").select("p_partkey")), None),
     "read_parquet": (parquet_read, "select * from supplier"),
     "read_decimal_comma": (decimal_comma, "select o_orderkey::double as o_orderkey, round(o_totalprice, 2) as precio from orders"),
     "labelled_data": (labelled_data, "select o_orderkey, o_orderstatus, (o_orderkey % 3)::int as cluster, case o_orderkey % 3 when 0 then 'uno' when 1 then 'dos' end as segmento from orders"),

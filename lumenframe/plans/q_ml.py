@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import explain, learning, metrics
@@ -233,15 +234,17 @@ def partial_dependence(spark, d):
 
 
 def importance_consensus(spark, d):
-    a = spark.createDataFrame([("x", 60.0), ("y", 30.0), ("z", 10.0)], "variable string, `importancia_%` double")
-    b = spark.createDataFrame([("y", 50.0), ("x", 50.0)], "variable string, `importancia_%` double")
-    out = rounded(explain.importance_consensus({"a": a, "b": b}), pct_a="%_a", pct_b="%_b", importancia_promedio_pct="importancia_promedio_%")
-    return out
+    """Shares of the segments by customers and, but for one of them, by positive balance."""
+    c = table(spark, d, "customer")
+    share = lambda df, x: df.groupBy(F.col("c_mktsegment").alias("variable")).agg(x.alias("v")).select("variable", (100 * F.col("v") / F.sum("v").over(W.partitionBy())).alias("importancia_%"))  # noqa: E731  a row a segment
+    a, b = share(c, F.count("*")), share(c.filter("c_mktsegment <> 'BUILDING'"), F.sum(F.greatest("c_acctbal", F.lit(0.0))))
+    return rounded(explain.importance_consensus({"a": a, "b": b}), pct_a="%_a", pct_b="%_b", importancia_promedio_pct="importancia_promedio_%")
 
 
-_CONSENSUS = """with a(variable, pct_a) as (values ('x', 60.0::double), ('y', 30.0::double), ('z', 10.0::double)), b(variable, pct_b) as (values ('y', 50.0::double), ('x', 50.0::double)),
+_CONSENSUS = """with a as (select c_mktsegment as variable, 100.0::double * count(*) / (select count(*) from customer) as pct_a from customer group by 1),
+s as (select c_mktsegment as variable, sum(greatest(c_acctbal, 0.0)) as v from customer where c_mktsegment <> 'BUILDING' group by 1), b as (select variable, 100 * v / (select sum(v) from s) as pct_b from s),
 ra as (select *, rank() over (order by pct_a desc)::int as rank_a from a), rb as (select *, rank() over (order by pct_b desc)::int as rank_b from b)
-select variable, pct_a, rank_a, pct_b, rank_b, round((coalesce(rank_a, 0) + coalesce(rank_b, 0)) / ((rank_a is not null)::int + (rank_b is not null)::int), 4)::double as rank_promedio, round((coalesce(pct_a, 0) + coalesce(pct_b, 0)) / 2, 4)::double as importancia_promedio_pct
+select variable, round(pct_a, 4) as pct_a, rank_a, round(pct_b, 4) as pct_b, rank_b, round((coalesce(rank_a, 0) + coalesce(rank_b, 0)) / ((rank_a is not null)::int + (rank_b is not null)::int), 4)::double as rank_promedio, round((coalesce(pct_a, 0) + coalesce(pct_b, 0)) / 2, 4)::double as importancia_promedio_pct
 from ra full join rb using (variable)"""
 
 

@@ -54,10 +54,13 @@ class Draws:
         return df.join(F.broadcast(some), "__i", "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def churn_customers(spark: SparkSession, n: int = 3_000, seed: int = SEED, dirty: int = 60, blank: int = 40, copies: int = 70) -> DataFrame:
-    """``n`` telephone customers and ``copies`` repeated rows: a column to predict, gaps, blanks, a dirty city name and a constant."""
+def churn_customers(spark: SparkSession, n: int = 3_000, seed: int = SEED, dirty: int = 60, blank: int = 40, copies: int = 70, numbers: DataFrame | None = None) -> DataFrame:
+    """``n`` telephone customers and ``copies`` repeated rows: a column to predict, gaps, blanks, a dirty city name and a constant.
+
+    ``numbers`` (one column of distinct whole numbers) gives the customers' numbers in place of 1 to ``n``.
+    """
     d = Draws(seed)
-    df = spark.range(1, n + 1).withColumnRenamed("id", "__i")
+    df = numbers.toDF("__i") if numbers is not None else spark.range(1, n + 1).withColumnRenamed("id", "__i")
     # fixed values: names, shares and coefficients of the demonstration table
     df = df.select(
         "__i",
@@ -90,11 +93,11 @@ def churn_customers(spark: SparkSession, n: int = 3_000, seed: int = SEED, dirty
     return df.select("cliente_id", "ciudad", "plan", "tipo_contrato", "metodo_pago", "antiguedad_meses", "cargo_mensual", "cargo_total", "llamadas_soporte", "tiene_fibra", "satisfaccion", "fecha_alta", "pais", "abandono")
 
 
-def property_sales(spark: SparkSession, n: int = 2_500, seed: int = SEED) -> DataFrame:
-    """``n`` homes with a price to predict and gaps in the area."""
+def property_sales(spark: SparkSession, n: int = 2_500, seed: int = SEED, numbers: DataFrame | None = None) -> DataFrame:
+    """``n`` homes, or one for each of ``numbers``, with a price to predict and gaps in the area."""
     d = Draws(seed)
     inside = lambda c, low, high: F.least(F.greatest(F.round(c), F.lit(float(low))), F.lit(float(high))).cast("int")
-    df = spark.range(1, n + 1).withColumnRenamed("id", "__i")
+    df = numbers.toDF("__i") if numbers is not None else spark.range(1, n + 1).withColumnRenamed("id", "__i")
     # fixed values: names, shares and coefficients of the demonstration table
     df = df.withColumn("area_m2", F.round(d.gamma("area", 6, 15.0) + 35, 1))
     df = df.withColumn("habitaciones", inside(F.col("area_m2") / 38 + d.normal("habitaciones", 0, 0.7), 1, 6))
