@@ -25,16 +25,29 @@ _HEX_RUN = b"h" * 24
 #: Tokens of source and configuration text. A string may have a prefix (b, r, f, u) and may be tripled.
 TOKEN = re.compile(
     r'''(?P<text>(?P<prefix>(?:[bBrRuUfF]{1,2})?)(?P<mark>"""|\'\'\'|"|'|`))'''
-    r'''|(?P<op>:=|=>|===?|!=|<=|>=|\|\||&&|\?\?|[=:+,;()\[\]{}|&?<>])'''
+    r'''|(?P<op>:=|=>|\?=|\+=|===?|!=|<=|>=|\|\||&&|\?\?|[=:+,;()\[\]{}|&?<>])'''
     r'''|(?P<comment>//[^\n]*|\#[^\n]*)'''
     r'''|(?P<line>\n)'''
-    r'''|(?P<word>[^\s"'`=:+,;()\[\]{}|&?<>!]+|!)''',
+    r'''|(?P<word>(?:[^\s"'`=:+,;()\[\]{}|&?<>!]|!(?!=))+)''',
     re.A,
 )
 _ENDS = {m: re.compile(rf"(?:\\.|(?!{m}).)*?{m}", re.S) if len(m) == 3 else re.compile(rf"(?:\\.|[^{m}\\\n])*{m}") for m in ('"""', "'''", '"', "'")}
 _ENDS["`"] = re.compile(r"(?:\\.|[^`\\])*`", re.S)
 NAME = re.compile(r"[A-Za-z_$][\w$.-]*", re.A)
-ASSIGNS = frozenset((":=", "=>", "=", ":"))
+ASSIGNS = frozenset((":=", "=>", "=", ":", "?=", "+="))
+#: Words before a name and its value that stand side by side, as in ``#define NAME "value"``.
+DEFINES = frozenset(("define", "set", "setenv", "setq", "export", "defparameter"))
+#: First words of calls that bind their argument to what the call is named for, or the second argument to the first.
+SETTERS = frozenset(("set", "with", "put", "add", "use", "define", "update", "reset", "change", "header", "append", "insert"))
+#: Calls whose first argument is a key to look up, not a value.
+LOOKUPS = frozenset(("getenv", "env", "get", "getproperty", "getstring", "getordefault", "config", "lookup", "fetch", "pop", "setdefault"))
+_DEFINED = re.compile(r"\b(?:define|set|setenv|setq|export|defparameter)\s", re.I)
+#: Words that may stand before a value.
+BEFORE = frozenset(("new", "await", "return", "const", "static", "final"))
+CALL_TOKENS = 64  # of a call's arguments, looked at
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
+#: A password in an address.
+USERINFO = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s:/@"'<>]*:(?P<value>[^\s/@"'<>]+)@""", re.A)
 #: Element text and command-line options.
 ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*)>(?P<value>[^<>\s]+)</(?P=name)>", re.A)
 PROPERTY = re.compile(r"""<[\w.:-]+\s[^<>]*?\b(?:name|key)\s*=\s*["'](?P<name>[^"'<>]+)["'][^<>]*?\bvalue\s*=\s*["'](?P<value>[^"'<>]*)["']""", re.A)
@@ -58,7 +71,7 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """How much a literal looks like a secret by its own form: length, entropy, mixed classes."""
-    if len(value) < 6 or PLACEHOLDERS.match(value) or any(c.isspace() for c in value):
+    if len(value) < 6 or SCHEME.match(value) or PLACEHOLDERS.match(value) or any(c.isspace() for c in value):
         return 0.0
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in (value.count(c) for c in set(value)))
     classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
@@ -72,11 +85,13 @@ class Token:
     end: int
     value: str
     bare: bool = True  # not a string literal
+    glued: bool = False  # goes on with the word before, over a backslash at a line's end
 
 
 def tokens(text: str) -> list[Token]:
-    """The tokens of a text, in time linear in it; comments are left out. Strings come without prefix and marks."""
+    """The tokens of a text, in time linear in it. Strings come without prefix and marks, lines joined by a backslash as one, addresses whole."""
     out: list[Token] = []
+    rest = re.compile(r"\S*")
     at, unclosed = 0, set()
     while at < len(text):
         m = TOKEN.search(text, at)
@@ -96,36 +111,100 @@ def tokens(text: str) -> list[Token]:
         elif kind == "comment":
             before = out[-1] if out else None
             if m[0].startswith("//") and before is not None and before.end == m.start() and before.value == ":":  # scheme://, no comment
-                stop = re.compile(r"\S*").match(text, m.start()).end()
-                out.append(Token("word", m.start(), stop, text[m.start() : stop]))
+                stop = rest.match(text, m.start()).end()
+                first = out.pop().start
+                if out and out[-1].kind == "word" and out[-1].end == first and SCHEME.match(text, out[-1].start):
+                    first = out.pop().start
+                out.append(Token("word", first, stop, text[first:stop]))
                 at = stop
             else:  # what a comment says is read as well: secrets are commented out, too
                 at = m.start() + (2 if m[0].startswith("//") else 1)
+        elif kind == "line" and out and out[-1].kind == "word" and out[-1].end == m.start() and out[-1].value.endswith("\\"):
+            before = out.pop()
+            if len(before.value) > 1:
+                out.append(Token("word", before.start, before.end - 1, before.value[:-1], glued=before.glued))
+                more = TOKEN.match(text, at)
+                if more is not None and more.lastgroup == "word":
+                    out.append(Token("word", more.start(), more.end(), more[0], glued=True))
+                    at = more.end()
         else:
             out.append(Token(kind, m.start(), m.end(), m[0]))
     return out
 
 
-def _operands(toks: list[Token], at: int) -> tuple[list[Token], int]:
-    """The literals and names of one value: operands joined by + or standing side by side as strings, or alternatives (or, ||, ??)."""
-    found: list[Token] = []
-    while at < len(toks):
+def _is(tok: Token, *values: str) -> bool:
+    return tok.kind == "op" and tok.value in values
+
+
+def _arguments(toks: list[Token], at: int) -> tuple[list[tuple[int, int]], int]:
+    """Stretches of tokens of a call's arguments, ``at`` being its opening bracket, and the place after the closing one."""
+    depth, args, first = 0, [], at + 1
+    for k in range(at, min(len(toks), at + CALL_TOKENS)):
+        if _is(toks[k], "(", "[", "{"):
+            depth += 1
+        elif _is(toks[k], ")", "]", "}"):
+            depth -= 1
+            if depth == 0:
+                return [*args, (first, k)], k + 1
+        elif depth == 1 and _is(toks[k], ","):
+            args.append((first, k))
+            first = k + 1
+    return [], at + 1
+
+
+def _call(toks: list[Token], at: int, skip: set[int]) -> tuple[list[list[Token]], int]:
+    """Values among the arguments of a call whose name stands at ``at``, and the place after it and what is called on its result."""
+    args, k = _arguments(toks, at + 1)
+    if toks[at].value.rpartition(".")[2].lower() in LOOKUPS:
+        args = args[1:]
+    groups = [g for a, b in args for g in _values(toks, a, b, skip)[0]]
+    while k + 1 < len(toks) and toks[k].kind == "word" and toks[k].value.startswith(".") and _is(toks[k + 1], "("):
+        k = _arguments(toks, k + 1)[1]
+    return groups, k
+
+
+def _values(toks: list[Token], at: int, end: int, skip: set[int]) -> tuple[list[list[Token]], int]:
+    """The literals and names of one value as groups: the pieces of a group are joined (side by side, by + or over lines), groups are alternatives.
+
+    A call stands for the values among its arguments, a condition for its two outcomes (the colon between them goes to ``skip``).
+    """
+    groups: list[list[Token]] = []
+    open_, more = False, False  # a condition's first outcome; the next operand goes on with the last group
+    while at < end:
         lines = 0
-        while at < len(toks) and (toks[at].kind == "line" or toks[at].value in ("(", "\\")):
+        while at < end and (toks[at].kind == "line" or _is(toks[at], "(") or toks[at].kind == "word" and (toks[at].value in BEFORE or toks[at].value == "\\" or toks[at].value.startswith("!"))):
             lines += toks[at].kind == "line"
             at += 1
-        if at == len(toks) or toks[at].kind not in ("text", "word") or lines and toks[at].bare:  # a name on the next line is the next statement's
+        if at == end or toks[at].kind not in ("text", "word") or lines and toks[at].bare:  # a name on the next line is the next statement's
             break
-        found.append(toks[at])
-        at += 1
-        while at < len(toks) and toks[at].kind == "text" and not found[-1].bare:
-            found.append(toks[at])
+        if toks[at].bare and at + 1 < end and _is(toks[at + 1], "("):
+            found, at = _call(toks, at, skip)
+            groups += found
+        elif toks[at].bare and at + 1 < end and _is(toks[at + 1], "["):  # an element of something: its key is no value
+            at = _arguments(toks, at + 1)[1]
+        else:
+            if not (more and groups):
+                groups.append([])
+            groups[-1].append(toks[at])
             at += 1
-        if at < len(toks) and toks[at].value in ("+", "||", "??", "or"):
+            while at < end and (toks[at].kind == "text" and not groups[-1][-1].bare or toks[at].glued):
+                groups[-1].append(toks[at])
+                at += 1
+        while at < end and _is(toks[at], ")") and at + 1 < end and (_is(toks[at + 1], "+", "||", "??", "?") or toks[at + 1].value == "or"):
             at += 1
-            continue
-        break
-    return found, at
+        more = False
+        if at < end and (_is(toks[at], "+", "&") or toks[at].kind == "word" and toks[at].value == "." and groups and not groups[-1][-1].bare):
+            at, more = at + 1, True
+        elif at < end and (_is(toks[at], "||", "??", "|") or toks[at].kind == "word" and toks[at].value == "or"):
+            at += 1
+        elif at < end and _is(toks[at], "?"):
+            groups, open_, at = [], True, at + 1
+        elif at < end and open_ and _is(toks[at], ":"):
+            skip.add(at)
+            open_, at = False, at + 1
+        else:
+            break
+    return groups, at
 
 
 def _targets(toks: list[Token], at: int) -> list[str]:
@@ -135,7 +214,7 @@ def _targets(toks: list[Token], at: int) -> list[str]:
     while k >= 0:
         depth = 0
         last = None
-        if toks[k].value in ("]", ")", ">"):  # a subscript: its key names the target
+        if _is(toks[k], "]", ")", ">"):  # a subscript: its key names the target
             close = k
             while k >= 0 and close - k < 32:
                 depth += (toks[k].value in ("]", ")", ">")) - (toks[k].value in ("[", "(", "<"))
@@ -163,45 +242,81 @@ def _targets(toks: list[Token], at: int) -> list[str]:
     return names[::-1]
 
 
-def lex_pairs(text: str) -> list[tuple[str, list[tuple[int, int]], list[int]]]:
-    """(name, spans of the literals bound to it, numbers of the pairs whose names its value uses), in text order.
+def _side_by_side(toks: list[Token], skip: set[int]) -> list[tuple[int, str, list[list[Token]]]]:
+    """Bindings without a sign of assignment: ``define NAME value`` and calls that set something."""
+    out = []
+    for at, tok in enumerate(toks):
+        if tok.kind != "word":
+            continue
+        if tok.value.lower() in DEFINES and at + 2 < len(toks) and toks[at + 1].kind == "word" and NAME.fullmatch(toks[at + 1].value) and toks[at + 2].kind in ("text", "word"):
+            value = toks[at + 2]
+            if not value.bare or any(c.isdigit() for c in value.value):
+                out.append((tok.start, toks[at + 1].value, [[value]]))
+        elif at + 2 < len(toks) and _is(toks[at + 1], "(") and NAME.fullmatch(tok.value.lstrip(".")):
+            callee = tok.value.rpartition(".")[2]
+            verb = (_NAME_PARTS.findall(callee) or [""])[0].lower()
+            if verb not in SETTERS and SENSITIVE.get(verb, 0.0) < 0.6:
+                continue
+            args, _ = _arguments(toks, at + 1)
+            values = [_values(toks, a, b, skip)[0] for a, b in args]
+            if len(values) > 1 and len(values[0]) == 1 and not values[0][0][0].bare:
+                out.append((tok.start, values[0][0][0].value, [g for g in values[1] if not g[0].bare]))
+            elif values:
+                out.append((tok.start, callee, [g for g in values[0] if not g[0].bare]))
+    return out
+
+
+def _certain(value: Token, sign: Token) -> bool:
+    """A word without marks is a literal if it isn't just a name, or if it touches the sign."""
+    return not value.bare or not NAME.fullmatch(value.value) or any(c.isdigit() for c in value.value) or value.start == sign.end
+
 
-    A small grammar over tokens: names, subscripts and annotated names before an assignment, values of operands joined
-    by + or as alternatives after it, several names with several values by position, elements, properties, options and indented blocks.
-    A bare name on the right stands for the literals last bound to it before or, failing that, first bound to it later.
+def lex_pairs(text: str) -> list[tuple[str, list[tuple[tuple[int, int], ...]], list[int]]]:
+    """(name, literals bound to it as the spans of their pieces, numbers of the pairs whose names its value uses), in text order.
+
+    A small grammar over tokens: names, subscripts and annotated names before an assignment; values joined or as alternatives, in calls and
+    conditions after it; several names with several values by position; definitions and setters without a sign; elements, properties, options,
+    indented blocks and passwords in addresses. A bare name on the right stands for the literals last bound to it before or, failing that, first bound to it later.
     """
     toks = tokens(text)
-    bound: list[tuple[int, str, list[tuple[int, int, str | None]]]] = []
+    skip: set[int] = set()
+    bound: list[tuple[int, str, list[list[tuple[int, int, str | None, bool]]]]] = []
+    put = lambda at, name, groups, sign=None: bound.append((at, name, [[(v.start, v.end, v.value if v.bare else None, sign is None or v.glued or _certain(v, sign)) for v in g if v.end > v.start] for g in groups]))
     for at, tok in enumerate(toks):
-        if tok.kind != "op" or tok.value not in ASSIGNS or at == 0:
+        if tok.kind != "op" or tok.value not in ASSIGNS or at == 0 or at in skip:
             continue
         if tok.value == ":" and at + 2 < len(toks) and toks[at + 1].kind == "word" and toks[at + 2].value == "=":
             continue  # name: type = value is bound at the =
         names = _targets(toks, at)
         if not names:
             continue
-        values, k = _operands(toks, at + 1)
+        values, k = _values(toks, at + 1, len(toks), skip)
         several = [values]
-        while len(several) < len(names) and k < len(toks) and toks[k].value == ",":
-            values, k = _operands(toks, k + 1)
+        while len(several) < len(names) and k < len(toks) and _is(toks[k], ","):
+            values, k = _values(toks, k + 1, len(toks), skip)
             several.append(values)
         if len(several) < len(names):
             names, several = names[-1:], several[:1]
         for name, own in zip(names, several, strict=False):
-            bound.append((tok.start, name, [(v.start, v.end, v.value if v.bare else None) for v in own if v.end > v.start]))
+            put(tok.start, name, own, tok)
+    for at, name, own in _side_by_side(toks, skip):
+        put(at, name, own)
+    plain = lambda a, b: [[(a, b, None, True)]]
     for pattern in (ELEMENT, PROPERTY, OPTION):
         if pattern is OPTION or "<" in text:
-            bound += [(m.start(), m["name"], [(*m.span("value"), None)]) for m in pattern.finditer(text)]
+            bound += [(m.start(), m["name"], plain(*m.span("value"))) for m in pattern.finditer(text)]
+    if "://" in text:
+        bound += [(m.start(), "url.password", plain(*m.span("value"))) for m in USERINFO.finditer(text)]
     for m in BLOCK.finditer(text):
         lines = re.finditer(r"[^\n]*\S", m["value"])
-        bound.append((m.start("name"), m["name"], [(m.start("value") + x.start() + len(x[0]) - len(x[0].lstrip()), m.start("value") + x.end(), None) for x in lines]))
-    bound = [b for b in sorted(bound, key=lambda b: b[0]) if b[2]]
+        bound.append((m.start("name"), m["name"], [[(m.start("value") + x.start() + len(x[0]) - len(x[0].lstrip()), m.start("value") + x.end(), None, True)] for x in lines]))
+    bound = [b for b in sorted(bound, key=lambda b: b[0]) if any(b[2])]
 
     where: dict[str, list[int]] = {}
     for i, (_, name, _) in enumerate(bound):
         where.setdefault(name, []).append(i)
-    spans = [[(a, b) for a, b, word in own if word is None or word not in where] for _, _, own in bound]
-    uses = [[_binding(where[word], i) for _, _, word in own if word is not None and word in where] for i, (_, _, own) in enumerate(bound)]
+    spans = [[p for p in (tuple((a, b) for a, b, word, sure in g if (word is None or word not in where) and sure) for g in own) if p] for _, _, own in bound]
+    uses = [[_binding(where[word], i) for g in own for _, _, word, _ in g if word is not None and word in where] for i, (_, _, own) in enumerate(bound)]
     return [(name, own, [j for j in refs if j is not None and j != i]) for i, ((_, name, _), own, refs) in enumerate(zip(bound, spans, uses, strict=True))]
 
 
@@ -228,10 +343,10 @@ def _ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 
 def literal_spans(text: str, base: list[tuple[str, int, int]], least: float = 1.0) -> list[tuple[str, int, int]]:
-    """Literals whose best target name and own form score at least ``least``, outside the base spans."""
-    if "=" not in text and ":" not in text and "--" not in text and "</" not in text:
+    """Literals whose best target name and own form score at least ``least``, outside the base spans. Joined pieces are scored as one literal."""
+    if not any(x in text for x in "=:(") and "--" not in text and "</" not in text and not _DEFINED.search(text):
         return []
-    best: dict[tuple[int, int], float] = {}
+    best: dict[tuple[tuple[int, int], ...], float] = {}
     pairs = lex_pairs(text)
     reached: set[int] = set()
     # constants are propagated backwards: from the most sensitive names down, each pair once, through the names a value uses
@@ -244,12 +359,12 @@ def literal_spans(text: str, base: list[tuple[str, int, int]], least: float = 1.
                 for span in pairs[i][1]:
                     best[span] = max(best.get(span, 0.0), score)
                 ahead.extend(pairs[i][2])
-    out = []
-    for (a, b), score in best.items():
-        form = literal_score(text[a:b])
-        if form and score + form >= least and not any(x < b and a < y for _, x, y in base):
-            out.append(("literal", a, b))
-    return out
+    out = set()
+    for pieces, score in best.items():
+        form = literal_score("".join(text[a:b] for a, b in pieces))
+        if form and score + form >= least:
+            out |= {("literal", a, b) for a, b in pieces if not any(x < b and a < y for _, x, y in base)}
+    return sorted(out)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
