@@ -94,11 +94,11 @@ class Words:
 
 
 def contexts(words: Words, a: int, b: int) -> list[str]:
-    """Lexical patterns around a span: two words before; one before and one after; two after."""
+    """Lexical patterns around a span: two words before; one before and one after; two after. A slot that holds no word (signs alone) makes none."""
     before, after = words.around(a, b)
     before = ["^"] * (2 - len(before)) + before
     after = after + ["$"] * (2 - len(after))
-    worded = lambda *ws: any(any(c.isalpha() for c in w) for w in ws)
+    worded = lambda *ws: any(any(c.isalpha() for c in w) for w in ws) and all(w in ("^", "$") or any(c.isalnum() for c in w) for w in ws)
     found = []
     if worded(*before):
         found.append(f"{before[0]} {before[1]} _")
@@ -109,7 +109,12 @@ def contexts(words: Words, a: int, b: int) -> list[str]:
     return found
 
 
-def _extract(longest: int):
+def _named(value: str, longest: int) -> str:
+    """A long value by its digest: the graph needs to tell values apart, not to hold them."""
+    return value if len(value) <= longest else "sha256 " + hashlib.sha256(value.encode()).hexdigest()
+
+
+def _extract(longest: int, shortest: int):
     """Base spans of a text, and every identifier-like token with its contexts."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     cand = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
@@ -124,7 +129,7 @@ def _extract(longest: int):
                 likely = _SPOT.search(text) is not None
                 words = Words(text if own or likely else "")
                 tokens = [
-                    {"start": a, "end": b, "value": f"{k} {text[a:b].lower()}", "seed": True, "patterns": contexts(words, a, b)} for k, a, b in own
+                    {"start": a, "end": b, "value": _named(f"{k} {text[a:b].lower()}", longest), "seed": True, "patterns": contexts(words, a, b)} for k, a, b in own
                 ]
                 taken = sorted((a, b) for _, a, b in own)
                 at = 0
@@ -143,8 +148,8 @@ def _extract(longest: int):
                         while at < len(taken) and taken[at][1] <= a:
                             at += 1
                         free = at == len(taken) or taken[at][0] >= b
-                        if free and 5 <= b - a <= longest and (sum(c.isdigit() for c in text[a:b]) >= 3 or _SIGNED.search(text, a, b)):
-                            tokens.append({"start": a, "end": b, "value": text[a:b].lower(), "seed": False, "patterns": contexts(words, a, b)})
+                        if free and b - a >= shortest and (sum(c.isdigit() for c in text[a:b]) >= 3 or _SIGNED.search(text, a, b)):
+                            tokens.append({"start": a, "end": b, "value": _named(text[a:b].lower(), longest), "seed": False, "patterns": contexts(words, a, b)})
                 found.append(tokens)
             digest = [hashlib.sha256(",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in own).encode()).hexdigest() for own in base]
             return pa.RecordBatch.from_arrays(
@@ -161,16 +166,17 @@ def find_pii(
     docs: DataFrame,
     rounds: int = 3,
     min_seeds: int = 5,
-    confidence: float = 0.8,
+    confidence: float = 0.5,
     longest: int = 64,
+    shortest: int = 4,
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     The fixed forms seed a bootstrap over the whole corpus. Words around each seed and each other
-    identifier-like token (a word of 5 to ``longest`` code points with three digits or more, or with a sign such as @ _ / .
-    before or between letters) make lexical patterns. Each round, a pattern's confidence is the mean confidence of its distinct
+    identifier-like token (a word of ``shortest`` code points or more with three digits or more, or with a sign such as @ _ / .
+    before or between letters; values of more than ``longest`` go by their digest) make lexical patterns. Each round, a pattern's confidence is the mean confidence of its distinct
     instances, lowered for small support; it counts only with ``min_seeds`` seeds' worth of distinct values
-    and at least ``confidence``. An instance's confidence is the noisy-or of its patterns, seeds stay at 1.
+    and at least ``confidence`` (half of its values are known or reached, by default: a higher one misses identifiers wherever unseen ones are frequent). An instance's confidence is the noisy-or of its patterns, seeds stay at 1.
     After ``rounds`` rounds the tokens in a confident pattern become kind ``context`` spans.
 
     The graph joins distinct (pattern, instance) pairs, so copies of a document add no support, and sums
@@ -184,7 +190,7 @@ def find_pii(
         "doc_id long, base array<struct<kind:string,start:long,end:long>>, base_sha256 string, "
         "tokens array<struct<start:long,end:long,value:string,seed:boolean,patterns:array<string>>>"
     )
-    read = materialize(map_batches(source, _extract(longest), schema).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    read = materialize(map_batches(source, _extract(longest, shortest), schema).withColumn("row", F.monotonically_increasing_id()), "tokens")
     tokens = read.select("row", F.explode("tokens").alias("t")).select("row", "t.*")
     graph = materialize(
         tokens.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "graph"

@@ -378,3 +378,45 @@ def test_decontaminate_keeps_every_row_in_groups(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     shown = lambda size: sorted(map(repr, dc.decontaminate(docs, bench, group_chars=size).collect()))
     assert len(shown(5)) == len(rows) and shown(5) == shown(dc.GROUP_CHARS)
+
+
+def test_pii_planted_identifiers_have_precision_and_recall(spark):
+    """Seeds of four kinds in contexts of their own, unseen identifiers in the same contexts, and look-alikes in others, among the fixture's texts."""
+    frames = ["reach our agent at {} before noon", "the invoice account is {} for this month", "last login came from {} according to logs", "member handle {} joined the forum"]
+    seeds = ["agent{0}@mail.example.com", "4539 1488 0343 {0:04d}", "10.0.{0}.7", "user.{0}@forum.example.org"]
+    hidden = ["AG-{0:04d}-X", "ACC{0:05d}", "node-{0:03d}.rack", "@member_{0}"]
+    texts = [t or "" for _, t in documents(spark)]
+    rows, planted, clean = [], {}, {}
+    for i, text in enumerate(texts):
+        k, lines = i % 4, text.split("\n")
+        if i < 80:
+            value = seeds[k].format(i)
+            if k == 1:  # make the last digit right
+                value = next(v for v in (f"4539 1488 0343 {n}" for n in range(1000 + 10 * i, 1010 + 10 * i)) if pii.luhn(v.replace(" ", "")))
+            lines.insert(0, frames[k].format(value))
+        elif i < 140:
+            planted[i] = hidden[k].format(i)
+            lines.insert(len(lines) // 2, frames[k].format(planted[i]))
+        else:
+            lines.insert(0, f"Section {1000 + i} of chapter {hidden[k].format(i)} was {'moved' if i % 2 else 'kept'} by clause {2000 + i} today")
+        rows.append((i, "\n".join(lines)))
+    hit = wrong = 0
+    for r in pii.find_pii(frame(spark, rows)).collect():
+        text = rows[r["doc_id"]][1]
+        found = {text[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "context"}
+        hit += planted.get(r["doc_id"]) in found
+        wrong += len(found - {planted.get(r["doc_id"])})
+    assert len(planted) == 60 and hit >= 57 and wrong <= 1, (hit, wrong)
+
+
+def test_pii_slots_without_a_word_make_no_pattern():
+    words = pii.Words("look -- 12345 -- here")
+    assert pii.contexts(words, 8, 13) == []
+    assert pii.contexts(pii.Words("mail me at 12345 or so"), 11, 16) == ["me at _", "at _ or", "_ or so"]
+
+
+def test_pii_long_identifiers_are_found(spark):
+    rows = [(i, f"Please write to my mailbox at user{i:03d}@mail.example.com for the details.") for i in range(8)]
+    rows += [(100, "Please write to my mailbox at K7" + "Z4" * 200 + " for the details."), (101, "Please write to my mailbox at A123 for the details.")]
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert found[100] == [("context", 30, 432)] and found[101] == [("context", 30, 34)]
