@@ -16,6 +16,7 @@ from ..functions import special
 from ..functions import stats as S
 from ..plans import order
 from ..plans.fusion import AggFusion, stacked
+from ..sources import workspace
 
 SHAPIRO_MOST, SHAPIRO_LEAST = 5_000, 20
 #: Rows of a range bucket that one task counts discordant pairs in (more only beyond KENDALL_BUCKETS of them).
@@ -110,8 +111,8 @@ def _unfold(df: DataFrame, found: dict[tuple[str, str], Column]) -> DataFrame:
 
 def _running(counts: DataFrame, key: str, n: str) -> DataFrame:
     """``before``: the sum of ``n`` over smaller keys, by ranges of keys and then inside each."""
-    # kept, so that both uses see the same ranges; a lost block is made again with the same bounds
-    ranged = counts.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id()).persist()
+    # written, so that both uses see the same ranges, whatever is lost meanwhile
+    ranged = workspace.keep(counts.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id()), "ranges")
     inside = W.partitionBy("__part").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
     sized = ranged.withColumn("__in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
     part = sized.groupBy("__part").agg(F.sum(n).alias("__s"))
@@ -134,16 +135,15 @@ def corr_spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         for c, other in (pair, pair[::-1]):
             key = (c, None if other in full else other)
             ranked[key] = N.q(c) if key[1] is None else F.when(N.q(other).isNotNull(), N.q(c))
-    placed = order.ranks(clean, list(ranked.values())).persist()
+    placed = workspace.keep(order.ranks(clean, list(ranked.values())), "ranks")
+    wide = clean
+    for k, value in enumerate(ranked.values()):  # each rank is joined to the rows once, for all pairs that use it
+        own = placed.filter(F.col("c") == k).select(F.col("value").alias(f"__v{k}"), (F.col("before") + (F.col("n") + 1) / 2).alias(f"__r{k}"))
+        wide = wide.join(own, value == F.col(f"__v{k}"), "left").drop(f"__v{k}")
     number = {key: k for k, key in enumerate(ranked)}
-    rank = lambda c, other, name: placed.filter(F.col("c") == number[c, None if other in full else other]).select(F.col("value").alias(c), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
-    out = None
-    for a, b in _pairs(columns):
-        both = clean.select(N.q(a).alias("__a"), N.q(b).alias("__b")).dropna()
-        both = both.join(rank(a, b, "__ra").withColumnRenamed(a, "__a"), "__a").join(rank(b, a, "__rb").withColumnRenamed(b, "__b"), "__b")
-        one = both.agg(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), F.corr("__ra", "__rb").alias("correlacion"))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else _unfold(df, {})
+    rank = lambda c, other: F.col(f"__r{number[c, None if other in full else other]}")
+    both = lambda a, b: N.q(a).isNotNull() & N.q(b).isNotNull()
+    return _unfold(wide, {(a, b): F.corr(F.when(both(a, b), rank(a, b)), F.when(both(a, b), rank(b, a))) for a, b in _pairs(columns)})
 
 
 def corr_kendall(df: DataFrame, a: str, b: str, rows: int = KENDALL_ROWS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..plans import order as O
+from ..sources import workspace
 
 LOWER_IS_BETTER = {"rmse", "mae", "mape", "smape", "mediana_ae", "log_loss", "rmse_norm"}
 PRIMARY = {"binaria": "roc_auc", "multiclase": "f1_weighted", "regresion": "r2"}
@@ -57,7 +58,7 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score") -> Da
     Equal scores are counted together first; running sums are taken by ranges of scores, not in one task.
     """
     counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    ranged = counts.repartitionByRange(F.col("s").desc()).withColumn("__part", F.spark_partition_id())
+    ranged = workspace.keep(counts.repartitionByRange(F.col("s").desc()).withColumn("__part", F.spark_partition_id()), "scores")  # both uses see the same ranges
     inside = W.partitionBy("__part").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
     running = ranged.withColumn("tp", F.sum("pos").over(inside)).withColumn("fp", F.sum("neg").over(inside))
     part = ranged.groupBy("__part").agg(F.sum("pos").alias("sp"), F.sum("neg").alias("sn"))

@@ -11,7 +11,8 @@ from ..functions import parsing as P
 from ..functions import stats as S
 from ..plans import order as O
 from ..plans.fusion import AggFusion, stacked
-from .roles import infer_roles
+from ..sources import workspace
+from .roles import roles_with
 
 WEIGHTS = {"completitud": 0.35, "unicidad": 0.25, "consistencia": 0.20, "validez": 0.20}
 LEVELS = ((90, "Excelente"), (75, "Buena"), (60, "Aceptable"), (40, "Deficiente"))
@@ -114,17 +115,29 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]).select("l.*", "copias")
 
 
-def identical_columns(df: DataFrame) -> list[list[str]]:
+def _text(df: DataFrame, c: str) -> Column:
+    return N.q(c).cast("string") if not N.is_nested(df, c) else F.to_json(F.struct(N.q(c)))
+
+
+def column_sum(df: DataFrame, c: str) -> Column:
+    """A sum of hashes of a column's values, whatever their order."""
+    h = F.xxhash64(_text(df, c))
+    return F.struct(F.sum(h.cast("decimal(38,0)")), F.bit_xor(h))
+
+
+def identical_columns(df: DataFrame, found: dict | None = None) -> list[list[str]]:
     """Groups of columns equal in every row. Candidates by a sum of hashes, each then confirmed row by row.
 
     An order-insensitive digest alone would also group a column with a permutation of itself; that is not done here.
+    ``found``: the sums by column, if a pass has taken them already.
     """
     columns = N.data_columns(df)
-    sums = AggFusion(df)
-    text = lambda c: N.q(c).cast("string") if not N.is_nested(df, c) else F.to_json(F.struct(N.q(c)))
-    for c in columns:
-        sums.want(c, F.struct(F.sum(F.xxhash64(text(c)).cast("decimal(38,0)")), F.bit_xor(F.xxhash64(text(c)))))
-    found = sums.run()
+    text = lambda c: _text(df, c)
+    if found is None:
+        sums = AggFusion(df)
+        for c in columns:
+            sums.want(c, column_sum(df, c))
+        found = sums.run()
     by_sum: dict = {}
     for c in columns:
         by_sum.setdefault(tuple(found[c]), []).append(c)
@@ -146,35 +159,47 @@ def identical_columns(df: DataFrame) -> list[list[str]]:
     return out
 
 
+def number_share(c: str) -> Column:
+    """The share of a text column's values that read as numbers; null without values."""
+    number = F.replace(P.stripped(N.q(c)), F.lit(","), F.lit(".")).try_cast("double")
+    return F.avg(F.when(N.q(c).isNotNull(), number.isNotNull().cast("int")))
+
+
 def mixed_type_columns(df: DataFrame, order: list[str] | None = None) -> list[str]:
-    """Text columns of whose first values a part, but not nearly all, reads as numbers."""
-    out = []
-    for c in N.text_columns(df):
-        head = df.filter(N.q(c).isNotNull())
-        head = (head.orderBy(*order) if order else head).limit(MIXED_PROBE)
-        number = F.replace(P.stripped(N.q(c)), F.lit(","), F.lit(".")).try_cast("double")
-        share = head.agg(F.avg(number.isNotNull().cast("int"))).first()[0]
-        if share is not None and MIXED_LOW < share < MIXED_HIGH:
-            out.append(c)
+    """Text columns of whose values a part, but not nearly all, reads as numbers; of the first values only, if ``order`` says which those are."""
+    out, columns = [], N.text_columns(df)
+    if not order:
+        facts = AggFusion(df)
+        for c in columns:
+            facts.want(c, number_share(c))
+        return _mixed(facts.run() if columns else {})
+    for c in columns:
+        share = df.filter(N.q(c).isNotNull()).orderBy(*order).limit(MIXED_PROBE).agg(number_share(c)).first()[0]
+        out += _mixed({c: share})
     return out
 
 
+def _mixed(shares: dict[str, float | None]) -> list[str]:
+    return [c for c, share in shares.items() if share is not None and MIXED_LOW < share < MIXED_HIGH]
+
+
 def dataset_diagnostics(df: DataFrame, order: list[str] | None = None) -> dict:
     """Rows, columns, missing and blank cells, copies, and columns that need attention."""
     columns = N.data_columns(df)
-    roles = infer_roles(df)
-    facts = AggFusion(df)
-    facts.want("n", F.count("*"))
+    facts: dict = {"n": F.count("*")}  # one pass for all of them, with what the roles need
     gap = {c: (P.to_float(N.q(c)) if N.is_numeric(df, c) else N.q(c)).isNull() for c in columns}
     for c in columns:
-        facts.want((c, "null"), F.count_if(gap[c]))
+        facts[c, "null"] = F.count_if(gap[c])
+        facts[c, "sum"] = column_sum(df, c)
         if N.is_text(df, c):
-            facts.want((c, "blank"), F.count_if(P.is_blank(N.q(c))))
+            facts[c, "blank"] = F.count_if(P.is_blank(N.q(c)))
+            if not order:
+                facts[c, "numbers"] = number_share(c)
     every = None
     for c in columns:
         every = gap[c] if every is None else every & gap[c]
-    facts.want("empty", F.count_if(every) if every is not None else F.lit(0))
-    got = facts.run()
+    facts["empty"] = F.count_if(every) if every is not None else F.sum(F.lit(0))
+    roles, got = roles_with(df, facts)
     n, m = got["n"], len(columns)
     nulls = sum(got[c, "null"] for c in columns)
     blanks = sum(got.get((c, "blank"), 0) for c in columns)
@@ -183,22 +208,26 @@ def dataset_diagnostics(df: DataFrame, order: list[str] | None = None) -> dict:
     return {
         "filas": n, "columnas": m, "celdas": cells, "celdas_nulas": nulls, "%_celdas_nulas": 100 * nulls / cells if cells else 0.0,
         "celdas_vacias": blanks, "filas_duplicadas": copies, "%_filas_duplicadas": 100 * copies / n if n else 0.0, "filas_vacias": got["empty"] or 0,
-        "columnas_duplicadas": identical_columns(df), "columnas_constantes": [c for c, r in roles.items() if r.role == "constante"],
+        "columnas_duplicadas": identical_columns(df, {c: got[c, "sum"] for c in columns}), "columnas_constantes": [c for c, r in roles.items() if r.role == "constante"],
         "columnas_id": [c for c, r in roles.items() if r.role == "id"],
-        "columnas_50_nulos": [c for c in columns if n and got[c, "null"] / n >= 0.5], "columnas_mixtas": mixed_type_columns(df, order),
+        "columnas_50_nulos": [c for c in columns if n and got[c, "null"] / n >= 0.5], "columnas_mixtas": mixed_type_columns(df, order) if order else _mixed({c: got[c, "numbers"] for c in columns if N.is_text(df, c)}),
         "convertibles": {c: r.convertible_to for c, r in roles.items() if r.convertible_to}, "roles": {c: r.role for c, r in roles.items()},
         "nulos_por_columna": {c: got[c, "null"] for c in columns},
     }
 
 
-def far_outside_share(df: DataFrame) -> float:
-    """Mean over numeric columns of the percentage beyond three quartile ranges; columns under five values or without range don't count."""
+def far_outside_share(df: DataFrame, counts: dict[str, int] | None = None) -> float:
+    """Mean over numeric columns of the percentage beyond three quartile ranges; columns under five values or without range don't count.
+
+    ``counts``: values by column, if a pass has taken them already.
+    """
     columns = N.numeric_columns(df)
     number = {c: P.to_float(N.q(c)) for c in columns}
-    first = AggFusion(df)
-    for c in columns:
-        first.want(c, F.count(number[c]))
-    counts = first.run() if columns else {}
+    if counts is None:
+        first = AggFusion(df)
+        for c in columns:
+            first.want(c, F.count(number[c]))
+        counts = first.run() if columns else {}
     cuts = O.quantiles(df, {c: (number[c], (0.25, 0.75)) for c in columns})
     facts = {c: {"n": counts[c], "lo": cuts[c][0], "hi": cuts[c][1]} for c in columns}
     second = AggFusion(df)
@@ -222,7 +251,7 @@ def quality_score(df: DataFrame, diagnostics: dict | None = None) -> dict:
         "completitud": min(100.0, max(0.0, 100 - d["%_celdas_nulas"] - 100 * d["celdas_vacias"] / cells)),
         "unicidad": min(100.0, max(0.0, 100 - d["%_filas_duplicadas"] - 100 * len(d["columnas_duplicadas"]) / m)),
         "consistencia": max(0.0, 100 - 100 * len(d["columnas_constantes"]) / m - 100 * len(d["columnas_mixtas"]) / m),
-        "validez": max(0.0, 100 - 3 * far_outside_share(df)),
+        "validez": max(0.0, 100 - 3 * far_outside_share(df, {c: d["filas"] - k for c, k in d["nulos_por_columna"].items()})),
     }
     total = sum(WEIGHTS[k] * v for k, v in parts.items())
     return {"score_total": total, **parts, "nivel": level(total)}
@@ -292,8 +321,8 @@ def missing_matrix(df: DataFrame, order: list[str], most: int = 500) -> DataFram
 
 def with_position(df: DataFrame, order: list[str]) -> DataFrame:
     """``__pos``, the 0-based position in ``order``: ranges are sorted apart and shifted by the counts before them."""
-    # kept, so that both uses see the same ranges; a lost block is made again with the same bounds
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()).persist()
+    # written, so that both uses see the same ranges, whatever is lost meanwhile
+    ranged = workspace.keep(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()), "ranges")
     inside = W.partitionBy("__part").orderBy(*order)
     numbered = ranged.withColumn("__in", F.row_number().over(inside))
     sizes = numbered.groupBy("__part").agg(F.count("*").alias("__n"))

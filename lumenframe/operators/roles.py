@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Hashable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -36,7 +37,14 @@ class Role:
 
 
 def infer_roles(df: DataFrame, approx: bool = False) -> dict[str, Role]:
-    """constante, fecha, booleana, numerica, categorica, id or texto for each column; first rule that fits.
+    """The role of each column, see ``roles_with``."""
+    return roles_with(df, {}, approx)[0]
+
+
+def roles_with(df: DataFrame, also: dict[Hashable, Column], approx: bool = False) -> tuple[dict[str, Role], dict[Hashable, object]]:
+    """Roles of all columns, and the values of the aggregates ``also``, which share the first pass.
+
+    constante, fecha, booleana, numerica, categorica, id or texto for each column; first rule that fits.
 
     Distinct values are counted in one pass (by hash, or within 1 % with ``approx``); others test what the values look like
     and how much of the undecided text columns parses as dates and numbers. Nested columns are texto.
@@ -44,6 +52,8 @@ def infer_roles(df: DataFrame, approx: bool = False) -> dict[str, Role]:
     columns = N.data_columns(df)
     first = AggFusion(df)
     first.want("n", F.count("*"))
+    for key, aggregate in also.items():
+        first.want(("also", key), aggregate)
     whole = {c: N.q(c) if not N.is_nested(df, c) else F.to_json(F.struct(N.q(c))) for c in columns}
     for c in columns:
         if approx:
@@ -96,7 +106,7 @@ def infer_roles(df: DataFrame, approx: bool = False) -> dict[str, Role]:
             elif k <= CATEGORY_MOST:
                 role = "categorica"
         out[c] = Role(c, role, k, facts["n"], becomes)
-    return out
+    return out, {key: facts["also", key] for key in also}
 
 
 def by_role(roles: dict[str, Role], *wanted: str) -> list[str]:
