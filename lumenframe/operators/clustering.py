@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -207,14 +207,14 @@ def nearest(m: DataFrame, key: str, centers: list[list[float]]) -> DataFrame:
 
 def run_clustering(m: DataFrame, key: str, name: str, k: int = 3, **params) -> ClusterResult:
     """One algorithm by name, with its metrics; what fails is reported in ``error``."""
-    from . import density, landmarks  # they build on this module
+    from . import density, landmarks, mixture  # they build on this module
 
     out = ClusterResult(name)
     try:
         if name in ("KMeans", "MiniBatchKMeans"):
             out.model = kmeans(m, k)
         elif name == "Gaussian Mixture":
-            out.model = GaussianMixture(k=k, seed=42, maxIter=50).fit(m)
+            out.model = mixture.Mixture(k, params.get("covariance_type", "full")).fit(m)
         elif name == "Bisecting KMeans":
             out.model = BisectingKMeans(k=k, seed=42).fit(m)
         elif name == "Jerárquico":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clustering as K
-from ..operators import density, insights, landmarks
+from ..operators import density, insights, landmarks, mixture, roles
 from .inputs import rounded, table
 
 
@@ -109,6 +109,25 @@ def mean_shift(spark, d):
     return landmarks.mean_shift(m, "c_custkey")[0]
 
 
+def gmm_forms(spark, d):
+    """Labels of customers by mixtures of every covariance form."""
+    m, _ = K.prepare_matrix(table(spark, d, "customer"), ["c_acctbal", "c_nationkey"], ["c_custkey"])
+    out = m.select("c_custkey")
+    for form in mixture.FORMS:
+        out = out.join(mixture.Mixture(4, form, rounds=30).fit(m).transform(m).select("c_custkey", F.col("prediction").alias(form)), "c_custkey")
+    return out
+
+
+def compare_algorithms(spark, d):
+    m, _ = K.prepare_matrix(table(spark, d, "supplier"), ["s_acctbal", "s_nationkey"], ["s_suppkey"])
+    return rounded(K.compare_algorithms(m, "s_suppkey", ["KMeans", "Gaussian Mixture", "Jerárquico", "Birch", "DBSCAN"], 4), pct_ruido="%_ruido")
+
+
+def suggest_features(spark, d):
+    p = table(spark, d, "part")
+    return K.suggest_features(p, roles.infer_roles(p))
+
+
 def tsne(spark, d):
     return rounded(K.project(_vectors(spark, d).select("vec_id", "features"), "vec_id", "t-SNE")[0])
 
@@ -158,6 +177,9 @@ QUERIES = {
     "birch": (birch, None),
     "spectral": (spectral, None),
     "mean_shift": (mean_shift, None),
+    "gmm_forms": (gmm_forms, None),
+    "compare_algorithms": (compare_algorithms, None),
+    "suggest_features": (suggest_features, None),
     "tsne": (tsne, None),
     "name_clusters": (name_clusters, None),
     "optimizer_grid": (optimizer_grid, _OPT),
