@@ -269,7 +269,7 @@ def compactness(labelled: DataFrame, label: str = "prediction") -> DataFrame:
     gap = _unit(vector_to_array("features"), F.col("c"))
     spread = rows.join(F.broadcast(centers), F.col(label) == F.col("cluster")).groupBy("cluster", "n", "c").agg(F.sum(gap).alias("ss"), F.avg(F.sqrt(gap)).alias("s"))
     both = spread.crossJoin(F.broadcast(whole))  # one row
-    ch = both.agg((S.ratio(F.sum(F.col("n") * _unit(F.col("c"), F.col("g"))) / (F.count("*") - 1), F.nullif(F.sum("ss") / (F.max("total") - F.count("*")), F.lit(0.0)))).alias("calinski_harabasz"), F.count("*").alias("clusters"), F.sum("ss").alias("inercia"))
+    ch = both.agg((S.ratio(F.sum(F.col("n") * _unit(F.col("c"), F.col("g"))) / F.nullif(F.count("*") - 1, F.lit(0)), F.nullif(F.sum("ss") / (F.max("total") - F.count("*")), F.lit(0.0)))).alias("calinski_harabasz"), F.count("*").alias("clusters"), F.sum("ss").alias("inercia"))
     a, b = spread.alias("a"), spread.alias("b")
     worst = a.join(F.broadcast(b), F.col("a.cluster") != F.col("b.cluster")).groupBy("a.cluster").agg(F.max(S.ratio(F.col("a.s") + F.col("b.s"), F.nullif(F.sqrt(_unit(F.col("a.c"), F.col("b.c"))), F.lit(0.0)))).alias("r"))
     return ch.crossJoin(worst.agg(F.avg("r").alias("davies_bouldin")))  # one row by one row

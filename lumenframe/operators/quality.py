@@ -119,25 +119,23 @@ def _text(df: DataFrame, c: str) -> Column:
     return N.q(c).cast("string") if not N.is_nested(df, c) else F.to_json(F.struct(N.q(c)))
 
 
-def column_sum(df: DataFrame, c: str) -> Column:
-    """A sum of hashes of a column's values, whatever their order."""
-    h = F.xxhash64(_text(df, c))
-    return F.struct(F.sum(h.cast("decimal(38,0)")), F.bit_xor(h))
-
-
-def identical_columns(df: DataFrame, found: dict | None = None) -> list[list[str]]:
+def identical_columns(df: DataFrame, facts: dict[str, tuple[int, int]] | None = None) -> list[list[str]]:
     """Groups of columns equal in every row. Candidates by a sum of hashes, each then confirmed row by row.
 
     An order-insensitive digest alone would also group a column with a permutation of itself; that is not done here.
-    ``found``: the sums by column, if a pass has taken them already.
+    ``facts`` (nulls, distinct values) by column, where known, spare columns that differ in them the hashing.
     """
     columns = N.data_columns(df)
     text = lambda c: _text(df, c)
-    if found is None:
-        sums = AggFusion(df)
-        for c in columns:
-            sums.want(c, column_sum(df, c))
-        found = sums.run()
+    # as text, numbers with a point may have one value more: -0.0
+    loose = lambda a, b: int(df.schema[a].dataType.typeName() in ("float", "double") or df.schema[b].dataType.typeName() in ("float", "double"))
+    alike = lambda a, b: facts is None or facts[a][0] == facts[b][0] and abs(facts[a][1] - facts[b][1]) <= loose(a, b)
+    columns = [a for a in columns if any(a != b and alike(a, b) for b in columns)]
+    sums = AggFusion(df)
+    for c in columns:
+        h = F.xxhash64(text(c))
+        sums.want(c, F.struct(F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)))
+    found = sums.run() if columns else {}
     by_sum: dict = {}
     for c in columns:
         by_sum.setdefault(tuple(found[c]), []).append(c)
@@ -161,7 +159,9 @@ def identical_columns(df: DataFrame, found: dict | None = None) -> list[list[str
 
 def number_share(c: str) -> Column:
     """The share of a text column's values that read as numbers; null without values."""
-    number = F.replace(P.stripped(N.q(c)), F.lit(","), F.lit(".")).try_cast("double")
+    text = F.replace(P.stripped(N.q(c)), F.lit(","), F.lit("."))
+    # a cast that fails is dear, and most words can't be numbers: the first sign tells
+    number = F.when(F.instr(F.lit("0123456789+-.iInN"), F.substring(text, 1, 1)) > 0, text.try_cast("double"))
     return F.avg(F.when(N.q(c).isNotNull(), number.isNotNull().cast("int")))
 
 
@@ -190,7 +190,6 @@ def dataset_diagnostics(df: DataFrame, order: list[str] | None = None) -> dict:
     gap = {c: (P.to_float(N.q(c)) if N.is_numeric(df, c) else N.q(c)).isNull() for c in columns}
     for c in columns:
         facts[c, "null"] = F.count_if(gap[c])
-        facts[c, "sum"] = column_sum(df, c)
         if N.is_text(df, c):
             facts[c, "blank"] = F.count_if(P.is_blank(N.q(c)))
             if not order:
@@ -208,7 +207,7 @@ def dataset_diagnostics(df: DataFrame, order: list[str] | None = None) -> dict:
     return {
         "filas": n, "columnas": m, "celdas": cells, "celdas_nulas": nulls, "%_celdas_nulas": 100 * nulls / cells if cells else 0.0,
         "celdas_vacias": blanks, "filas_duplicadas": copies, "%_filas_duplicadas": 100 * copies / n if n else 0.0, "filas_vacias": got["empty"] or 0,
-        "columnas_duplicadas": identical_columns(df, {c: got[c, "sum"] for c in columns}), "columnas_constantes": [c for c, r in roles.items() if r.role == "constante"],
+        "columnas_duplicadas": identical_columns(df, {c: (got[c, "null"], roles[c].distinct) for c in columns}), "columnas_constantes": [c for c, r in roles.items() if r.role == "constante"],
         "columnas_id": [c for c, r in roles.items() if r.role == "id"],
         "columnas_50_nulos": [c for c in columns if n and got[c, "null"] / n >= 0.5], "columnas_mixtas": mixed_type_columns(df, order) if order else _mixed({c: got[c, "numbers"] for c in columns if N.is_text(df, c)}),
         "convertibles": {c: r.convertible_to for c, r in roles.items() if r.convertible_to}, "roles": {c: r.role for c, r in roles.items()},

@@ -58,8 +58,6 @@ def roles_with(df: DataFrame, also: dict[Hashable, Column], approx: bool = False
     for c in columns:
         if approx:
             first.want((c, "distinct"), F.approx_count_distinct(whole[c], 0.01))
-        if not N.is_datetime(df, c) and not N.is_nested(df, c):
-            first.want((c, "odd"), F.count_if(~F.lower(P.stripped(N.q(c).cast("string"))).isin(BOOL_WORDS)))
     facts = first.run()
     if not approx:
         facts |= {(c, "distinct"): k for c, k in order.distinct_counts(df, whole).items()}
@@ -67,12 +65,15 @@ def roles_with(df: DataFrame, also: dict[Hashable, Column], approx: bool = False
 
     undecided = [c for c in columns if N.is_text(df, c) and facts[c, "distinct"] > 1]
     second = AggFusion(df)
+    for c in columns:
+        if facts[c, "distinct"] == 2 and not N.is_bool(df, c) and not N.is_datetime(df, c) and not N.is_nested(df, c):
+            second.want((c, "odd"), F.count_if(~F.lower(P.stripped(N.q(c).cast("string"))).isin(BOOL_WORDS)))
     for c in undecided:
         col = N.q(c)
         second.want((c, "some"), F.count(col))
         second.want((c, "dates"), F.count(P.parse_datetime(col)))
         second.want((c, "letters"), F.count_if(P.has_letters(col)))
-    parsed = second.run() if undecided else {}
+    parsed = second.run() if second.wanted else {}
     third = AggFusion(df)
     for c in undecided:  # columns of words needn't be read as numbers
         if parsed[c, "letters"] / max(parsed[c, "some"], 1) <= LETTER_SHARE:
@@ -89,7 +90,7 @@ def roles_with(df: DataFrame, also: dict[Hashable, Column], approx: bool = False
             role = "fecha"
         elif N.is_nested(df, c):
             role = "texto"
-        elif k <= 2 and (N.is_bool(df, c) or facts[c, "odd"] == 0):
+        elif k <= 2 and (N.is_bool(df, c) or parsed[c, "odd"] == 0):
             role = "booleana"
         elif N.is_numeric(df, c):
             small = N.is_integer(df, c) and k <= INTEGER_CATEGORY_MOST
