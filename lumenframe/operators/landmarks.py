@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..sources import workspace
 from . import clustering as K
 
+CENTERS_MOST, FEATURES_MOST = 2_000, 20_000  # clustering features that Ward's rule merges; those that reach the driver
 LANDMARKS, NEAR = 200, 10  # micro-clusters; those that a row is tied to in the spectral graph
 SEEDS, BANDWIDTH_MOST, STEPS = 300, 2_000, 50  # rows that mean shift climbs from; rows that tell its bandwidth; climbs at most
 
@@ -26,17 +28,132 @@ def _micro(m: DataFrame, most: int, seed: int) -> tuple[object, np.ndarray, np.n
     return model, np.array(model.clusterCenters()), np.array(model.summary.clusterSizes, dtype=float)
 
 
-def birch(m: DataFrame, key: str, k: int, most: int = LANDMARKS, seed: int = 42) -> DataFrame:
-    """(key, prediction): micro-clusters of all rows, kept as centers and sizes, are merged by Ward's rule with their weights.
+class FeatureTree:
+    """A height-balanced tree of clustering features (rows, their sum, their sum of squared lengths), each no wider than ``radius``.
 
-    Unlike the usual tree of micro-clusters their number is fixed, and the order of rows has no say.
+    A feature goes down to the nearest entry, node by node. It joins the leaf's entry if both together keep within the radius, and
+    is an entry of its own otherwise; a node of more than ``branching`` entries is split at its two farthest ones.
     """
-    model, centers, sizes = _micro(m, most, seed)
-    filled = np.flatnonzero(sizes > 0)
-    label = np.zeros(len(centers), dtype=int)
-    label[filled] = K.cut_tree(K.linkage(centers[filled], "ward", sizes[filled]), min(k, len(filled)))
-    told = F.element_at(F.array(*[F.lit(int(v)) for v in label]), F.col("prediction") + 1)
-    return model.transform(m).select(N.q(key), told.alias("prediction"))
+
+    class Node:
+        def __init__(self, room: int, width: int, leaf: bool) -> None:
+            self.count, self.leaf = 0, leaf
+            self.n, self.sums, self.squares, self.below = np.zeros(room), np.zeros((room, width)), np.zeros(room), [None] * room
+
+        def put(self, i: int, n: float, sums: np.ndarray, squares: float, below: FeatureTree.Node | None) -> None:
+            self.n[i], self.sums[i], self.squares[i], self.below[i] = n, sums, squares, below
+            self.count = max(self.count, i + 1)
+
+        def whole(self) -> tuple[float, np.ndarray, float]:
+            k = self.count
+            return self.n[:k].sum(), self.sums[:k].sum(axis=0), self.squares[:k].sum()
+
+    def __init__(self, radius: float, width: int, branching: int = 50) -> None:
+        self.radius, self.width, self.branching = radius, width, branching
+        self.root = self.Node(branching + 1, width, True)
+
+    def add(self, n: float, sums: np.ndarray, squares: float) -> None:
+        halves = self._add(self.root, n, sums, squares)
+        if halves:
+            self.root = self.Node(self.branching + 1, self.width, False)
+            for i, half in enumerate(halves):
+                self.root.put(i, *half.whole(), half)
+
+    def _add(self, node: Node, n: float, sums: np.ndarray, squares: float) -> tuple[Node, Node] | None:
+        k = node.count
+        if k:
+            gap = node.sums[:k] / node.n[:k, None] - sums / n
+            i = int(np.argmin((gap * gap).sum(axis=1)))
+            all_n, all_sums, all_squares = node.n[i] + n, node.sums[i] + sums, node.squares[i] + squares
+            if not node.leaf:
+                halves = self._add(node.below[i], n, sums, squares)
+                if not halves:
+                    node.put(i, all_n, all_sums, all_squares, node.below[i])
+                    return None
+                node.put(i, *halves[0].whole(), halves[0])
+                node.put(k, *halves[1].whole(), halves[1])
+                return self._split(node) if node.count > self.branching else None
+            middle = all_sums / all_n
+            if all_squares / all_n - middle @ middle <= self.radius**2:
+                node.put(i, all_n, all_sums, all_squares, None)
+                return None
+        node.put(k, n, sums, squares, None)
+        return self._split(node) if node.count > self.branching else None
+
+    def _split(self, node: Node) -> tuple[Node, Node]:
+        k = node.count
+        d = K._distances(node.sums[:k] / node.n[:k, None], node.sums[:k] / node.n[:k, None])
+        a, b = np.unravel_index(np.argmax(d), d.shape)
+        first = d[a] <= d[b]
+        first[[a, b]] = True, False
+        halves = []
+        for part in (np.flatnonzero(first), np.flatnonzero(~first)):
+            half = self.Node(self.branching + 1, self.width, node.leaf)
+            for i, j in enumerate(part):
+                half.put(i, node.n[j], node.sums[j], node.squares[j], node.below[j])
+            halves.append(half)
+        return halves[0], halves[1]
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, sums and squares of all leaf entries."""
+        out, todo = [], [self.root]
+        while todo:
+            node = todo.pop()
+            if node.leaf:
+                out.append((node.n[: node.count], node.sums[: node.count], node.squares[: node.count]))
+            else:
+                todo += node.below[: node.count][::-1]
+        return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+
+
+def _condensed(df: DataFrame, radius: float, width: int) -> DataFrame:
+    """Clustering features (n, sums, squares), those of each task put through a tree of its own."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = FeatureTree(radius, width)
+        for f in frames:
+            for n, sums, squares in zip(f["n"], f["sums"], f["squares"], strict=True):
+                tree.add(n, sums, squares)
+        n, sums, squares = tree.entries()
+        yield pd.DataFrame({"n": n, "sums": pd.Series(list(sums), dtype=object), "squares": squares})
+
+    return df.mapInPandas(run, "n double, sums array<double>, squares double")
+
+
+def birch(m: DataFrame, key: str, k: int, threshold: float = 0.5, most: int = CENTERS_MOST) -> DataFrame:
+    """(key, prediction): rows are condensed to clustering features no wider than ``threshold``, whose centers Ward's rule merges, by their sizes, to ``k`` clusters.
+
+    Each task puts its rows through a feature tree; the tasks' features, which add up, are put through one again. If more than ``most``
+    are left, the threshold rises by half and features are condensed further, in Spark while they are more than ``FEATURES_MOST``. Every row goes to the nearest center.
+    How rows are dealt to tasks has a say in where features begin, as the order of rows has in any such tree.
+    """
+    f = vector_to_array("features")
+    first = m.select(f.alias("f")).first()
+    if first is None:
+        return m.select(N.q(key), F.lit(0).alias("prediction"))
+    width = len(first["f"])
+    rows = m.select(F.lit(1.0).alias("n"), f.alias("sums"), F.aggregate(f, F.lit(0.0), lambda s, v: s + v * v).alias("squares"))
+    features, radius = workspace.keep(_condensed(rows, threshold, width), "features"), threshold
+    while features.count() > FEATURES_MOST:
+        radius *= 1.5
+        features = workspace.keep(_condensed(features.repartition(max(1, features.count() // FEATURES_MOST)), radius, width), "features")
+    tree = FeatureTree(radius, width)
+    for r in features.orderBy("sums", "n").toLocalIterator():  # FEATURES_MOST at most
+        tree.add(r["n"], np.array(r["sums"]), r["squares"])
+    n, sums, squares = tree.entries()
+    while len(n) > most:
+        radius *= 1.5
+        tree = FeatureTree(radius, width)
+        for one in zip(n, sums, squares, strict=True):
+            tree.add(*one)
+        n, sums, squares = tree.entries()
+    centers = sums / n[:, None]
+    label = K.cut_tree(K.linkage(centers, "ward", n), min(k, len(n))) if len(n) > 1 else np.zeros(1, dtype=int)
+
+    def told(x: pd.Series) -> pd.Series:
+        return pd.Series(label[np.argmin(K._distances(np.stack(x.to_numpy()), centers), axis=1)] if len(x) else [], dtype="int32")
+
+    return m.select(N.q(key), F.pandas_udf(told, "int")(f).alias("prediction"))
 
 
 def _summed(m: DataFrame, partial: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:

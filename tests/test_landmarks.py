@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from lumenframe.operators import clustering as K
@@ -35,7 +35,7 @@ def labels(df):
 def test_landmark_methods_find_separate_blobs(spark):
     x, truth = blobs()
     m = vectors(spark, x)
-    assert same_groups(labels(landmarks.birch(m, "id", 3, most=30)), truth)
+    assert same_groups(labels(landmarks.birch(m, "id", 3)), truth)
     assert same_groups(labels(landmarks.spectral(m, "id", 3, most=40, near=5)), truth)
     found, peaks = landmarks.mean_shift(m, "id", bandwidth=2.0, seeds=60)
     assert same_groups(labels(found), truth) and len(peaks) == 3
@@ -121,3 +121,32 @@ def test_demonstration_tables(spark):
     homes = demo.property_sales(spark).cache()
     assert homes.count() == 2_500 and homes.agg(F.avg("area_m2")).first()[0] == pytest.approx(125, abs=4)
     assert homes.agg(F.corr("area_m2", "precio_millones")).first()[0] > 0.1 and demo.churn_customers(spark, 0).count() == 0
+
+
+def test_feature_tree_keeps_sums_and_radii():
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(1500, 3)), np.zeros((20, 3))])
+    counts = []
+    for radius in (0.05, 0.3, 0.8, 3.0):
+        tree = landmarks.FeatureTree(radius, 3, branching=6)
+        for p in x:
+            tree.add(1.0, p, float(p @ p))
+        n, sums, squares = tree.entries()
+        assert n.sum() == len(x) and np.allclose(sums.sum(axis=0), x.sum(axis=0)) and np.isclose(squares.sum(), (x * x).sum())
+        assert (squares / n - ((sums / n[:, None]) ** 2).sum(axis=1) <= radius**2 + 1e-9).all()
+        whole = tree.root.whole()
+        assert whole[0] == len(x) and np.allclose(whole[1], x.sum(axis=0))
+        counts.append(len(n))
+    assert counts == sorted(counts, reverse=True) and counts[0] > 1000 and counts[-1] < 20
+
+
+def test_birch_follows_the_threshold_and_rises_it_when_it_must(spark, monkeypatch):
+    x, truth = blobs()
+    m = vectors(spark, x)
+    fine = landmarks._condensed(m.select(F.lit(1.0).alias("n"), vector_to_array("features").alias("sums"), F.lit(0.0).alias("squares")).limit(0), 0.1, x.shape[1])
+    assert fine.agg(F.sum("n")).first()[0] is None
+    for threshold in (0.05, 1.0):
+        assert same_groups(labels(landmarks.birch(m, "id", 3, threshold)), truth)
+    monkeypatch.setattr(landmarks, "FEATURES_MOST", 40)
+    assert same_groups(labels(landmarks.birch(m, "id", 3, 0.01, most=30)), truth)
+    assert landmarks.birch(m.limit(0), "id", 3).count() == 0
