@@ -302,6 +302,46 @@ def association_matrix(spark, d):
     return rounded(eda.categorical_association(o, ["o_orderstatus", "o_orderpriority"]))
 
 
+# --- words ------------------------------------------------------------------------------------
+
+
+def _faulty(spark, d):
+    """Customers with copies, a column twice, a constant and a column that is mostly missing."""
+    c = table(spark, d, "customer")
+    c = c.unionByName(c.filter("c_custkey % 10 = 0"))
+    return c.select("c_custkey", F.col("c_custkey").alias("copia"), "c_mktsegment", F.lit("x").alias("fijo"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal")).alias("escaso"))
+
+
+def findings(spark, d):
+    rows = quality.quality_findings(_faulty(spark, d))
+    return spark.createDataFrame([(r["severidad"], r["hallazgo"], r["detalle"]) for r in rows], "severidad string, hallazgo string, detalle string")  # a row a finding
+
+
+_FINDINGS = """with k as (select count(*) filter (where c_custkey % 10 = 0) as copies, count(*) as n from customer)
+select 'Crítica' as severidad, 'Columnas con 50 % de nulos o más' as hallazgo, 'escaso' as detalle
+union all select case when 100.0 * copies / (n + copies) > 5 then 'Alta' else 'Media' end, 'Filas duplicadas', copies || ' copias' from k
+union all select 'Alta', 'Columnas idénticas', 'c_custkey = copia' union all select 'Media', 'Columnas constantes', 'fijo'"""
+
+
+def narrative(spark, d):
+    """Statements about the table, what to do about it, and a summary, line by line."""
+    df = _faulty(spark, d)
+    diagnostics = quality.dataset_diagnostics(df)
+    score = quality.quality_score(df, diagnostics)
+    report = insights.descriptive_report(df, "c_mktsegment")
+    actions = insights.prescriptive_actions(score=score["score_total"], rows=diagnostics["filas"], weak_features=3)
+    lines = [("informe", x) for x in report] + [("accion", f"{a['prioridad']}: {a['accion']}") for a in actions] + [("resumen", insights.executive_summary(report, actions))]
+    return spark.createDataFrame([(k, *x) for k, x in enumerate(lines)], "linea int, parte string, texto string")
+
+
+def sensitivity(spark, d):
+    """A line's predictions as the size of a part moves and the rest stays at its middle."""
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    out = learning.train_models(p, "p_retailprice", ["p_size", "p_partkey"], ["p_partkey"], models=["Regresión Lineal"])
+    base = insights.base_scenario(p, out.features)
+    return rounded(insights.sensitivity(p, base, "p_size", out.preprocessor, out.results[0].model))
+
+
 QUERIES = {
     "read_csv_comma": (csv_round_trip(","), _ORDERS.format(k="::double")),
     "read_csv_tab": (csv_round_trip("\t"), _ORDERS.format(k="::double")),
@@ -315,6 +355,9 @@ QUERIES = {
     "predictions_table": (predictions_table, "select o_orderkey, o_orderstatus as real, ['F', 'O', 'P'][(o_orderkey % 2 + 1)::int] as pred_a, ['F', 'O', 'P'][(o_orderkey % 3 + 1)::int] as pred_b from orders"),
     "etl_rename_drop": (etl_rename_drop, "select c_custkey as clave, c_mktsegment, c_acctbal as saldo from customer"),
     "etl_normalize_names": (normalize_names, "select n_nationkey as nacion_clave, n_name as nombre_pais from nation"),
+    "quality_findings": (findings, _FINDINGS),
+    "narrative": (narrative, None),
+    "sensitivity": (sensitivity, None),
     "csv_line_breaks": (csv_line_breaks, """select doc_id, sha256('"' || text || chr(10) || '"fin", ') as texto_sha256 from documents"""),
     "csv_late_latin1": (csv_late_latin1, _LATE),
     "etl_impute_knn_whole": (knn_whole, _KNN),

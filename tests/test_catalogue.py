@@ -9,7 +9,7 @@ from lumenframe.plans import catalogue
 
 FIXTURE = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-SLOW = {"train_leaderboard_clf", "train_leaderboard_reg"}
+SLOW = {"train_leaderboard_clf", "train_leaderboard_reg", "train_zoo_clf", "train_zoo_reg", "cv_search", "learning_curve"}
 
 
 @pytest.fixture(scope="module")
