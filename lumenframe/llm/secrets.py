@@ -195,7 +195,7 @@ def _values(toks: list[Token], at: int, end: int, skip: set[int]) -> tuple[list[
         more = False
         if at < end and (_is(toks[at], "+", "&") or toks[at].kind == "word" and toks[at].value == "." and groups and not groups[-1][-1].bare):
             at, more = at + 1, True
-        elif at < end and (_is(toks[at], "||", "??", "|") or toks[at].kind == "word" and toks[at].value == "or"):
+        elif at < end and (_is(toks[at], "||", "??") or toks[at].kind == "word" and toks[at].value == "or"):
             at += 1
         elif at < end and _is(toks[at], "?"):
             groups, open_, at = [], True, at + 1
@@ -268,7 +268,8 @@ def _side_by_side(toks: list[Token], skip: set[int]) -> list[tuple[int, str, lis
 
 def _certain(value: Token, sign: Token) -> bool:
     """A word without marks is a literal if it isn't just a name, or if it touches the sign."""
-    return not value.bare or not NAME.fullmatch(value.value) or any(c.isdigit() for c in value.value) or value.start == sign.end
+    plain = NAME.fullmatch(value.value) or value.value.strip(".-_").isalpha()  # a name, or a word of any language
+    return not value.bare or not plain or any(c.isdigit() for c in value.value) or value.start == sign.end
 
 
 def lex_pairs(text: str) -> list[tuple[str, list[tuple[tuple[int, int], ...]], list[int]]]:

@@ -113,6 +113,7 @@ def test_every_form_of_a_binding_gives_its_literal_and_nothing_else(form):
 
 
 CLEAN = [
+    'db_pwd = "changeme" | rementé. | Èmentaux | Zx81-qpL0-vv3R |', "pwd = Geheimniskrämerei.",
     'password_field = form.get("password_input_9")', "pwd: https://docs.example.com/Reset9/Page7", 'key = os.environ["DB_PWD_PROD_7"]', "token_type = AccessTokenKind", "secretary: Maria Lopez-Arango",
     'set colour "Zx81-qpL0-vv3R"', 'title = ready ? "Zx81-qpL0-vv3R" : "n"', "pwd = getPassword(user)", "The password of the day was read aloud by 12 people.", '{"max_tokens": 4096, "key": "left"}',
 ]
