@@ -20,22 +20,37 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{where.rstrip('/')}/lumenframe/{label}-{uuid.uuid4().hex}"
 
 
-_kept: list[tuple[SparkSession, str]] = []
+_kept: dict[str, SparkSession] = {}
 
 
-def _clear() -> None:
-    for spark, path in _kept:
+def _delete(path: str) -> None:
+    spark = _kept.pop(path, None)
+    if spark is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear() -> None:
+    """Deletes all tables that ``keep`` wrote. Results that were not yet written must not be used afterwards."""
+    for path in list(_kept):
         with contextlib.suppress(Exception):  # the session may have ended
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(path)
     _kept.clear()
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``keep`` gave, once nothing that still has to run reads them."""
+    for df in tables:
+        _delete(df.kept_at)
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: a lost executor re-reads files, and the planner knows the size. It goes when the driver ends."""
+    """``df`` written to the shared folder and read again: a lost executor re-reads files, and the planner knows the size. It goes with ``drop`` or ``clear``, at the latest when the driver ends."""
     path = fresh(df.sparkSession, label)
     if not _kept:
-        atexit.register(_clear)
-    _kept.append((df.sparkSession, path))
+        atexit.register(clear)
+    _kept[path] = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
