@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from ..functions import names as N
 from ..plans import order as O
 from . import clustering as K
 
-SILHOUETTE_ROWS, DENDROGRAM_ROWS, BAR_GAP = 4_000, 800, 12
+DENDROGRAM_ROWS, BAR_GAP = 800, 12
 
 
 def missing_bars(profile: DataFrame, top: int = 25) -> DataFrame:
@@ -53,14 +51,9 @@ def colour_scale(df: DataFrame, columns: list[str], low: float = 0.02, high: flo
     return out
 
 
-def silhouette_by_point(labelled: DataFrame, key: str, label: str = "prediction", most: int = SILHOUETTE_ROWS) -> DataFrame:
-    """(key, cluster, silueta) of rows outside the noise, Euclidean; above ``most`` rows, of a sample by hash of the key."""
-    some = labelled.filter(F.col(label) >= 0).select(N.q(key), F.col(label).alias("cluster"), "features")
-    rows = some.orderBy(F.xxhash64(F.lit(42), N.q(key)), N.q(key)).limit(most).select(N.q(key), "cluster", vector_to_array("features").alias("f")).collect()
-    y = np.array([r["cluster"] for r in rows])
-    value = K.silhouette_points(np.array([r["f"] for r in rows]), y) if len(set(y.tolist())) > 1 else np.zeros(len(rows))
-    kinds = dict(labelled.dtypes)
-    return labelled.sparkSession.createDataFrame([(r[key], r["cluster"], float(v)) for r, v in zip(rows, value, strict=True)], f"`{key}` {kinds[key]}, cluster {kinds[label]}, silueta double")
+def silhouette_by_point(labelled: DataFrame, key: str, label: str = "prediction") -> DataFrame:
+    """(key, cluster, silueta) of all rows outside the noise, see ``clustering.silhouette_each``."""
+    return K.silhouette_each(labelled, key, label)
 
 
 def silhouette_bars(points: DataFrame, gap: int = BAR_GAP) -> DataFrame:

@@ -153,3 +153,20 @@ def test_full_zoo_trains(spark, ring):
     assert all(got[k]["estado"] == "ok" for k in new), [(k, r["detalle"]) for k, r in got.items()]
     assert got["K-Vecinos (KNN)"]["accuracy"] > 0.8 and got["K-Vecinos (KNN)"]["roc_auc"] > 0.8
     assert df.agg(F.count("*")).first()[0] == 300
+
+
+def test_silhouettes_of_all_rows_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(4_300, 3)), 1) + 100  # many equal points, more rows than a sample held
+    label = rng.integers(-1, 4, len(x))
+    label[7] = 9  # alone
+    x[8], label[7:9] = x[7], (9, 0)
+    df = spark.createDataFrame([(i, int(c), [float(v) for v in r]) for i, (r, c) in enumerate(zip(x, label, strict=True))], "id int, prediction int, x array<double>")
+    told = {r["id"]: r for r in views.silhouette_by_point(df.select("id", "prediction", array_to_vector("x").alias("features")), "id").collect()}
+    some = np.flatnonzero(label >= 0)
+    assert sorted(told) == some.tolist()
+    far = np.sqrt(((x[some, None, :] - x[None, some, :]) ** 2).sum(2))
+    for i in [7, 8, *some[:300]]:
+        d, own = far[np.searchsorted(some, i)], label[some] == label[i]
+        a, b = d[own].sum() / max(own.sum() - 1, 1), min(d[label[some] == c].mean() for c in set(label[some]) - {label[i]})
+        assert told[i]["silueta"] == pytest.approx((b - a) / max(a, b) if own.sum() > 1 else 0.0, abs=1e-9) and told[i]["cluster"] == label[i]
