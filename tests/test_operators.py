@@ -1,6 +1,7 @@
 """Recipes, expressions, parsers, roles and statistics on small hand-made tables."""
 
 import math
+import re
 from statistics import NormalDist
 
 import numpy as np
@@ -181,3 +182,14 @@ def test_insights(spark):
     assert insights.base_scenario(df, ["x", "g"]) == {"x": 24.5, "g": "a"}
     assert insights.descriptive_report(df)[0].startswith("La tabla tiene 50 filas")
     assert insights.scenario_grid(spark, {}, {"a": list(range(100)), "b": list(range(100))}).count() == insights.SCENARIOS_MOST
+
+
+def test_dates_are_parsed_only_where_their_shape_fits(spark):
+    """A failed parse costs an exception, so texts without a date's shape must not reach the parser."""
+    formats = [*parsing.ISO, *parsing.DAY_FIRST, *parsing.MONTH_FIRST]
+    fits = lambda t: [f for f in formats if re.match(parsing.date_shape(f), t)]
+    assert not any(fits(t) for t in ("Customer#000000001", "4-NOT SPECIFIED", "Brand#12", "$ 1234.50", "hot bolt"))
+    assert fits("25/12/2020") == ["d/M/yyyy", "d/M/yy", "M/d/yyyy"] and fits("2020-12-25t10:00:00") == ["yyyy-MM-dd'T'HH:mm:ss"]
+    moment = F.lit("2021-11-09 10:11:12").cast("timestamp")
+    written = spark.range(1).select(*[F.date_format(moment, f).alias(f"f{k}") for k, f in enumerate(formats)]).first()
+    assert all(f in fits(written[k]) for k, f in enumerate(formats))
