@@ -18,7 +18,7 @@ from ..functions import stats as S
 from ..plans import order as O
 from ..sources import workspace
 from .clustering import bounded
-from .learning import Preprocessor, evaluate, variable_of
+from .learning import Preprocessor, evaluate, spread, variable_of
 from .metrics import LOWER_IS_BETTER
 
 PERMUTATION_MOST, REPEATS, SHAP_ROWS, SHAP_BACKGROUND = 4_000, 8, 500, 80
@@ -203,6 +203,23 @@ def leaf_shares(met: np.ndarray, share: np.ndarray) -> np.ndarray:
     return out
 
 
+def path_codes(leaf: TreeLeaf, x: np.ndarray) -> np.ndarray:
+    """Each row's features of the path that lead to the leaf, as the bits of a number."""
+    return leaf.meets(x) @ (1 << np.arange(len(leaf.features), dtype=np.int64))
+
+
+CODED_MOST = 10  # features of a path up to which the shares of all its codes are worked out once a leaf
+
+
+def coded_shares(leaf: TreeLeaf) -> np.ndarray | None:
+    """The leaf's part in the Shapley values for every code of its path; None for a long path."""
+    m = len(leaf.features)
+    if m > CODED_MOST:
+        return None
+    met = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+    return leaf.value * leaf_shares(met, leaf.share)
+
+
 def tree_shap(m: DataFrame, model) -> tuple[DataFrame, float]:
     """``m`` with ``shap``: exact path-dependent Shapley values of a tree, forest or boosted trees, an array a row; and the base value.
 
@@ -210,20 +227,23 @@ def tree_shap(m: DataFrame, model) -> tuple[DataFrame, float]:
     """
     leaves = tree_leaves(m.sparkSession, model)
     width = model.numFeatures
+    known = [coded_shares(leaf) for leaf in leaves if leaf.features]
 
     def run(x: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=object)
         a = np.stack(x.to_numpy())
         out = np.zeros((len(a), width))
-        for leaf in leaves:
-            if leaf.features:
-                met, of = np.unique(leaf.meets(a), axis=0, return_inverse=True)
-                out[:, leaf.features] += leaf.value * leaf_shares(met.astype(float), leaf.share)[of.ravel()]
+        for leaf, shares in zip((leaf for leaf in leaves if leaf.features), known, strict=True):
+            code = path_codes(leaf, a)
+            if shares is None:
+                some, code = np.unique(code, return_inverse=True)
+                shares = leaf.value * leaf_shares((some[:, None] >> np.arange(len(leaf.features)) & 1).astype(float), leaf.share)
+            out[:, leaf.features] += shares[code]
         return pd.Series(list(out))
 
     base = float(sum(leaf.value * leaf.cover for leaf in leaves))
-    return m.withColumn("shap", F.pandas_udf(run, "array<double>")(vector_to_array("features"))), base
+    return spread(m).withColumn("shap", F.pandas_udf(run, "array<double>")(vector_to_array("features"))), base
 
 
 def shap_importance(explained: DataFrame, ready: Preprocessor, columns: list[str]) -> DataFrame:

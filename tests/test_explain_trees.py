@@ -143,3 +143,10 @@ def test_search_leaves_out_settings_that_fail(spark):
     assert best == {"maxDepth": 3} and score == 1.0
     with pytest.raises(ValueError, match="ninguna"):
         learning.random_search(out, labelled, ["id"], "t", tree, {"maxDepth": [31]}, n_iter=2, cv=2)
+
+
+def test_shares_by_code_equal_those_of_the_rows():
+    """One table of shares a leaf serves all rows."""
+    leaf = explain.TreeLeaf(3.0, [0, 2], [0.0, -np.inf], [1.0, 5.0], [None, None], np.array([0.25, 0.5]), 0.1)
+    x = np.random.default_rng(1).uniform(-2, 8, size=(50, 3))
+    assert np.allclose(explain.coded_shares(leaf)[explain.path_codes(leaf, x)], 3.0 * explain.leaf_shares(leaf.meets(x).astype(float), leaf.share))

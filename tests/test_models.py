@@ -170,3 +170,12 @@ def test_silhouettes_of_all_rows_equal_brute_force(spark):
         d, own = far[np.searchsorted(some, i)], label[some] == label[i]
         a, b = d[own].sum() / max(own.sum() - 1, 1), min(d[label[some] == c].mean() for c in set(label[some]) - {label[i]})
         assert told[i]["silueta"] == pytest.approx((b - a) / max(a, b) if own.sum() > 1 else 0.0, abs=1e-9) and told[i]["cluster"] == label[i]
+
+
+def test_small_files_are_spread_and_only_the_cut_is_sorted(spark):
+    df = spark.range(40_000).coalesce(1).withColumn("y", F.col("id") % 2)
+    assert learning.spread(df).rdd.getNumPartitions() == 8
+    told = learning.split(df, "y", ["id"])
+    moved = told.groupBy("y", F.spark_partition_id().alias("p")).count().groupBy("y").agg(F.max("count").alias("n")).collect()
+    assert all(r["n"] > 19_000 for r in moved)  # rows away from the cut stay in the one task that read them
+    assert {(r["y"], r["n"]) for r in told.filter("is_test").groupBy("y").agg(F.count("*").alias("n")).collect()} == {(0, 4_000), (1, 4_000)}
