@@ -31,3 +31,13 @@ def test_tallies_and_distinct(spark):
     assert order.tallies(df, {"s": F.col("s")}, "string") == {"s": (2, "x", 2)}
     assert order.distinct_counts(df, {"s": F.col("s"), "v": F.col("v"), "n": F.lit(None).cast("string")}) == {"s": 2, "v": 2, "n": 0}
     assert order.distinct_rows(df, [F.col("s"), F.col("v")]) == 5
+
+
+def test_rows_meet_the_brackets_of_few_groups_without_a_shuffle(spark, capsys):
+    """Rows dealt by a few groups would put a large share of the table into one task."""
+    df = spark.range(2_000_000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
+    told = order.group_quantiles(df, F.col("g"), F.col("x"), (0.5,))
+    told.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r["g"]: r["q"] for r in told.collect()} == {0: [999_999.0], 1: [1_000_000.0], 2: [999_999.5]}
