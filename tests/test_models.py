@@ -179,3 +179,16 @@ def test_small_files_are_spread_and_only_the_cut_is_sorted(spark):
     moved = told.groupBy("y", F.spark_partition_id().alias("p")).count().groupBy("y").agg(F.max("count").alias("n")).collect()
     assert all(r["n"] > 19_000 for r in moved)  # rows away from the cut stay in the one task that read them
     assert {(r["y"], r["n"]) for r in told.filter("is_test").groupBy("y").agg(F.count("*").alias("n")).collect()} == {(0, 4_000), (1, 4_000)}
+
+
+def test_a_bounded_sample_leaves_out_most_rows_before_it_is_ordered(spark, capsys):
+    """Each task would send as many rows as the sample has; the sample stays the same."""
+    from lumenframe.operators import clustering
+
+    df = spark.range(0, 20_000, 1, 4)
+    told = clustering.bounded(df, 100)
+    told.explain()
+    assert "Filter" in capsys.readouterr().out
+    placed = df.withColumn("at", F.monotonically_increasing_id()).orderBy(F.xxhash64(F.lit(42), "at"), "at").limit(100)
+    assert [r[0] for r in told.collect()] == [r["id"] for r in placed.collect()]
+    assert clustering.bounded(df, 30_000).count() == 20_000
