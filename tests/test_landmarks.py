@@ -58,6 +58,17 @@ def test_landmarks_of_few_and_equal_rows(spark):
     assert labels(landmarks.mean_shift(vectors(spark, [(1, 1)] * 4), "id")[0]) == [0] * 4
 
 
+def test_mean_shift_climbs_over_distinct_points_in_many_tasks(spark, monkeypatch):
+    met, whole = [], landmarks._summed
+    monkeypatch.setattr(landmarks, "_summed", lambda rows, partial: met.append((rows.count(), rows.rdd.getNumPartitions())) or whole(rows, partial))
+    x, truth = blobs(20)
+    own = np.concatenate([x, x, x[:20]])  # the first group counts three times
+    found, peaks = landmarks.mean_shift(vectors(spark, own).coalesce(1), "id", bandwidth=2.0, seeds=60)
+    assert same_groups(labels(found), np.concatenate([truth, truth, truth[:20]])) and len(peaks) == 3
+    assert {n for n, _ in met} == {60} and min(tasks for _, tasks in met) >= 4
+    assert np.allclose(peaks[0], x[:20].mean(axis=0), atol=0.01)
+
+
 def test_ward_of_weighted_points_is_ward_of_repeated_ones():
     rng = np.random.default_rng(2)
     x, n = rng.normal(size=(9, 2)), rng.integers(1, 5, 9)
