@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -191,14 +192,14 @@ class NeighboursModel:
         keys = [f"x{j}" for j in range(width)]
         spread = lambda d: d.select("*", *[F.col("x")[j].alias(c) for j, c in enumerate(keys)])
 
-        def kernel(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        def kernel(q: pd.DataFrame, r: pd.DataFrame) -> pa.Table | None:
             out = []
             a, b, label, n = q[keys].to_numpy(dtype=float), r[keys].to_numpy(dtype=float), r["label"].to_numpy(), r["n"].to_numpy()
             for part in X.tiles(a, len(b)):
                 far = X.squared(a[part], b)
-                for i, at in enumerate(B.least(far, label, k)):
-                    out.append((*a[part][i], [{"d": d, "value": v, "n": c} for d, v, c in zip(far[i, at].tolist(), label[at].tolist(), n[at].tolist(), strict=True)]))
-            return pd.DataFrame(out, columns=[*keys, "near"])
+                i, at = X.taken(far, label, k)
+                out.append((a[part], i, far[i, at], label[at], n[at], {}))
+            return X.lists(out, keys)
 
         queries = spread(df.select(vector_to_array("features").alias("x")).distinct()).select(*keys)
         blocks = X.leaves_of(spread(self.rows).select(*keys, "label", "n"), keys, "n")

@@ -116,6 +116,20 @@ def test_knn_impute_uses_all_rows(spark, monkeypatch):
     assert sorted(tuple(r) for r in recipe.knn_impute(hollow, ["a", "b"], 3).collect()) == [(1.0, None), (1.0, None)]
 
 
+def test_queries_look_at_boxes_near_their_run_only(spark, monkeypatch):
+    monkeypatch.setattr(space, "LEAF_ROWS", 8)
+    monkeypatch.setattr(space, "RUN", 16)
+    rows = spark.createDataFrame([(float(k), float(k % 7)) for k in range(2000)], "x double, y double")
+    leaves = space.leaves_of(rows, ["x", "y"])
+    count = len(leaves.boxes.number)
+    queries = rows.filter("x % 5 = 0")
+    looked = space.sent(queries, leaves, lambda far, pdf, some: np.ones(far.shape, dtype=bool), lambda pdf: np.full(len(pdf), 9.0))
+    assert count > 150 and looked.count() < 400 * count / 8
+    near = space.sent(queries, leaves, lambda far, pdf, some: far <= 9.0, lambda pdf: np.full(len(pdf), 9.0)).collect()
+    every = leaves.boxes.far(np.array([(r["x"], r["y"]) for r in queries.collect()]))
+    assert len(near) == (every <= 9.0).sum()
+
+
 def test_ordinal_codes_of_more_values_than_are_listed(spark, monkeypatch):
     monkeypatch.setattr(learning, "CODES_LISTED", 40)
     values = [f"v{k:03d}" for k in range(100)]
