@@ -19,7 +19,7 @@ from ..plans import order as O
 from ..sources import workspace
 from .clustering import bounded
 from .learning import Preprocessor, evaluate, spread, variable_of
-from .metrics import LOWER_IS_BETTER
+from .metrics import LOWER_IS_BETTER, regression_columns
 
 PERMUTATION_MOST, REPEATS, SHAP_ROWS, SHAP_BACKGROUND = 4_000, 8, 500, 80
 
@@ -60,24 +60,43 @@ def signed_coefficients(spark, model, ready: Preprocessor, columns: list[str]) -
     return spark.createDataFrame(rows, "feature string, coeficiente double, variable string, efecto string").orderBy(F.abs("coeficiente").desc(), "feature")
 
 
-def _shuffled(df: DataFrame, column: str, key: list[str], seed: int) -> DataFrame:
-    """The table with one column's values dealt anew: rows are numbered twice, by key and by hash, and joined."""
-    by_key = df.withColumn("__n", F.row_number().over(W.orderBy(*[N.q(k) for k in key])))  # of a bounded sample
-    other = df.select(N.q(column).alias("__v"), F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), *[N.q(k) for k in key]), *[N.q(k) for k in key])).alias("__n"))
-    return by_key.join(other, "__n").withColumn(column, F.col("__v")).drop("__n", "__v")
+def _numbered(df: DataFrame, seed: int, key: list[str]) -> DataFrame:
+    """``df`` with ``__n``, its place in an order drawn by hash of ``key``: rows are numbered in 4,096 ranges of the hash, which start where the one before ends."""
+    rows = df.withColumn("__d", F.xxhash64(F.lit(seed), *[N.q(k) for k in key])).withColumn("__b", F.shiftrightunsigned("__d", 52))
+    sizes = rows.groupBy("__b").agg(F.count("*").alias("__k"))
+    before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)  # 4,096 rows
+    heads = sizes.select("__b", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__o"))
+    inside = W.partitionBy("__b").orderBy("__d", *[N.q(c) for c in df.columns])  # rows that tie are equal
+    return rows.withColumn("__i", F.row_number().over(inside)).join(F.broadcast(heads), "__b").select(*[N.q(c) for c in df.columns], (F.col("__o") + F.col("__i")).alias("__n"))
 
 
-def permutation_importance(df: DataFrame, model, ready: Preprocessor, features: list[str], key: list[str], task: str, metric: str, repeats: int = REPEATS, most: int = PERMUTATION_MOST) -> DataFrame:
-    """How much the metric falls when a column is shuffled, over at most ``most`` rows; negative falls count as 0."""
-    some = df.orderBy(F.xxhash64(F.lit(7), *[N.q(k) for k in key])).limit(most).cache()
+def _metric_by(out: DataFrame, group: str, values: list[str], task: str, metric: str) -> dict[str, float]:
+    """The metric for each value of ``group``."""
+    if task == "regresion" and (column := regression_columns().get(metric)) is not None:
+        return {r[0]: r[1] for r in out.groupBy(group).agg(column).collect()}  # a row a value
+    return {v: evaluate(out.filter(F.col(group) == v), task)[metric] for v in values}
+
+
+def permutation_importance(df: DataFrame, model, ready: Preprocessor, features: list[str], key: list[str], task: str, metric: str, repeats: int = REPEATS) -> DataFrame:
+    """How much the metric falls when a column is shuffled among all rows; negative falls count as 0.
+
+    A repeat numbers the rows in two drawn orders and gives each row the values of the row with its number, so all values of a column are dealt anew;
+    each column in turn takes them. So a repeat shuffles the rows twice and predicts each as often as there are columns.
+    """
     sign = -1 if metric in LOWER_IS_BETTER else 1
-    base = evaluate(model.transform(ready.transform(some)), task)[metric]
-    rows = []
-    for c in features:
-        falls = [sign * (base - evaluate(model.transform(ready.transform(_shuffled(some, c, key, s))), task)[metric]) for s in range(repeats)]
-        rows.append((c, max(float(np.mean(falls)), 0.0), float(np.std(falls))))
-    some.unpersist()
-    table = df.sparkSession.createDataFrame(rows, "variable string, importancia double, desv_std double")
+    base = _metric_by(model.transform(ready.transform(df)).withColumn("__variable", F.lit("")), "__variable", [""], task, metric)[""]
+    own, keys, given = [f"__x{j}" for j in range(len(features))], [f"__k{j}" for j in range(len(key))], [f"__v{j}" for j in range(len(features))]
+    rows = df.select("label", *[N.q(c).alias(x) for c, x in zip(features, own, strict=True)], *[N.q(c).alias(k) for c, k in zip(key, keys, strict=True)])
+    placed = workspace.keep(_numbered(rows, -1, keys).select("label", *own, "__n"), "placed")
+    falls: dict[str, list[float]] = {c: [] for c in features}
+    for seed in range(repeats):
+        pairs = placed.join(_numbered(rows, seed, keys).select("__n", *[F.col(x).alias(v) for x, v in zip(own, given, strict=True)]), "__n")
+        shapes = [F.struct(F.lit(c).alias("__variable"), *[F.col(given[j] if j == at else own[j]).alias(f) for j, f in enumerate(features)]) for at, c in enumerate(features)]
+        out = model.transform(ready.transform(pairs.select("label", F.inline(F.array(*shapes)))))
+        for c, score in _metric_by(out, "__variable", features, task, metric).items():
+            falls[c].append(sign * (base - score))
+    workspace.drop(placed)
+    table = df.sparkSession.createDataFrame([(c, max(float(np.mean(f)), 0.0), float(np.std(f))) for c, f in falls.items()], "variable string, importancia double, desv_std double")
     return aggregate_importance(table).join(table.select("variable", "desv_std"), "variable")
 
 

@@ -154,19 +154,26 @@ def best_threshold(table: DataFrame) -> DataFrame:
     return table.agg(F.max_by("umbral", "f1").alias("umbral"), F.max("f1").alias("f1"))
 
 
-def regression_metrics(df: DataFrame, real: str = "label", predicted: str = "prediction", n_features: int = 1) -> DataFrame:
-    """All regression metrics: one pass, and the median of the errors."""
+def regression_columns(real: str = "label", predicted: str = "prediction", n_features: int = 1) -> dict[str, Column]:
+    """The regression metrics that are aggregates: all but the median of the errors."""
     y, e = F.col(real).cast("double"), F.col(real).cast("double") - F.col(predicted)
     n, sse, sst = F.count("*"), F.sum(e * e), F.var_pop(y) * F.count("*")
     r2 = 1 - S.ratio(sse, F.nullif(sst, F.lit(0.0)))
     rmse = F.sqrt(sse / n)
     span = F.max(y) - F.min(y)
-    middle = O.quantiles(df, {"e": (F.abs(e), (0.5,))})["e"][0]
-    return df.agg(
-        r2.alias("r2"), (1 - (1 - r2) * (n - 1) / F.greatest(n - n_features - 1, F.lit(1))).alias("r2_ajustado"), rmse.alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-        (100 * F.avg(F.when(F.abs(y) > 1e-9, F.abs(e / y)))).alias("mape"), (100 * F.avg(2 * F.abs(e) / F.greatest(F.abs(y) + F.abs(F.col(predicted)), F.lit(1e-9)))).alias("smape"),
-        F.lit(middle).cast("double").alias("mediana_ae"), (1 - S.ratio(F.var_pop(e), F.nullif(F.var_pop(y), F.lit(0.0)))).alias("varianza_explicada"), (100 * rmse / F.when(span != 0, span).otherwise(1.0)).alias("rmse_norm"),
-    )
+    return {
+        "r2": r2, "r2_ajustado": 1 - (1 - r2) * (n - 1) / F.greatest(n - n_features - 1, F.lit(1)), "rmse": rmse, "mae": F.avg(F.abs(e)),
+        "mape": 100 * F.avg(F.when(F.abs(y) > 1e-9, F.abs(e / y))), "smape": 100 * F.avg(2 * F.abs(e) / F.greatest(F.abs(y) + F.abs(F.col(predicted)), F.lit(1e-9))),
+        "varianza_explicada": 1 - S.ratio(F.var_pop(e), F.nullif(F.var_pop(y), F.lit(0.0))), "rmse_norm": 100 * rmse / F.when(span != 0, span).otherwise(1.0),
+    }
+
+
+def regression_metrics(df: DataFrame, real: str = "label", predicted: str = "prediction", n_features: int = 1) -> DataFrame:
+    """All regression metrics: one pass, and the median of the errors."""
+    middle = O.quantiles(df, {"e": (F.abs(F.col(real).cast("double") - F.col(predicted)), (0.5,))})["e"][0]
+    columns = regression_columns(real, predicted, n_features) | {"mediana_ae": F.lit(middle).cast("double")}
+    order = ("r2", "r2_ajustado", "rmse", "mae", "mape", "smape", "mediana_ae", "varianza_explicada", "rmse_norm")
+    return df.agg(*[columns[c].alias(c) for c in order])
 
 
 def residuals(df: DataFrame, real: str = "label", predicted: str = "prediction") -> DataFrame:
