@@ -14,7 +14,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TREES_AT_ONCE = 25  # grown together: a level of them takes two passes
+TREES_AT_ONCE = 25  # grown together, at least: a level of them takes two passes
+SUMS_HELD = 1 << 22  # numbers that a task holds of a level; while they are fewer, more trees grow together
 
 
 @dataclass
@@ -143,8 +144,10 @@ class ExtraTrees:
             d, classes = len(rows.first()["x"]), self.classes
             whole = _passed(rows, 1, classes or 3, lambda x, y, w: [(0, _labels(y, w, classes).sum(0))], "sum")[0]
             made: list[Tree] = []
-            for lo in range(0, self.trees, TREES_AT_ONCE):
-                part = [Tree() for _ in range(min(TREES_AT_ONCE, self.trees - lo))]
+            widest = 2 ** min(self.depth - 1, max(0, int(math.log2(max(_rows(whole, classes), 1))))) * max(2 * d, d * (classes or 3))
+            together = max(TREES_AT_ONCE, SUMS_HELD // max(1, widest))
+            for lo in range(0, self.trees, together):
+                part = [Tree() for _ in range(min(together, self.trees - lo))]
                 for t in part:
                     t.grown(whole)
                 self._grow(rows, part, lo, d)

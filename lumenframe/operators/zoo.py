@@ -75,20 +75,56 @@ def tree_column(node, x: Column) -> Column:
     return F.when(F.element_at(x, at.featureIndex() + 1) <= float(at.threshold()), tree_column(node.leftChild(), x)).otherwise(tree_column(node.rightChild(), x))
 
 
+CARRIED = 8  # trees that weights are an expression of; the sum over those before is held as a column
+
+
+class Carried:
+    """``df`` with ``__t``, the sum over the rounds so far. Every ``CARRIED`` rounds it is held, so that neither a round's plan nor its work for a row grows with the rounds."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df = df.select("features", "label", F.lit(0.0).alias("__t"))
+        self.held: list[DataFrame] = []
+        self.open: list[Column] = []
+
+    def add(self, term: Column) -> None:
+        self.open.append(term)
+        if len(self.open) == CARRIED:
+            self.df = self.df.select("features", "label", self.total().alias("__t")).persist()
+            self.held.append(self.df)
+            self.open = []
+            self.df.count()
+            for old in self.held[:-1]:  # a lost block is worked out again from the rows
+                old.unpersist()
+            del self.held[:-1]
+
+    def total(self) -> Column:
+        return sum(self.open, F.col("__t"))
+
+    def drop(self) -> None:
+        for old in self.held:
+            old.unpersist()
+
+
 @dataclass
 class AdaBoostClassifier:
-    """SAMME over stumps. Weights are an expression of the stumps so far, so no table is written from round to round."""
+    """SAMME over stumps. Weights are an expression of the last stumps and of the sum over those before (``Carried``)."""
 
     rounds: int = 50
     seed: int = 42
 
     def fit(self, df: DataFrame) -> AdaBoostClassModel:
-        k, out = _classes(df), AdaBoostClassModel(_classes(df))
+        k, carried = _classes(df), Carried(df)
+        try:
+            return self._boosted(carried, AdaBoostClassModel(k), k)
+        finally:
+            carried.drop()
+
+    def _boosted(self, carried: Carried, out: AdaBoostClassModel, k: int) -> AdaBoostClassModel:
+        x = vector_to_array("features")
+        missed = lambda t: (tree_column(t, x) != F.col("label")).cast("double")
         for r in range(self.rounds):
-            x = vector_to_array("features")
-            missed = lambda t: (tree_column(t, x) != F.col("label")).cast("double")
-            total = sum((F.lit(a) * missed(t) for t, a in zip(out.trees, out.alphas, strict=True)), F.lit(0.0))
-            own = df.withColumn("__w", F.exp(total - sum(out.alphas)))  # at most 1; only their ratios count
+            own = carried.df.withColumn("__w", F.exp(carried.total() - sum(out.alphas)))  # at most 1; only their ratios count
+            own = own.withColumn("label", F.col("label").alias("label", metadata={"ml_attr": {"type": "nominal", "vals": [str(c) for c in range(max(k, 2))]}}))  # so no fit counts the classes
             tree = C.DecisionTreeClassifier(labelCol="label", weightCol="__w", maxDepth=1, seed=self.seed + r).fit(own)
             root = tree._java_obj.rootNode()
             facts = own.agg(F.sum(F.col("__w") * missed(root)).alias("bad"), F.sum("__w").alias("all")).first()
@@ -98,6 +134,7 @@ class AdaBoostClassifier:
             out.models.append(tree)
             out.trees.append(root)
             out.alphas.append(1.0 if error <= 0 or error >= 1 - 1 / k else math.log((1 - error) / error) + math.log(k - 1))
+            carried.add(F.lit(out.alphas[-1]) * missed(root))
             if error <= 0 or error >= 1 - 1 / k:
                 break
         return out
@@ -128,12 +165,17 @@ class AdaBoostRegressor:
     seed: int = 42
 
     def fit(self, df: DataFrame) -> AdaBoostRegModel:
-        out = AdaBoostRegModel()
+        carried = Carried(df)
+        try:
+            return self._boosted(carried, AdaBoostRegModel())
+        finally:
+            carried.drop()
+
+    def _boosted(self, carried: Carried, out: AdaBoostRegModel) -> AdaBoostRegModel:
+        x = vector_to_array("features")
+        gap = lambda t: F.abs(tree_column(t, x) - F.col("label"))
         for r in range(self.rounds):
-            x = vector_to_array("features")
-            gap = lambda t: F.abs(tree_column(t, x) - F.col("label"))
-            logs = (F.lit(math.log(b)) * (1 - gap(t) / m) for t, b, m in zip(out.trees, out.betas, out.worst, strict=True))
-            own = df.withColumn("__w", F.exp(sum(logs, F.lit(0.0))))
+            own = carried.df.withColumn("__w", F.exp(carried.total()))
             tree = R.DecisionTreeRegressor(labelCol="label", weightCol="__w", maxDepth=3, seed=self.seed + r).fit(own)
             root = tree._java_obj.rootNode()
             facts = own.agg(F.max(gap(root)).alias("worst"), F.sum(F.col("__w") * gap(root)).alias("bad"), F.sum("__w").alias("all")).first()
@@ -144,6 +186,7 @@ class AdaBoostRegressor:
             out.trees.append(root)
             out.worst.append(facts["worst"] or 1.0)
             out.betas.append(loss / (1 - loss) if 0 < loss < 0.5 else 1e-10 if loss <= 0 else math.exp(-1))
+            carried.add(F.lit(math.log(out.betas[-1])) * (1 - gap(root) / out.worst[-1]))
             if loss <= 0 or loss >= 0.5:
                 break
         return out
