@@ -40,3 +40,16 @@ def test_trees_whose_sums_are_few_grow_together(spark, monkeypatch):
     monkeypatch.setattr(extra_trees, "_passed", lambda *a: passes.append(1) or plain(*a))
     model = extra_trees.ExtraTrees(classes=2, trees=60, depth=2).fit(df)
     assert len(model.trees) == 60 and len(passes) == 5  # the whole, and two a level
+
+
+def test_predictions_are_worked_out_once_for_all_metrics(spark):
+    df = spark.range(500).coalesce(1).withColumn("label", (F.col("id") % 11).cast("double"))
+    made = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        made.add(len(x))
+        return x % 7.0
+
+    scored = df.withColumn("prediction", F.pandas_udf(told, "double")(F.col("id").cast("double")))
+    assert learning.evaluate(scored, "regresion")["mae"] > 0
+    assert made.value == 500
